@@ -1,16 +1,16 @@
 """Connected components (D4) as a DataFrame loop on the executors.
 
 Edge contraction in label space: each round every label hooks to the smallest label among
-itself and its neighbours (``m``), the hook chains are flattened by pointer jumping, edges are
-rewritten to ``(m(src), m(dst))`` with self
-loops and duplicates removed, and the vertex labels follow ``m``. Merged labels leave the
-edge table, so a long chain shrinks by a constant factor per round instead of one hop per
-round. The loop stops when no edge is left between two different labels; each label is then
-the smallest vertex id of its component.
-
-Both tables are checkpointed every round to the reliable checkpoint folder (the cluster's
-``spark.checkpoint.dir``): lineage stays one round deep and a lost executor costs at most one
-round. The driver sees one edge count per round.
+itself and its neighbours, the hook chains are flattened by pointer jumping, and the edges
+are rewritten to ``(hook(src), hook(dst))`` with self loops and duplicates removed. Merged
+labels leave the edge table, so a long chain shrinks geometrically instead of one hop per
+round. The loop stops when no edge is left; a vertex's label is then its chain of hooks
+``h_R(..h_1(v))``, applied once at the end as a join per round (the vertex table is written
+once, not once per round). Each label is the smallest vertex id of its component.
+
+Every intermediate table is written to the shared checkpoint storage (``materialize``), so
+lineage stays one step deep and a lost executor costs at most one step. The driver sees one
+count per step, observed while the table is written.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densitykit.session import ensure_checkpoint_dir
+from densitykit.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -37,16 +37,26 @@ def _both_ways(e: DataFrame) -> DataFrame:
         .select(F.col("e.s").alias("src"), F.col("e.d").alias("dst"))
 
 
+def _compose(h: DataFrame) -> DataFrame:
+    """``l -> m`` composed with itself: ``l -> h(m)``."""
+    return h.join(h.select(F.col("l").alias("m"), F.col("m").alias("mm")), "m", "left") \
+        .select("l", F.coalesce(F.col("mm"), F.col("m")).alias("m"))
+
+
 def _flatten(hook: DataFrame, max_jumps: int) -> DataFrame:
     """Pointer jumping on the hook table ``l -> m`` until every label points at the root of
-    its hook tree (about log2 of the longest chain jumps; each is a join on the label table,
-    which is no larger than the edge table)."""
+    its hook tree. One job builds ``h4 = (h o h) o (h o h)`` and ``h8 = h4 o h4`` from the
+    written table and counts the labels where they differ: none means ``h4`` is already
+    flat. A chain of length L needs about log8(L) jobs; each is a join on the hook table,
+    which is no larger than the edge table."""
     for _ in range(max_jumps):
-        nxt = hook.join(hook.select(F.col("l").alias("m"), F.col("m").alias("mm")), "m", "left") \
-            .select("l", "m", F.coalesce(F.col("mm"), F.col("m")).alias("mm")).checkpoint(eager=True)
-        changed = nxt.where(F.col("mm") != F.col("m")).count()
-        hook = nxt.select("l", F.col("mm").alias("m"))
-        if changed == 0:
+        h4 = _compose(_compose(hook))
+        h8 = h4.join(h4.select(F.col("l").alias("m"), F.col("m").alias("mm")), "m", "left") \
+            .select("l", F.coalesce(F.col("mm"), F.col("m")).alias("m"),
+                    (F.col("mm").isNotNull() & (F.col("mm") != F.col("m"))).alias("moved"))
+        nxt, st = materialize(h8, "cc-jump", changed=F.count_if(F.col("moved")))
+        hook = nxt.select("l", "m")
+        if st["changed"] == 0:
             return hook
     raise RuntimeError("pointer jumping did not converge")
 
@@ -58,32 +68,33 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
     Raises if edges remain after ``max_rounds`` rounds.
     """
-    spark = vertices.sparkSession
-    ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
-    # one direction per edge, smaller id first
-    e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct() \
-        .checkpoint(eager=True)
-    labels = vertices.select(F.col(vertex).alias("node")).distinct() \
-        .select("node", F.col("node").alias("label")).checkpoint(eager=True)
+    # one row per undirected edge, smaller id first
+    e, st = materialize(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+                        .distinct(), "cc-edges", n=F.count(F.lit(1)))
+    remaining = st["n"]
+    hooks: list[DataFrame] = []
     rounds = 0
-    remaining = e.count()
     while remaining > 0:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-        # hook: every label with an edge points at its smallest neighbour (edges are stored
-        # smaller-first, so dst's candidate is src; src's own minimum comes from its other edges)
+        # hook every label with an edge to its smallest neighbour (or itself)
         hook = _both_ways(e).groupBy(F.col("src").alias("l")).agg(F.min("dst").alias("m")) \
             .select("l", F.least(F.col("l"), F.col("m")).alias("m"))
-        hook = _flatten(hook.checkpoint(eager=True), max_rounds)
+        hook = _flatten(materialize(hook, "cc-hook"), max_rounds)
+        hooks.append(hook.where("l <> m"))
         hs = hook.select(F.col("l").alias("src"), F.col("m").alias("ms"))
         hd = hook.select(F.col("l").alias("dst"), F.col("m").alias("md"))
-        e = e.join(hs, "src").join(hd, "dst") \
-            .select(F.least("ms", "md").alias("src"), F.greatest("ms", "md").alias("dst")) \
-            .where("src <> dst").distinct().checkpoint(eager=True)
-        labels = labels.join(hook.withColumnRenamed("l", "label"), "label", "left") \
-            .select("node", F.coalesce(F.col("m"), F.col("label")).alias("label")).checkpoint(eager=True)
-        remaining = e.count()
+        e, st = materialize(e.join(hs, "src").join(hd, "dst")
+                            .select(F.least("ms", "md").alias("src"), F.greatest("ms", "md").alias("dst"))
+                            .where("src <> dst").distinct(), "cc-edges", n=F.count(F.lit(1)))
+        remaining = st["n"]
         log.info("components round %d: %d edges left", rounds, remaining)
+    labels = vertices.select(F.col(vertex).alias("node")).distinct().withColumn("label", F.col("node"))
+    for h in hooks:
+        labels = labels.join(h.withColumnRenamed("l", "label"), "label", "left") \
+            .select("node", F.coalesce(F.col("m"), F.col("label")).alias("label"))
+    if hooks:
+        labels = materialize(labels, "cc-labels")
     return ComponentsResult(labels, rounds)

@@ -29,7 +29,7 @@ from densitykit.operators.neighbors import (
     max_abs_coordinate, pairs_within, with_cells,
 )
 from densitykit.operators.points import axis_names, check_unique_keys, point_dim
-from densitykit.session import ensure_checkpoint_dir
+from densitykit.session import ensure_checkpoint_dir, materialize
 
 RESULT_COLUMNS = ("id", "label", "kind")
 
@@ -98,9 +98,9 @@ class DensityClusterer:
         else:
             ends = pairs.select(F.col("a_id").alias("id"))
         counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        flagged = pts.join(counts, "id", "left") \
-            .withColumn("is_core", F.coalesce(F.col("n"), F.lit(0)) >= F.lit(self.min_samples)) \
-            .drop("n").checkpoint(eager=True)
+        flagged = materialize(pts.join(counts, "id", "left")
+                              .withColumn("is_core", F.coalesce(F.col("n"), F.lit(0)) >= F.lit(self.min_samples))
+                              .drop("n"), "dbscan-flagged")
         # 3: graph nodes (fine-cell contraction)
         core = flagged.where("is_core").drop("is_core")
         fside = fine_side(eps, k, metric, max_abs) if self.contract else None
@@ -116,10 +116,10 @@ class DensityClusterer:
         left = core.unionByName(noncore.withColumn("node", F.lit(None).cast(core.schema["node"].dataType)))
         # 4: core-core edges between nodes and border links, reduced while streaming
         links = pairs_within(cands(left, core, False), k, eps, metric)
-        links = links.where(F.col("a_node").isNull() | (F.col("a_node") != F.col("b_node"))) \
-            .select(F.col("a_node").isNull().alias("border"),
-                    F.coalesce(F.col("a_node"), F.col("a_id")).alias("u"),
-                    F.col("b_node").alias("v")).distinct().checkpoint(eager=True)
+        links = materialize(links.where(F.col("a_node").isNull() | (F.col("a_node") != F.col("b_node")))
+                            .select(F.col("a_node").isNull().alias("border"),
+                                    F.coalesce(F.col("a_node"), F.col("a_id")).alias("u"),
+                                    F.col("b_node").alias("v")).distinct(), "dbscan-links")
         # 5: components over nodes
         cc = connected_components(core.select("node"), links.where("not border").select(
             F.col("u").alias("src"), F.col("v").alias("dst")), max_rounds=self.max_rounds)

@@ -59,3 +59,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder (HDFS/S3/ABFS) "
                        "so that iterative operators can cut lineage reliably")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the session's reliable checkpoint folder."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/densitykit/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, tag: str = "stage", **metrics):
+    """Cut lineage by writing ``df`` as parquet under the checkpoint folder and reading it back.
+
+    Used in place of ``Dataset.checkpoint``: a checkpointed plan keeps the size estimate of
+    the plan it came from, and in an iterative loop those estimates (products over joins)
+    grow without bound; a parquet read is sized by its files, which also gives AQE true
+    sizes for its join choices. The folder is on the shared checkpoint storage, so the
+    result survives the loss of any executor.
+
+    Keyword arguments name aggregate Columns computed while the rows are written (an
+    ``Observation``, no second pass); then ``(df, {name: value})`` is returned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    obs = None
+    if metrics:
+        from pyspark.sql import Observation
+
+        obs = Observation(tag)
+        df = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
+    df.write.mode("error").parquet(path)
+    out = spark.read.parquet(path)
+    if obs is None:
+        return out
+    return out, dict(obs.get)
