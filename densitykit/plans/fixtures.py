@@ -20,6 +20,11 @@ FIXTURE_PARAMS = {
 EV_EPOCH_US = 1704067200000000
 
 
+def epoch_micros(col: str) -> F.Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column, independent of the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -41,7 +46,7 @@ def cu_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV: 'error' events as (hours since the epoch start, value / 10)."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros("ts")
     return ev.select(F.col("event_id").alias("id"),
                      ((us - F.lit(EV_EPOCH_US)).cast("double") / 3600000000.0).alias("x0"),
                      (F.col("value").cast("double") / 10.0).alias("x1"))
