@@ -32,4 +32,4 @@ def r6(c) -> F.Column:
 
 
 # Import the query modules so that they register themselves.
-from densitykit.plans import q_boxes, q_cluster, q_sources, q_stats, q_waves  # noqa: E402,F401
+from densitykit.plans import q_boxes, q_cluster, q_models, q_sources, q_stats, q_waves  # noqa: E402,F401
