@@ -1,0 +1 @@
+"""No streaming operators: the reference has no streaming work."""
