@@ -295,10 +295,10 @@ class EventFileDataSource(DataSource):
         return FILE_SCHEMA if self.options.get("mode", "events") == "files" else EVENT_SCHEMA
 
     def reader(self, schema):
-        return EventFileReader(dict(self.options), schema)
+        return EventFileReader(self.options, schema)
 
     def writer(self, schema, overwrite):
-        return EventFileWriter(dict(self.options))
+        return EventFileWriter(self.options)
 
 
 def register(spark) -> None:

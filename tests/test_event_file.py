@@ -63,6 +63,7 @@ def test_name_fields_and_files_mode(spark, folder):
 
 def test_seek_prunes_splits(spark, folder):
     d, _ = folder
+    assert EF.read_events(spark, d, eventsPerSplit=4).rdd.getNumPartitions() == 10 + 3
     ev = EF.read_events(spark, d, eventsPerSplit=4, eventFrom=8, eventTo=9)
     assert ev.rdd.getNumPartitions() == 2   # one split per file
     from pyspark.sql import functions as F
