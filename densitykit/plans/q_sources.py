@@ -16,11 +16,14 @@ from densitykit.session import scratch_path
 from densitykit.sources import event_file as EF
 from densitykit.sources import files as SF
 
-# events derived from W40: one event per user, channel c sample s = floor(10 v[s mod 40]) + c
+# events derived from W40: one event per user, channel c sample s = floor(10 v[s mod 40]) + c;
+# a file holds the users of one (user_id div 64, user_id mod 3, user_id mod 2), so the number of
+# files grows with the data and no file (one writer task each) grows without bound
 _EV_SQL = f"""with {W40},
  u as (select user_id, min(ts) t0 from events group by user_id),
- f as (select user_id, (user_id % 3 + 1)::int run, (user_id % 2 + 1)::int board, epoch_us(t0) / 1000000.0 ts,
-   (row_number() over (partition by user_id % 3, user_id % 2 order by user_id) - 1)::int idx from u),
+ f as (select user_id, (200 + user_id // 64)::int series, (user_id % 3 + 1)::int run, (user_id % 2 + 1)::int board,
+   epoch_us(t0) / 1000000.0 ts,
+   (row_number() over (partition by user_id // 64, user_id % 3, user_id % 2 order by user_id) - 1)::int idx from u),
  sg as (select user_id, 8 * sum(floor(v * 10)::bigint * case when pos < 8 then 52 else 51 end) + 2048 * 28 ssum,
    max(floor(v * 10)::bigint) + 7 ch7 from w group by user_id)"""
 
@@ -32,10 +35,10 @@ def _derived_events(spark, sf_dir):
         F.sequence(F.lit(0), F.lit(EF.N_SAMPLES - 1)),
         lambda s: (F.floor(F.element_at(F.col("v"), F.pmod(s, F.lit(40)) + 1) * 10) + c).cast("smallint")))
     d = w.join(ev, "user_id").select(
-        "user_id", F.lit("S").alias("type"), F.lit(223).alias("series"),
+        "user_id", F.lit("S").alias("type"), (F.lit(200) + F.floor(F.col("user_id") / 64)).cast("int").alias("series"),
         (F.pmod("user_id", F.lit(3)) + 1).cast("int").alias("run"), (F.pmod("user_id", F.lit(2)) + 1).cast("int").alias("board"),
         (fx.epoch_micros("t0") / 1000000.0).alias("timestamp"), sig.alias("signal"))
-    win = Window.partitionBy("run", "board").orderBy("user_id")
+    win = Window.partitionBy("series", "run", "board").orderBy("user_id")
     return d.withColumn("index", (F.row_number().over(win) - 1).cast("int"))
 
 
@@ -47,7 +50,7 @@ def _event_folder(spark, sf_dir, split=16):
 
 
 @register("event_scan", _EV_SQL + """
-select 'S' type, 223 series, run, board, idx index, round(ts, 6) timestamp, 8 n_channels, 255 hp_flag,
+select 'S' type, series, run, board, idx index, round(ts, 6) timestamp, 8 n_channels, 255 hp_flag,
  '********' start_flag, ssum signal_sum, ch7 ch7_peak from f join sg using (user_id)""")
 def q_event_scan(spark, sf_dir):
     """Events written as binary files (one per run/board) and read back by byte range
@@ -59,16 +62,16 @@ def q_event_scan(spark, sf_dir):
 
 
 @register("event_seek", _EV_SQL + """
-select run, board, idx event_pos, idx index from f where idx between 3 and 7""")
+select series, run, board, idx event_pos, idx index from f where idx between 3 and 7""")
 def q_event_seek(spark, sf_dir):
     """S3: random access: only events 3..7 of every file (splits outside are pruned)."""
     ev = EF.read_events(spark, _event_folder(spark, sf_dir), eventsPerSplit=4, eventFrom=3, eventTo=7)
-    return ev.where(F.col("event_pos").between(3, 7)).select("run", "board", "event_pos", "index")
+    return ev.where(F.col("event_pos").between(3, 7)).select("series", "run", "board", "event_pos", "index")
 
 
 @register("event_files", _EV_SQL + """
-select 'S' type, 223 series, run, board, count(*) n_events, 'densitykit test run' header, 'end of run' footer
-from f group by run, board""")
+select 'S' type, series, run, board, count(*) n_events, 'densitykit test run' header, 'end of run' footer
+from f group by series, run, board""")
 def q_event_files(spark, sf_dir):
     """File metadata: name fields, event count, header and footer."""
     f = EF.read_event_files(spark, _event_folder(spark, sf_dir))
