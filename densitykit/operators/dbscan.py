@@ -86,7 +86,7 @@ class DensityClusterer:
             pts = kd.points
 
             def cands(left, right, symmetric):
-                return kd_candidates(left, right, kd.boxes, k, self.eps, keys=keys)
+                return kd_candidates(left, right, kd, k, self.eps, keys=keys)
 
         pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
         eps, metric = self.eps, self.metric

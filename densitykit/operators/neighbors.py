@@ -134,18 +134,14 @@ def grid_candidates(left: DataFrame, right: DataFrame, k: int, side: float,
     return j.drop(*on)
 
 
-def kd_candidates(left: DataFrame, right: DataFrame, boxes: DataFrame, k: int, radius: float,
+def kd_candidates(left: DataFrame, right: DataFrame, kd, k: int, radius: float,
                   keys: Sequence[str] = ()) -> DataFrame:
     """Equi-join on kd part: ``left`` must carry its home ``part``; ``right`` is copied into
-    every part whose box grown by ``radius`` contains it (inclusive). ``boxes`` is the
-    ``part, lo, hi`` table of a kd partition (at most a few thousand rows: broadcast)."""
-    from densitykit.functions.boxes import box_contains_cols, box_expand_add
-
-    grown = boxes.select("part", box_expand_add(F.col("lo"), F.col("hi"), radius).alias("g"))
-    grown = grown.select("part", F.col("g.lo").alias("glo"), F.col("g.hi").alias("ghi"))
+    every part whose box grown by ``radius`` contains it (inclusive), by descending the kd
+    tree (``KDPartition.halo``: one broadcast hash join per level, split tables of at most a
+    few thousand rows)."""
     rcols = [c for c in right.columns if c != "part"]
-    halo = right.drop("part").join(F.broadcast(grown),
-                                   box_contains_cols(F.col("glo"), F.col("ghi"), axis_names(k)))
+    halo = kd.halo(right.drop("part") if "part" in right.columns else right, radius)
     rx = halo.select(F.col("part").alias("a_part"), *[F.col(g).alias("a_" + g) for g in keys],
                      *[F.col(c).alias("b_" + c) for c in rcols])
     lc = _prefixed(left, "a_")
@@ -179,7 +175,7 @@ def eps_join(points: DataFrame, eps: float, metric: str = "euclidean", strategy:
     from densitykit.operators.partition import kd_partition
 
     kd = kd_partition(pts, max_partitions=max_partitions, k=k)
-    cands = pairs_within(kd_candidates(kd.points, pts, kd.boxes, k, eps), k, eps, metric)
+    cands = pairs_within(kd_candidates(kd.points, pts, kd, k, eps), k, eps, metric)
     extra = [distance_expr([f"a_x{i}" for i in range(k)], [f"b_x{i}" for i in range(k)], metric).alias("dist")] \
         if with_distance else []
     return cands.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *extra)

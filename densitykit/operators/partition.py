@@ -38,12 +38,22 @@ def default_max_partitions(k: int, n: int | None = None) -> int:
 
 
 class KDPartition:
-    def __init__(self, points: DataFrame, boxes: DataFrame, splits: list[dict], k: int, bbox):
+    def __init__(self, points: DataFrame, boxes: DataFrame, splits: list[dict], k: int, bbox,
+                 level_tables: list[DataFrame] | None = None):
         self.points = points      # input columns + part INT
         self.boxes = boxes        # part INT, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>
         self.splits = splits      # driver-side split rows: level, part, new_part, axis, value
         self.k = k
         self.bbox = bbox
+        self.level_tables = level_tables or []
+
+    def halo(self, points: DataFrame, radius: float) -> DataFrame:
+        """C8 by tree descent: ``points`` (without ``part``) copied into every part whose box
+        grown by ``radius`` contains them. Each level is a broadcast hash join on the current
+        part with that level's split rows, and a row goes to the left child if
+        ``x <= m + radius`` and to the right child if ``x >= m - radius`` (both near the
+        split). Work is about log2(P) lookups per copy instead of P box tests per row."""
+        return halo_descend(points, self.level_tables, self.k, radius, self.bbox)
 
     def split_table(self) -> DataFrame:
         spark = self.points.sparkSession
@@ -161,7 +171,30 @@ def kd_partition(points: DataFrame, max_partitions: int | None = None, k: int |
     out = apply_splits(base, tables, k)
     box_rows = [(p, b[0], b[1]) for p, b in sorted(boxes.items()) if b is not None]
     box_df = spark.createDataFrame(box_rows, "part INT, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>")
-    return KDPartition(out, box_df, splits, k, bbox)
+    return KDPartition(out, box_df, splits, k, bbox, tables)
+
+
+def halo_descend(points: DataFrame, level_tables: list[DataFrame], k: int, radius: float, bbox) -> DataFrame:
+    """See ``KDPartition.halo``."""
+    r = F.lit(float(radius))
+    pts = points.drop("part") if "part" in points.columns else points
+    if bbox is None:
+        return pts.withColumn("part", F.lit(0)).where(F.lit(False))
+    lo, hi = bbox
+    inside = None
+    for i, c in enumerate(axis_names(k)):
+        t = F.col(c).between(F.lit(float(lo[i])) - r, F.lit(float(hi[i])) + r)
+        inside = t if inside is None else inside & t
+    out = pts.where(inside).withColumn("part", F.lit(0))
+    for t in level_tables:
+        j = out.join(F.broadcast(t), "part", "left")
+        x = _axis_value(k)
+        go_left = F.col("_axis").isNull() | (x <= F.col("_value") + r)
+        go_right = F.col("_axis").isNotNull() & (x >= F.col("_value") - r)
+        kids = F.filter(F.array(F.when(go_left, F.col("part")), F.when(go_right, F.col("_new"))),
+                        lambda p: p.isNotNull())
+        out = j.withColumn("part", F.explode(kids)).drop("_axis", "_value", "_new")
+    return out
 
 
 def halo_join(points: DataFrame, boxes: DataFrame, radius: float, k: int | None = None) -> DataFrame:

@@ -262,6 +262,13 @@ def q_median_split(spark, sf_dir):
 def q_halo_join(spark, sf_dir):
     """Every point into each part whose box grown by 2 eps (eps 2) contains it."""
     kd = _kd(spark, sf_dir)
+    return kd.halo(fx.pt_points(spark, sf_dir), 4.0).select("id", "part")
+
+
+@register("halo_join_boxes", _kd_sql(4, tail=f"select p.id, b.part from pts p join kdboxes b on {kd_sql.grown_contains(K, 4.0)}"))
+def q_halo_join_boxes(spark, sf_dir):
+    """C8 against an explicit box table (broadcast nested loop over at most 4,096 boxes)."""
+    kd = _kd(spark, sf_dir)
     return halo_join(fx.pt_points(spark, sf_dir), kd.boxes, 4.0).select("id", "part")
 
 
