@@ -73,7 +73,7 @@ def test_best_shift_scale_finds_planted(spark):
     v2 = [math.sin(i / 3.0) + 0.1 * i for i in range(40)]
     # v1 such that roll(v1, 2) * 1.5 + 0.5 == v2 / 1.5 - 0.5  ->  v1 = roll((v2/1.5 - 1.0) / 1.5, -2)
     t = (np.array(v2) / 1.5 - 0.5 - 0.5) / 1.5
-    v1 = list(np.roll(t, -2))
+    v1 = [float(x) for x in np.roll(t, -2)]
     pairs = spark.createDataFrame([(1, 2, v1, v2)], "u1 INT, u2 INT, v1 array<double>, v2 array<double>")
     r = OW.best_shift_scale(pairs).first()
     assert (r["s"], r["u"], r["r"]) == (1.5, 0.5, 2) and r["dist"] < 1e-9
