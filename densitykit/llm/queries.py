@@ -38,3 +38,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text",
                               tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return read_documents(files).withColumnRenamed("key", "doc_id")
+
+
+@register("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: 4-word shingles, similarity 0.8."""
+    from densitykit.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
