@@ -46,3 +46,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from densitykit.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@register("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item or a passage of one, with the best overlap."""
+    from densitykit.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
