@@ -63,6 +63,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                        "so that iterative operators can cut lineage reliably")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once a context), so that functions run in Python workers
+    can be loaded there without the repository on the workers' own path."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_densitykit_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="densitykit-package-"), "densitykit.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.join("densitykit", os.path.relpath(p, root)))
+    sc.addPyFile(target)
+    sc._densitykit_shipped = True
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the session's reliable checkpoint folder."""
     import uuid
