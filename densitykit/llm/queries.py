@@ -54,3 +54,20 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from densitykit.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_shards")
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes, equal texts together."""
+    from densitykit.llm.shards import shard
+
+    return shard(table(spark, sf_dir, "documents"), n_shards=8) \
+        .withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    from densitykit.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, seq_len=2048)
