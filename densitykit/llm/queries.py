@@ -71,3 +71,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from densitykit.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, seq_len=2048)
+
+
+@register("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of line runs of 50 words or more."""
+    from densitykit.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=50) \
+        .select("doc_id", "text", "n_lines", "n_deleted")
