@@ -80,3 +80,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=50) \
         .select("doc_id", "text", "n_lines", "n_deleted")
+
+
+@register("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from densitykit.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
