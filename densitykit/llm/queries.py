@@ -88,3 +88,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from densitykit.llm.fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; documents with crc32(doc_id as text) mod 4 = 2 are held out."""
+    from densitykit.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    net = langid.fit(docs.where(~held))
+    return langid.predict(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), net)
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of all documents."""
+    from densitykit.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
