@@ -15,8 +15,10 @@ Buckets are never expanded into all pairs. A bucket of at most ``small`` classes
 whole. In a larger one a few *leaders* are compared with all members and then leave the
 bucket; members that already share a component are not compared; a bucket goes when one
 component is left in it. Rounds go on, with more leaders each time, until no bucket is left,
-so every pair of a bucket is either compared or already connected: exact, and linear for the
-usual case where a hot bucket is one group of near copies.
+so every pair of a bucket is compared, already connected, or excluded by an exact bound: two
+sets of sizes m and n share at most as many shingles as the smaller number that either has in common with
+*any* set still in a large bucket, and a link needs ``percent (m + n) / (100 + percent)`` of them.
+A copy with too many edits of its own is excluded from all its pairs at once that way.
 
 Band misses: with the default 28 bands of 4 rows a pair at similarity 0.8 shares no band with a
 chance of 4e-7, less above.
@@ -36,7 +38,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densitykit.llm.common import LOWER, SPACE, U, mix, row_blocks, span_hashes, text_bytes, words
-from densitykit.operators.components import connected_components
 from densitykit.session import materialize
 
 SKETCH_BITS = 512
@@ -101,7 +102,7 @@ class Sampler:
 
     def sketch(self, m: np.ndarray) -> np.ndarray:
         at = (mix(self.salt ^ m) % U(SKETCH_BITS)).astype(np.int64)
-        return np.packbits(np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
@@ -119,21 +120,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                     k1.append(x)
                     k2.append(y)
                     bk.append(sm.keys(m))
-                    sk.append(sm.sketch(m).tobytes())
+                    sk.append(sm.sketch(m))
                 else:
                     k1.append(U(0))
                     k2.append(U(0))
-                    sk.append(None)
             has = np.array([x > 0 for x in n], bool)
             flat = np.concatenate(bk).view(np.int64) if bk else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(n, pa.int64()),
                 pa.array(np.array(k1, np.uint64).view(np.int64), mask=~has), pa.array(np.array(k2, np.uint64).view(np.int64), mask=~has),
                 pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * bands)), pa.int32()), pa.array(flat)),
-                pa.array(sk, pa.binary())], ["id", "n", "k1", "k2", "bands", "sketch"])
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * (SKETCH_BITS // 64))), pa.int32()), pa.array(np.concatenate(sk) if sk else flat))], ["id", "n", "k1", "k2", "bands", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
+        .mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def set_keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -155,19 +155,33 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         .mapInArrow(run, "id long, n long, k1 long, k2 long, set binary")
 
 
-def sketch_similarity(a, b, samples: int) -> F.Column:
-    """Similarity estimated from two odd sketches (0 where they differ in half the bits or more)."""
-    @F.pandas_udf("double")
-    def est(x, y):
-        import pandas as pd
+def sketch_distance(a: str, b: str) -> F.Column:
+    """Bits in which two odd sketches differ."""
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64)))
+
 
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        d = np.unpackbits(np.frombuffer(b"".join(x), np.uint8) ^ np.frombuffer(b"".join(y), np.uint8)).reshape(len(x), -1).sum(axis=1)
-        left = np.maximum(1 - 2 * d / SKETCH_BITS, 1e-9)
-        return pd.Series(np.maximum(0, 1 + SKETCH_BITS / (4 * samples) * np.log(left)))
+def greatest_distance(similarity: float, samples: int) -> int:
+    """Differing bits at which the odd-sketch estimate ``1 + n / 4k ln(1 - 2 d / n)`` falls to ``similarity``."""
+    return int(SKETCH_BITS / 2 * (1 - np.exp((similarity - 1) * 4 * samples / SKETCH_BITS)))
 
-    return est(a, b)
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, label`` (least node reachable) of all ends of ``links(a, b)``: hooking to the least neighbouring
+    label and pointer jumping, one written table a round."""
+    edges = materialize(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+                        .select("e.a", "e.b").distinct(), "nd-edges")
+    f = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "nd-labels")
+    while True:
+        low = edges.join(f.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("low"))
+        hook = f.join(low, "node").select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("label").alias("node"), "low"))).alias("h")) \
+            .select("h.node", "h.low").groupBy("node").agg(F.min("low").alias("low"))
+        up = f.join(hook, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
+        jump = up.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label") \
+            .select("node", F.least("label", "top").alias("label"), "old")
+        g, st = materialize(jump, "nd-labels", moved=F.count_if(F.col("label") != F.col("old")))
+        f = g.select("node", "label")
+        if not st["moved"]:
+            return f
 
 
 def overlap(a, b) -> F.Column:
@@ -190,7 +204,7 @@ def overlap(a, b) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80,
-                    bands: int = 28, rows: int = 4, small: int = 8, sketch_floor: float = 0.5) -> DataFrame:
+                    bands: int = 28, rows: int = 4, small: int = 8, sketch_floor: float = 0.55) -> DataFrame:
     """Per row of ``docs``: id_col, n_shingles, component_id, kept, class_id, n_links.
 
     Two documents link if ``100 * shared >= percent * union`` of their distinct shingles.
@@ -238,40 +252,58 @@ def _link(docs, id_col, text_col, classes, width, percent, samples, small, sketc
     # rows with one id and several texts: each class takes its own set
     sets = shingle_sets(mine, "node", "t", width).where(F.col("id") == F.xxhash64("k1", "k2", "n"))
     sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "nd-sets")
-    links, labels, lead, start = [], none, 1, True
+    links, labels, lead = [], none, 1
     while True:
-        if start:
-            left = buckets.withColumn("label", F.col("node")).withColumn("weight", F.lit(1))
+        group = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+        left = buckets.drop("size").join(labels.join(group, "label"), "node", "left") \
+            .select("node", "bucket", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        if lead > 1:
+            left = left.join(_in_common(left, sets), "node")
+            left = left.join(light.select("node", "n"), "node").where(F.col("common") * 100 >= F.col("n") * percent)
         else:
-            group = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-            known = labels.join(group, "label")
-            left = buckets.drop("size").join(known, "node", "left") \
-                .select("node", "bucket", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
-            b = Window.partitionBy("bucket")
-            left = left.withColumn("lo", F.min("label").over(b)).withColumn("hi", F.max("label").over(b)) \
-                .where("lo <> hi").withColumn("size", F.count(F.lit(1)).over(b)).drop("lo", "hi")
+            left = left.join(light.select("node", "n"), "node").withColumn("common", F.col("n"))
+        b = Window.partitionBy("bucket")
+        left = left.withColumn("lo", F.min("label").over(b)).withColumn("hi", F.max("label").over(b)) \
+            .where("lo <> hi").withColumn("size", F.count(F.lit(1)).over(b)).drop("lo", "hi")
         order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "label", "node")
         ranked = left.withColumn("r", F.row_number().over(order)) \
             .withColumn("leads", F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(lead)))
         ranked, st = materialize(ranked, f"nd-round-{lead}", n=F.count(F.lit(1)))
         if not st["n"]:
             break
-        heads = ranked.where("r <= leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("r").alias("ra"))
-        pairs = ranked.join(heads, "bucket").where("r > ra and label <> la") \
+        heads = ranked.where("r <= leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("r").alias("ra"),
+                                                  F.col("common").alias("ca"), F.col("n").alias("na"))
+        able = F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent
+        pairs = ranked.join(heads, "bucket").where("r > ra and label <> la").where(able) \
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = _confirm(pairs, light, sets, percent, samples, sketch_floor)
-        found, _ = materialize(found, f"nd-links-{lead}", n=F.count(F.lit(1)))
+        found, _ = materialize(_confirm(pairs, light, sets, percent, samples, sketch_floor), f"nd-links-{lead}", n=F.count(F.lit(1)))
         links.append(found)
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
-        ends = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        labels = connected_components(ends, every, src="a", dst="b").labels
+        labels = components(every)
         buckets, st = materialize(ranked.where("size > leads and r > leads").select("node", "bucket", "size"), f"nd-rest-{lead}", n=F.count(F.lit(1)))
         if not st["n"]:
             break
-        lead, start = lead * 8, False
-    return every.distinct(), labels
+        lead *= 16
+    return every.distinct() if links else empty, labels
+
+
+def _in_common(left, sets):
+    """node, common: how many of its shingles any other set in ``left`` has."""
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
+                for k in range(0, len(s), 50_000):
+                    x = s[k:k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b.column(0)[i].as_py())), pa.array(x)], ["node", "s"])
+
+    mine = sets.join(left.select(F.col("node").alias("id")).distinct(), "id").select("id", "set")
+    shared = mine.mapInArrow(each, "node long, s long").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    own = shared.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return mine.select(F.col("id").alias("node"), (F.length("set") / 8).cast("long").alias("m")).join(own, "node", "left") \
+        .select("node", (F.col("m") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
 def _confirm(pairs, light, sets, percent, samples, sketch_floor):
@@ -279,7 +311,7 @@ def _confirm(pairs, light, sets, percent, samples, sketch_floor):
     b = light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(a, "a").join(b, "b") \
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) \
-        .where(sketch_similarity(F.col("sa"), F.col("sb"), samples) >= sketch_floor).select("a", "b", "na", "nb")
+        .where(sketch_distance("sa", "sb") <= greatest_distance(sketch_floor, samples)).select("a", "b", "na", "nb")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("seta")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("setb")), "b") \
         .withColumn("both", overlap(F.col("seta"), F.col("setb")))
