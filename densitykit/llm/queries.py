@@ -108,3 +108,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op5_page_text")
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from densitykit.llm import page_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.page_text(pages, page_text.fit(pages))
