@@ -161,6 +161,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", min_overlap: int = 13, min_similarity: float = 0.8, min_words: int = 5,
+                      block_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``contaminated`` would not list. One filtering scan a block."""
+    spark, out = docs.sparkSession, docs
+    at = docs.columns.index(text_col)
+    for block in item_blocks(benchmark, item_id, item_text, block_words, min_words):
+        shared = spark.sparkContext.broadcast(block)
+
+        def keep(batches, shared=shared):
+            block = shared.value
+            for b in batches:
+                data, off, _ = text_bytes(b.column(at))
+                ok = np.ones(b.num_rows, bool)
+                for i, j in row_blocks(off):
+                    h, first = word_hashes(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                    for r in block_rows(block, h, first):
+                        ok[i + r] = not block.overlaps(h[first[r]:first[r + 1]], min_overlap, min_similarity)
+                yield b.filter(pa.array(ok))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
+
+
 def block_rows(block: ItemBlock, h: np.ndarray, first: np.ndarray) -> list[int]:
     """Rows of a text block that hold at least one seed of the items (a cheap test of all rows at once)."""
     some = []

@@ -242,10 +242,11 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return yes
 
 
-def predict(docs: DataFrame, net: BiGRU, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, and lang_pred, score (mean probability of that language)."""
+def predict(docs: DataFrame, net: BiGRU, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text unless ``keep_text``), and lang_pred, score (mean probability of
+    that language)."""
     langs = np.array([*net.langs, "und"], object)
-    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
     kept = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
 
@@ -267,4 +268,4 @@ def predict(docs: DataFrame, net: BiGRU, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs[pred], pa.string()), pa.array(score, pa.float64())],
                                              [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

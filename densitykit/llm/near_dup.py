@@ -106,7 +106,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, key (long pair of the set; null if empty), bands, sketch."""
+    """id, hash of the text, n, key (long pair of the set; null if empty), bands, sketch."""
     def run(batches):
         sm = Sampler(bands, rows)
         for b in batches:
@@ -127,13 +127,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
             has = np.array([x > 0 for x in n], bool)
             flat = np.concatenate(bk).view(np.int64) if bk else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n, pa.int64()),
+                b.column(0), b.column(2), pa.array(n, pa.int64()),
                 pa.array(np.array(k1, np.uint64).view(np.int64), mask=~has), pa.array(np.array(k2, np.uint64).view(np.int64), mask=~has),
                 pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * bands)), pa.int32()), pa.array(flat)),
-                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * (SKETCH_BITS // 64))), pa.int32()), pa.array(np.concatenate(sk) if sk else flat))], ["id", "n", "k1", "k2", "bands", "sketch"])
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * (SKETCH_BITS // 64))), pa.int32()), pa.array(np.concatenate(sk) if sk else flat))], ["id", "th", "n", "k1", "k2", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    t = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("th")) \
+        .mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def set_keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -205,7 +206,7 @@ def overlap(a, b) -> F.Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80,
                     bands: int = 28, rows: int = 4, small: int = 8, sketch_floor: float = 0.55) -> DataFrame:
-    """Per row of ``docs``: id_col, n_shingles, component_id, kept, class_id, n_links.
+    """Per row of ``docs``: id_col, n_shingles, component_id, kept, class_id, n_links, text_hash.
 
     Two documents link if ``100 * shared >= percent * union`` of their distinct shingles.
     ``class_id`` names the shingle set, ``n_links`` counts the confirmed links of its class
@@ -223,11 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_class = comp.join(first, "label").join(degree, "node", "left") \
         .select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = named.select("id", "n", "node").join(per_class, "node", "left")
+    out = named.select("id", "th", "n", "node").join(per_class, "node", "left")
     cid = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), cid.alias("component_id"),
                       F.col("id").eqNullSafe(cid).alias("kept"), F.col("node").alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("th").alias("text_hash"))
 
 
 def _link(docs, id_col, text_col, classes, width, percent, samples, small, sketch_floor):
