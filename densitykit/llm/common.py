@@ -124,16 +124,17 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, rows_per_bucket: int = 50_000,
-                 total: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, total: int | None = None,
+                 rows_per_bucket: int = 20_000) -> DataFrame:
     """Number the rows of each group 0, 1, .. without bringing a group into one task.
 
-    Rows fall into hash buckets of about ``rows_per_bucket`` rows, the bucket counts give each
-    bucket its offset, and a row's number is the offset plus its place inside the bucket.
+    Rows fall into hash buckets of about ``rows_per_bucket`` rows (fewer in small tables, where one group
+    would fill one task), the bucket counts give each bucket its offset, and a row's number is
+    the offset plus its place inside the bucket.
     ``order`` should identify a row (rows equal in it are interchangeable).
     """
     n = df.count() if total is None else total
-    b = max(1, n // rows_per_bucket)
+    b = max(1, n // rows_per_bucket, min(200, n // 500))
     keyed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(b)))
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -211,7 +211,7 @@ class WordLabels:
         s, n, first = byte_words(data, off)
         out = np.zeros((len(off) - 1, len(self.net.langs)))
         positions = np.zeros(len(off) - 1, np.int64)
-        if not len(s):
+        if not len(s) or not self.net.langs:
             return out, positions
         uniq, at, inv = np.unique(span_hashes(data, s, s + n), return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > MEMO:

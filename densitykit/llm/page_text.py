@@ -11,8 +11,8 @@ page with one ``article`` or ``main`` element labels its own words and tags as i
   boilerplate element; the tags of ``article`` and ``main`` themselves, where content begins or ends, weigh
   ``-TAG_EDGE``.
 
-Words in elements that are no content by their very name or class (``BOILERPLATE``: menus, adverts, forms, reader
-comments, ..) score -1 and are left out of the region's text; scripts, styles and the head are no words
+Words and tags in elements that are no content by their very name or class (``BOILERPLATE``: menus, adverts, forms, reader
+comments, ..) score -1, or 0 where an ``article`` or ``main`` element encloses them, and are left out of the region's text; scripts, styles and the head are no words
 at all. The weights are fitted on at most ``sample_rows`` pages, those with the smallest hash of their id;
 extraction is one scan of all pages, one page at a time, without a shuffle.
 
@@ -60,20 +60,21 @@ class Weights:
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
 
-    def of_word(self, context: str, boiler: bool) -> float:
-        return -1.0 if boiler else self.word.get(context, 1.0)
+    def of_word(self, context: str, boiler: int) -> float:
+        return (self.word.get(context, 1.0), -1.0, 0.0)[boiler]
 
-    def of_tag(self, name: str, boiler: bool) -> float:
-        if name in ("article", "main"):
+    def of_tag(self, name: str, boiler: int) -> float:
+        if name in ("article", "main") and not boiler:
             return -TAG_EDGE
-        return -1.0 if boiler else self.tag.get(name, -TAG_MIN)
+        return (self.tag.get(name, -TAG_MIN), -1.0, 0.0)[boiler]
 
 
 def tokens(page: str):
-    """``(kind, name, text, context, boilerplate)``: kind 't' for a run of text, 'o' and 'c' for tags."""
+    """``(kind, name, text, context, boilerplate)``: kind 't' for a run of text, 'o' and 'c' for tags;
+    boilerplate 0: none, 1: outside, 2: inside an article or main element."""
     at, n = 0, len(page)
-    stack: list[tuple[str, str, bool]] = []  # element, context, boilerplate
-    context, boiler = "", False
+    stack: list[tuple[str, str, int]] = []  # element, context, boilerplate
+    context, boiler = "", 0
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
@@ -112,8 +113,9 @@ def tokens(page: str):
             bad = bad or (name in BOILERPLATE and not (name == "header" and inside))
             top = name in ("article", "main") and not bad
             key = f"{name}.{label.split()[0]}" if label.split() else name
-            stack.append((name, key, bad or (bool(stack) and stack[-1][2] and not top)))
-        context, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            above = stack[-1][2] if stack else 0
+            stack.append((name, key, 0 if top else above or (2 if bad and inside else int(bad))))
+        context, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
 
 
 def count_labelled(page: str) -> list[tuple[str, int, int]]:
