@@ -97,11 +97,15 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = levels[0]
     # the depths to look at: m, and beyond it while the lines after the first hold too few words
     ahead = Window.partitionBy(*DOC).orderBy("q").rangeBetween(0, min_words)
-    sums = F.expr("""transform(nx, (x, i) -> struct(x.q - q = i as joined, aggregate(slice(nx, 1, i + 1), 0, (s, y) -> s + y.words) as total))""")
-    depths = base.withColumn("nx", F.collect_list(F.struct("q", "words")).over(ahead)) \
-        .withColumn("sums", sums) \
-        .withColumn("depths", F.expr(f"""filter(sequence(1, size(sums)), t -> sums[t - 1].joined and sums[t - 1].total >= {min_words}
-            and (t = 1 or sums[t - 2].total < {min_words} or sums[t - 1].total - words < {min_words}))""")) \
+    # one pass over the lines ahead: n lines joined so far, their words, the depths met
+    walk = F.expr(f"""aggregate(nx, struct(0 as n, 0L as total, true as live, array() :: array<int> as depths), (a, x) ->
+        case when a.live and x.q - q = a.n then struct(
+            a.n + 1 as n, a.total + x.words as total, a.total + x.words - words < {min_words} as live,
+            case when a.total + x.words >= {min_words} and (a.total < {min_words} or a.total + x.words - words < {min_words})
+                 then array_append(a.depths, a.n + 1) else a.depths end as depths)
+        else struct(a.n as n, a.total as total, false as live, a.depths as depths) end, a -> a.depths)""")
+    depths = base.withColumn("nx", F.collect_list(F.struct(F.col("q").cast("int").alias("q"), F.col("words").cast("long").alias("words"))).over(ahead)) \
+        .withColumn("q", F.col("q").cast("int")).withColumn("depths", walk) \
         .select(*DOC, "q", F.explode("depths").alias("t")).withColumn("k", F.floor(F.log2("t") + 1e-9).cast("int"))
     depths = materialize(depths, "lines-depths")
     named = None
