@@ -18,7 +18,6 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
-    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -8,14 +8,18 @@ The file name carries ``type, series, run, board`` (``S223r10b1.dat``).
 
 Reading is split by byte range: every file is cut into splits of ``eventsPerSplit`` records
 (default 512), and one task reads one split with a single ranged read, decoded with a numpy
-structured dtype into an Arrow batch. Splits from all matched files form one job. Splits are
-pruned by the options ``eventFrom``/``eventTo`` and, when
-``spark.sql.python.filterPushdown.enabled`` is on, by pushed filters on ``event_pos`` and the
-file-name fields (the filters are still applied by Spark after the scan).
+structured dtype into an Arrow batch. Splits from all matched files form one job. The options
+``eventFrom``/``eventTo`` (inclusive) read exactly those events of each file. Where the session
+sets ``spark.sql.python.filterPushdown.enabled``, ``read_events`` picks a reader that also prunes
+splits by pushed filters on ``event_pos`` and the file-name fields (Spark still applies them).
+Paths are absolute or URIs (``file:``, ``hdfs:``, ``s3:``/``s3a:``, ``gs:``, ..).
 
 ``option("mode", "files")`` returns one row per file instead: name fields, event count,
 header and footer text. Writing (``df.write.format("event_file")``) produces the same layout
-from rows clustered by file (see ``write_event_files``).
+from rows clustered by file (see ``write_event_files``): a task writes under a hidden folder of its
+own, and the driver moves the files into place when the job commits, so a lost or repeated task
+leaves nothing behind. A file whose name is taken gets a number (``S223r10b1.1.dat``); appending never
+touches existing files.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In,
     InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
@@ -62,17 +67,29 @@ def name_fields(path: str):
 
 
 def _fs(path: str):
+    """File system, path in it, and the prefix that makes a listed path a full one again."""
     from pyarrow import fs
 
-    if "://" in path:
-        f, p = fs.FileSystem.from_uri(path)
-        return f, p, path[: len(path) - len(p)] if path.endswith(p) else ""
-    return fs.LocalFileSystem(), os.path.abspath(path), ""
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", path)
+    if not m:
+        if not path.startswith("/"):
+            raise ValueError(f"a path must be absolute or a URI: {path}")
+        return fs.LocalFileSystem(), path, ""
+    scheme, rest = m.groups()
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/"), ""
+    if scheme in ("s3a", "s3n"):
+        scheme = "s3"
+    if not rest.startswith("//"):  # hdfs:/folder: the default authority
+        rest = "//" + ("default" if scheme == "hdfs" else "") + "/" + rest.lstrip("/")
+    f, p = fs.FileSystem.from_uri(f"{scheme}:{rest}")  # raises on a scheme that it doesn't know
+    full = f"{scheme}:{rest}"
+    return f, p, full[: len(full) - len(p)] if full.endswith(p) else ""
 
 
 def list_files(paths: str) -> list[tuple[str, int]]:
     """``(path, size)`` of every file matched by a comma-separated list of files, folders or
-    glob patterns (metadata only)."""
+    glob patterns (metadata only). Hidden files and folders are left out."""
     from pyarrow import fs
 
     out = []
@@ -82,13 +99,14 @@ def list_files(paths: str) -> list[tuple[str, int]]:
         base = p
         if has_glob:
             base = p[: min(p.index(ch) for ch in "*?[" if ch in p)]
-            base = base.rsplit("/", 1)[0] if "/" in base else "."
+            base = base.rsplit("/", 1)[0] or "/"
         info = f.get_file_info(base)
         if info.type == fs.FileType.File:
             out.append((prefix + info.path, info.size))
             continue
         for fi in f.get_file_info(fs.FileSelector(base, recursive=True)):
-            if fi.type != fs.FileType.File or os.path.basename(fi.path).startswith((".", "_")):
+            below = fi.path[len(base):].lstrip("/").split("/")
+            if fi.type != fs.FileType.File or any(x.startswith((".", "_")) for x in below):
                 continue
             if has_glob and not fnmatch.fnmatch(fi.path, p):
                 continue
@@ -161,14 +179,6 @@ class EventFileReader(DataSourceReader):
         if options.get("eventTo") is not None:
             self.pruner._hi(int(options["eventTo"]))
 
-    def pushFilters(self, filters):
-        for f in filters:
-            try:
-                self.pruner.take(f)
-            except Exception:  # noqa: BLE001 - an unusable filter only means less pruning
-                pass
-        return filters  # Spark still applies every filter; pushing only prunes splits
-
     def partitions(self):
         parts = []
         for path, size in list_files(self.paths):
@@ -180,9 +190,9 @@ class EventFileReader(DataSourceReader):
                 continue
             lo = 0 if self.pruner.lo is None else max(0, self.pruner.lo)
             hi = n - 1 if self.pruner.hi is None else min(n - 1, self.pruner.hi)
-            start = (lo // self.per_split) * self.per_split
+            start = lo
             while start <= hi:
-                cnt = min(self.per_split, n - start)
+                cnt = min(self.per_split, hi + 1 - start)
                 parts.append(EventSplit(path, start, cnt, n, size))
                 start += self.per_split
         return parts or [EventSplit("", 0, 0, 0, 0)]
@@ -240,50 +250,98 @@ class EventFileReader(DataSourceReader):
         return pa.RecordBatch.from_pydict(cols)
 
 
+class PushingEventFileReader(EventFileReader):
+    """For sessions that allow filter pushdown into Python sources."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            self.pruner.take(f)
+        return filters  # Spark still applies every filter; pushing only prunes splits
+
+
 @dataclass
 class _Written(WriterCommitMessage):
+    folder: str
     files: list
 
 
-class EventFileWriter(DataSourceWriter):
-    """Writes rows (``type, series, run, board, index, timestamp, signal`` and optional
-    ``header``/``footer``) as event files. Rows of one file must be in one task and in
-    order (``write_event_files`` arranges that)."""
+class EventFileWriter(DataSourceArrowWriter):
+    """Writes rows (``type, series, run, board, index, timestamp, signal``) as event files, whole batches at
+    a time. Rows of one file must be in one task and in order (``write_event_files`` arranges that)."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
         self.path = options.get("path")
         self.byte_order = options.get("byteOrder", "little")
         self.header = options.get("header", "")
         self.footer = options.get("footer", "")
+        self.overwrite = overwrite
 
-    def write(self, rows):
+    def write(self, batches):
         dt = event_dtype(self.byte_order)
-        f, base, prefix = _fs(self.path)
+        f, base, _ = _fs(self.path)
+        folder, names, cur, out = f"{base.rstrip('/')}/_attempt-{uuid.uuid4().hex}", [], None, None
+
+        def close():
+            if out is not None:
+                out.write(self.footer.encode("latin-1"))
+                out.close()
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            signal = col["signal"].flatten()
+            if len(signal) != n * N_CHANNELS or len(signal.flatten()) != n * N_CHANNELS * N_SAMPLES:
+                raise ValueError(f"a signal has {N_CHANNELS} channels of {N_SAMPLES} samples")
+            rec = np.zeros(n, dtype=dt)
+            rec["start_flag"], rec["n_channels"], rec["hp_flag"] = START_FLAG, N_CHANNELS, HP_FLAG
+            rec["index"], rec["timestamp"] = col["index"].to_numpy(zero_copy_only=False), col["timestamp"].to_numpy(zero_copy_only=False)
+            rec["signal"] = signal.flatten().to_numpy(zero_copy_only=False).reshape(n, N_CHANNELS, N_SAMPLES)
+            keys = list(zip(*(col[c].to_pylist() for c in ("type", "series", "run", "board"))))
+            starts = [i for i in range(n) if i == 0 or keys[i] != keys[i - 1]]
+            for i, j in zip(starts, [*starts[1:], n]):
+                if keys[i] != cur:
+                    close()
+                    cur = keys[i]
+                    name = f"{cur[0]}{cur[1]}r{cur[2]}b{cur[3]}"
+                    if name in names:
+                        raise ValueError(f"the rows of {name} are not together")
+                    if not names:
+                        f.create_dir(folder, recursive=True)
+                    names.append(name)
+                    out = f.open_output_stream(f"{folder}/{name}")
+                    out.write(self.header.encode("latin-1")[:HEADER_SIZE].ljust(HEADER_SIZE, b"\x00"))
+                out.write(rec[i:j].tobytes())
+        close()
+        return _Written(folder, names)
+
+    def commit(self, messages):
+        from pyarrow import fs
+
+        f, base, _ = _fs(self.path)
+        base = base.rstrip("/")
         f.create_dir(base, recursive=True)
-        written, cur, out = [], None, None
-        for row in rows:
-            key = (row["type"], row["series"], row["run"], row["board"])
-            if key != cur:
-                if out is not None:
-                    out.write(self.footer.encode("latin-1"))
-                    out.close()
-                cur = key
-                name = f"{base}/{key[0]}{key[1]}r{key[2]}b{key[3]}.dat"
-                out = f.open_output_stream(name)
-                written.append(prefix + name)
-                out.write(self.header.encode("latin-1")[:HEADER_SIZE].ljust(HEADER_SIZE, b"\x00"))
-            rec = np.zeros(1, dtype=dt)
-            rec["start_flag"] = START_FLAG
-            rec["index"] = row["index"]
-            rec["timestamp"] = row["timestamp"]
-            rec["n_channels"] = N_CHANNELS
-            rec["hp_flag"] = HP_FLAG
-            rec["signal"][0] = np.asarray(row["signal"], dtype=np.int16)
-            out.write(rec.tobytes())
-        if out is not None:
-            out.write(self.footer.encode("latin-1"))
-            out.close()
-        return _Written(written)
+        taken = {os.path.basename(i.path): i.path for i in f.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.File}
+        if self.overwrite:
+            for path in taken.values():
+                f.delete_file(path)
+            taken = {}
+        for m in [m for m in messages if m is not None and m.files]:
+            for name in m.files:
+                final, k = f"{name}.dat", 0
+                while final in taken:
+                    k += 1
+                    final = f"{name}.{k}.dat"
+                taken[final] = final
+                f.move(f"{m.folder}/{name}", f"{base}/{final}")
+            f.delete_dir(m.folder)
+
+    def abort(self, messages):
+        f, _, _ = _fs(self.path)
+        for m in messages:
+            if m is not None and m.files:
+                f.delete_dir(m.folder)
 
 
 class EventFileDataSource(DataSource):
@@ -295,10 +353,11 @@ class EventFileDataSource(DataSource):
         return FILE_SCHEMA if self.options.get("mode", "events") == "files" else EVENT_SCHEMA
 
     def reader(self, schema):
-        return EventFileReader(self.options, schema)
+        pushing = str(self.options.get("pushFilters", "false")).lower() == "true"
+        return (PushingEventFileReader if pushing else EventFileReader)(self.options, schema)
 
     def writer(self, schema, overwrite):
-        return EventFileWriter(self.options)
+        return EventFileWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -308,7 +367,7 @@ def register(spark) -> None:
 
 def read_events(spark, path: str, **options):
     register(spark)
-    r = spark.read.format("event_file")
+    r = spark.read.format("event_file").option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for k, v in options.items():
         r = r.option(k, str(v))
     return r.load(path)

@@ -66,9 +66,33 @@ def test_seek_prunes_splits(spark, folder):
     assert EF.read_events(spark, d, eventsPerSplit=4).rdd.getNumPartitions() == 10 + 3
     ev = EF.read_events(spark, d, eventsPerSplit=4, eventFrom=8, eventTo=9)
     assert ev.rdd.getNumPartitions() == 2   # one split per file
-    from pyspark.sql import functions as F
-    got = sorted((r["series"], r["event_pos"]) for r in ev.where(F.col("event_pos").between(8, 9)).collect())
+    got = sorted((r["series"], r["event_pos"]) for r in ev.collect())  # exact without a filter
     assert got == [(5, 8), (5, 9), (223, 8), (223, 9)]
+    assert [r["event_pos"] for r in EF.read_events(spark, d, eventsPerSplit=4, eventFrom=3, eventTo=3).collect()] == [3, 3]
+
+
+def test_pushed_filters_give_the_same_rows(spark, folder):
+    from pyspark.sql import functions as F
+
+    d, _ = folder
+    plain = EF.read_events(spark, d, eventsPerSplit=4).where(F.col("event_pos").between(3, 5) & (F.col("run") == 10))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = EF.read_events(spark, d, eventsPerSplit=4).where(F.col("event_pos").between(3, 5) & (F.col("run") == 10))
+        assert sorted(r["event_pos"] for r in pushed.collect()) == [3, 4, 5]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sorted(r["event_pos"] for r in plain.collect()) == [3, 4, 5]
+
+
+def test_paths(spark, folder):
+    d, _ = folder
+    for path in (f"file:{d}", f"file://{d}", f"file:{d}/S*.dat,{d}/C*.dat"):
+        assert EF.read_events(spark, path).count() == 48, path
+    with pytest.raises(ValueError):
+        EF.list_files("relative/folder")
+    with pytest.raises(Exception):
+        EF.list_files("nosuch://bucket/x")
 
 
 def test_failfast_flags(spark):
@@ -88,3 +112,29 @@ def test_writer_round_trip(spark):
     back = EF.read_events(spark, d + "/out")
     assert back.count() == 6
     assert back.agg(F.sum(EF.signal_sum())).first()[0] == sum(sum(sum(ch) for ch in r[6]) for r in rows)
+
+
+def test_append_keeps_what_is_there_and_overwrite_replaces(spark):
+    d = tempfile.mkdtemp(prefix="densitykit-ev-", dir="/tmp")
+    schema = "type STRING, series INT, run INT, board INT, index INT, timestamp DOUBLE, signal ARRAY<ARRAY<SMALLINT>>"
+
+    def rows(n, at):
+        return spark.createDataFrame([("S", 1, 1, 1, at + i, 0.0, [[c] * 2048 for c in range(8)]) for i in range(n)], schema)
+
+    EF.write_event_files(rows(3, 0), d)
+    EF.write_event_files(rows(1, 3), d)
+    EF.write_event_files(rows(2, 4), d)
+    back = EF.read_events(spark, d)
+    assert sorted(r["index"] for r in back.select("index").collect()) == [0, 1, 2, 3, 4, 5]
+    assert sorted(os.listdir(d)) == ["S1r1b1.1.dat", "S1r1b1.2.dat", "S1r1b1.dat"]  # no attempt folder is left
+    assert {(r["type"], r["series"], r["run"], r["board"]) for r in EF.read_event_files(spark, d).collect()} == {("S", 1, 1, 1)}
+    rows(1, 9).coalesce(1).write.format("event_file").mode("overwrite").save(d)
+    assert [r["index"] for r in EF.read_events(spark, d).collect()] == [9]
+
+
+def test_failed_write_leaves_nothing(spark):
+    d = tempfile.mkdtemp(prefix="densitykit-ev-", dir="/tmp")
+    bad = spark.createDataFrame([("S", 1, 1, 1, 0, 0.0, [[1, 2]])], "type STRING, series INT, run INT, board INT, index INT, timestamp DOUBLE, signal ARRAY<ARRAY<SMALLINT>>")
+    with pytest.raises(Exception):
+        EF.write_event_files(bad, d)
+    assert EF.list_files(d) == []
