@@ -27,32 +27,29 @@ def wave_mean(v) -> Column:
     return wave_sum(v) / F.size(v)
 
 
-def wave_std(v) -> Column:
-    """Population standard deviation (ddof 0)."""
-    v = _c(v)
-    m = wave_mean(v)
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(v))
+def bound(v, f) -> Column:
+    """``f`` of an array that is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(_c(v)), f), 1)
 
 
-def zscore(v) -> Column:
-    """``(v - mean) / std`` with the population std; a zero std divides by 1.
+def _with_moments(v, f) -> Column:
+    """``f(array, mean, population std)``, each computed once: linear in the array length."""
+    def moments(a):
+        n = F.size(a)
+        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x, lambda total: bound(F.try_divide(total, n), lambda m: F.aggregate(
+            a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m), lambda ss: f(a, m, F.sqrt(F.try_divide(ss, n))))))
 
-    The mean and the squared deviations are folded once per row (the finish functions of
-    two nested ``aggregate`` calls bind them), so the cost is linear in the array length."""
-    v = _c(v)
-    n = F.size(v)
+    return bound(v, moments)
 
-    def with_mean(total):
-        m = total / n
 
-        def with_ss(ss):
-            sd = F.sqrt(ss / n)
-            sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-            return F.transform(v, lambda x: (x - m) / sd)
+def wave_std(v) -> Column:
+    """Population standard deviation (ddof 0)."""
+    return _with_moments(v, lambda a, m, sd: sd)
 
-        return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m), with_ss)
 
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x, with_mean)
+def zscore(v) -> Column:
+    """``(v - mean) / std`` with the population std; a zero std divides by 1."""
+    return _with_moments(v, lambda a, m, sd: bound(F.when(sd == 0, F.lit(1.0)).otherwise(sd), lambda d: F.transform(a, lambda x: (x - m) / d)))
 
 
 def wave_window(v, start: int, length: int) -> Column:
@@ -73,19 +70,20 @@ def peak_value(v) -> Column:
 def roll(v, n) -> Column:
     """circular shift like ``np.roll(v, n)``: ``out[i] = v[(i - n) mod size]``. A
     fractional n is truncated towards zero first."""
-    v = _c(v)
-    size = F.size(v)
     n = _lit(n).cast("double").cast("int") if not isinstance(n, int) else F.lit(n)
-    s = F.pmod(n, size)
-    # last s elements first, then the rest
-    return F.when(s == 0, v).otherwise(F.concat(F.slice(v, size - s + 1, s), F.slice(v, 1, size - s)))
+
+    def shifted(a):
+        size = F.size(a)
+        s = F.pmod(n, size)  # last s elements first, then the rest
+        return F.when(s == 0, a).otherwise(F.concat(F.slice(a, size - s + 1, s), F.slice(a, 1, size - s)))
+
+    return bound(v, shifted)
 
 
 def align_peak(v, center: int, before: int, after: int) -> Column:
     """roll the first maximum to ``center``, keep ``[center-before, center+after)`` and
     z-score it (the reference uses center 1023, before 64, after 192)."""
-    v = _c(v)
-    rolled = roll(v, F.lit(center) - peak_index(v))
+    rolled = bound(v, lambda a: roll(a, F.lit(center) - peak_index(a)))
     return zscore(F.slice(rolled, center - before + 1, before + after))
 
 

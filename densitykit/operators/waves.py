@@ -36,84 +36,96 @@ def channel_zscore(df: DataFrame, keys: Sequence[str], signal: str = "signal") -
     return channels(df, keys, signal).withColumn("v", W.zscore("v"))
 
 
-def shift_scale_grid(spark, s_values=None, u_values=None, r_values=None) -> DataFrame:
-    """F9 grid: ``s`` 0.5..2.0 step 0.25, ``u`` -1..1 step 0.5, ``r`` -8..8 (595 rows). The
-    reference's start point (s=1, u=0, r=0) is on the grid."""
+def best_shift_scale(pairs: DataFrame, v1: str = "v1", v2: str = "v2", keys: Sequence[str] = ("u1", "u2"),
+                     s_values=None, u_values=None, r_values=None) -> DataFrame:
+    """for each pair of equal-length waves the grid point with the smallest shift/scale distance; ties
+    go to the smallest ``(|r|, r, s, u)``. The grid is ``s`` 0.5..2.0 step 0.25, ``u`` -1..1 step 0.5, ``r``
+    -8..8 (595 points; the reference's start point s=1, u=0, r=0 is on it).
+
+    In the row, without a join: with ``D_r`` the dot product of ``roll(v1, r)`` and v2, the squared distance
+    is ``s^2 Q1 + Q2 / s^2 - 2 D_r + 4 u (s S1 - S2 / s) + 4 u^2 n`` (S sums, Q sums of squares), so one dot product for each r
+    serves all (s, u). The points within rounding of the least value are then compared by their exact distance.
+    """
     s_values = s_values if s_values is not None else [float(x) for x in np.arange(0.5, 2.0001, 0.25)]
     u_values = u_values if u_values is not None else [float(x) for x in np.arange(-1.0, 1.0001, 0.5)]
     r_values = r_values if r_values is not None else list(range(-8, 9))
-    rows = [(s, u, r) for s in s_values for u in u_values for r in r_values]
-    return spark.createDataFrame(rows, "s DOUBLE, u DOUBLE, r INT")
-
-
-def best_shift_scale(pairs: DataFrame, v1: str = "v1", v2: str = "v2", keys: Sequence[str] = ("u1", "u2"),
-                     grid: DataFrame | None = None) -> DataFrame:
-    """for each pair the grid point with the smallest shift/scale distance; ties go to the
-    smallest ``(|r|, r, s, u)``. The grid is a fixed parameter table (595 rows) and is
-    broadcast; the per-pair minimum is a partial + final aggregate."""
-    spark = pairs.sparkSession
-    grid = grid if grid is not None else shift_scale_grid(spark)
-    j = pairs.join(F.broadcast(grid))
-    d = j.select(*keys, W.shift_scale_distance(v1, v2, F.col("s"), F.col("u"), F.col("r")).alias("dist"),
-                 F.abs("r").alias("ar"), "r", "s", "u")
-    best = d.groupBy(*keys).agg(F.min(F.struct("dist", "ar", "r", "s", "u")).alias("b"))
-    return best.select(*keys, F.col("b.dist").alias("dist"), F.col("b.s").alias("s"), F.col("b.u").alias("u"),
-                       F.col("b.r").alias("r"))
-
-
-def pulse_fit(long: DataFrame, keys: Sequence[str], x: str = "pos", v: str = "v", baseline="zero",
-              threshold: float = 0.2, center: float | None = None) -> DataFrame:
-    """fit ``a + b exp(-(x-c)^2/d)`` per group in closed form.
+    su = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(u).alias("u")) for s in s_values for u in u_values])
+    add = lambda acc, x: acc + x
+    total = lambda a: F.aggregate(a, F.lit(0.0), add)
+    x, y = F.col(v1), F.col(v2)
+    sums = F.struct(total(x).alias("s1"), total(y).alias("s2"), total(F.transform(x, lambda a: a * a)).alias("q1"),
+                    total(F.transform(y, lambda a: a * a)).alias("q2"), F.size(x).alias("n"))
+    dots = F.transform(F.array(*[F.lit(int(r)) for r in r_values]),
+                       lambda r: F.struct(r.alias("r"), total(F.zip_with(W.roll(x, r), y, lambda a, b: a * b)).alias("d")))
+
+    def points(m):
+        return F.flatten(F.transform(dots, lambda d: F.transform(su, lambda g: F.struct(
+            d["r"].alias("r"), g["s"].alias("s"), g["u"].alias("u"),
+            (g["s"] * g["s"] * m["q1"] + m["q2"] / (g["s"] * g["s"]) - 2 * d["d"] + 4 * g["u"] * (g["s"] * m["s1"] - m["s2"] / g["s"])
+             + 4 * g["u"] * g["u"] * m["n"]).alias("e")))))
+
+    def exact(grid, m):
+        slack = (m["q1"] * 4 + m["q2"] * 4 + m["n"] + 1) * 1e-9
+        return bound_min(grid, lambda least: F.array_min(F.transform(F.filter(grid, lambda c: c["e"] <= least + slack), lambda c: F.struct(
+            W.shift_scale_distance(x, y, c["s"], c["u"], c["r"]).alias("dist"), F.abs(c["r"]).alias("ar"), c["r"].alias("r"), c["s"].alias("s"), c["u"].alias("u")))))
+
+    def bound_min(grid, f):
+        return W.bound(F.array_min(F.transform(grid, lambda c: c["e"])), f)
+
+    best = W.bound(sums, lambda m: W.bound(points(m), lambda grid: exact(grid, m)))
+    return pairs.withColumn("_b", best).select(*keys, F.col("_b.dist").alias("dist"), F.col("_b.s").alias("s"), F.col("_b.u").alias("u"),
+                                               F.col("_b.r").alias("r"))
+
+
+def pulse_fit(waves: DataFrame, keys: Sequence[str], v: str = "v", baseline="zero", threshold: float = 0.2,
+              center: float | None = None) -> DataFrame:
+    """fit ``a + b exp(-(x-c)^2/d)`` to each row's array in closed form (x is the position).
 
     With the baseline ``a`` given (``'zero'``, ``'min'`` or a number), ``ln(v - a)`` is a
     quadratic ``q0 + q1 u + q2 u^2`` in ``u = x - center``; eight sums over the samples with
     ``v - a > threshold * (max - a)`` (and ``v - a > 0``) give it by Cramer's rule. Then
     ``d = -1/q2``, ``c = center - q1/(2 q2)``, ``b = exp(q0 - q1^2/(4 q2))`` and ``res`` is the
     squared residual over all samples. Nulls when ``q2 >= 0`` or fewer than three samples.
-    ``center`` defaults to the middle of the positions of each group.
+    ``center`` defaults to the middle of the positions. All folds stay in the row: no join, no shuffle.
     """
     thr = float(threshold or 0.0)
-    g = long.groupBy(*keys).agg(F.max(v).alias("_mx"), F.min(v).alias("_mn"),
-                                F.min(x).alias("_x0"), F.max(x).alias("_x1"))
     if baseline == "zero":
         a = F.lit(0.0)
     elif baseline == "min":
-        a = F.col("_mn")
+        a = F.array_min(v)
     else:
         a = F.lit(float(baseline))
-    g = g.select(*keys, a.alias("a"), "_mx",
-                 (F.lit(float(center)) if center is not None else (F.col("_x0") + F.col("_x1")) / 2.0).alias("xbar"))
-    j = long.join(g, list(keys))
-    y = F.col(v) - F.col("a")
-    keep = (y > F.lit(float(thr)) * (F.col("_mx") - F.col("a"))) & (y > 0)
-    u = F.col(x).cast("double") - F.col("xbar")
-    lg = F.log(y)
-    s = j.groupBy(*keys, "a", "xbar").agg(
-        F.sum(F.when(keep, 1.0)).alias("n"), F.sum(F.when(keep, u)).alias("su"),
-        F.sum(F.when(keep, u * u)).alias("s2"), F.sum(F.when(keep, u * u * u)).alias("s3"),
-        F.sum(F.when(keep, u * u * u * u)).alias("s4"), F.sum(F.when(keep, lg)).alias("l0"),
-        F.sum(F.when(keep, u * lg)).alias("l1"), F.sum(F.when(keep, u * u * lg)).alias("l2"))
-    n, su, s2, s3, s4, l0, l1, l2 = (F.col(c) for c in ("n", "su", "s2", "s3", "s4", "l0", "l1", "l2"))
+    xbar = F.lit(float(center)) if center is not None else (F.size(v) - 1) / F.lit(2.0)
+    names = ("n", "su", "s2", "s3", "s4", "l0", "l1", "l2")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def step(acc, t):
+        u, lg = t["u"], t["l"]
+        more = (F.lit(1.0), u, u * u, u * u * u, u * u * u * u, lg, u * lg, u * u * lg)
+        return F.struct(*[(acc[k] + m).alias(k) for k, m in zip(names, more)])
+
+    w = waves.select(*keys, F.col(v).alias("_v"), a.cast("double").alias("a"), xbar.alias("xbar"), F.array_max(v).alias("_mx"))
+    y = F.transform("_v", lambda x, i: F.struct((i.cast("double") - F.col("xbar")).alias("u"), (x - F.col("a")).alias("y")))
+    kept = F.filter(y, lambda t: (t["y"] > thr * (F.col("_mx") - F.col("a"))) & (t["y"] > 0))
+    logs = F.transform(kept, lambda t: F.struct(t["u"].alias("u"), F.log(t["y"]).alias("l")))
+    s = w.withColumn("_s", F.aggregate(logs, zero, step)).select(*keys, "_v", "a", "xbar", "_s.*")
+    n, su, s2, s3, s4, l0, l1, l2 = (F.col(c) for c in names)
 
     def det3(a11, a12, a13, a21, a22, a23, a31, a32, a33):
         return a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31)
 
     det = det3(n, su, s2, su, s2, s3, s2, s3, s4)
-    q0 = det3(l0, su, s2, l1, s2, s3, l2, s3, s4) / det
-    q1 = det3(n, l0, s2, su, l1, s3, s2, l2, s4) / det
-    q2 = det3(n, su, l0, su, s2, l1, s2, s3, l2) / det
-    ok = (F.coalesce(n, F.lit(0.0)) >= 3) & (det != 0)
-    fit = s.select(*keys, "a", "xbar", F.when(ok, q0).alias("q0"), F.when(ok, q1).alias("q1"),
-                   F.when(ok, q2).alias("q2"))
-    fit = fit.select(*keys, "a",
-                     F.when(F.col("q2") < 0, F.exp(F.col("q0") - F.col("q1") * F.col("q1") / (4 * F.col("q2")))).alias("b"),
-                     F.when(F.col("q2") < 0, F.col("xbar") - F.col("q1") / (2 * F.col("q2"))).alias("c"),
-                     F.when(F.col("q2") < 0, -1.0 / F.col("q2")).alias("d"))
-    r = long.join(fit, list(keys)).groupBy(*keys).agg(
-        F.sum(F.pow(F.col(v) - W.pulse(F.col(x).cast("double"), F.col("a"), F.col("b"), F.col("c"), F.col("d")), 2))
-        .alias("res"))
-    return fit.join(r, list(keys)).select(*keys, "a", "b", "c", "d",
-                                          F.when(F.col("b").isNotNull(), F.col("res")).alias("res"))
+    ok = (n >= 3) & (det != 0)
+    q = s.select(*keys, "_v", "a", "xbar", *[F.when(ok, d / det).alias(k) for k, d in (
+        ("q0", det3(l0, su, s2, l1, s2, s3, l2, s3, s4)), ("q1", det3(n, l0, s2, su, l1, s3, s2, l2, s4)),
+        ("q2", det3(n, su, l0, su, s2, l1, s2, s3, l2)))])
+    down = F.col("q2") < 0
+    f = q.select(*keys, "_v", "a",
+                 F.when(down, F.exp(F.col("q0") - F.col("q1") * F.col("q1") / (4 * F.col("q2")))).alias("b"),
+                 F.when(down, F.col("xbar") - F.col("q1") / (2 * F.col("q2"))).alias("c"),
+                 F.when(down, -1.0 / F.col("q2")).alias("d"))
+    off = F.transform("_v", lambda x, i: F.pow(x - W.pulse(i.cast("double"), F.col("a"), F.col("b"), F.col("c"), F.col("d")), 2))
+    return f.select(*keys, "a", "b", "c", "d", F.when(F.col("b").isNotNull(), F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x)).alias("res"))
 
 
 def pop_stats(long: DataFrame, by: Sequence[str] = ("channel", "pos"), v: str = "v") -> DataFrame:
@@ -121,16 +133,16 @@ def pop_stats(long: DataFrame, by: Sequence[str] = ("channel", "pos"), v: str =
     return long.groupBy(*by).agg(F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
 
 
-def renormalize(long: DataFrame, stats: DataFrame, keys: Sequence[str], divisor: str = "std",
-                by: Sequence[str] = ("channel", "pos"), v: str = "v") -> DataFrame:
-    """``(v - mean) / std`` by (channel, pos) population stats, then each event channel
-    z-scored; ``divisor='variance'`` divides by the variance (the reference's formula). The
-    stats table has one row per (channel, position), a fixed size, so it is broadcast."""
+def renormalize(waves: DataFrame, stats: DataFrame, keys: Sequence[str], divisor: str = "std", v: str = "v") -> DataFrame:
+    """rows ``keys, channel, v ARRAY``: ``(v - mean) / std`` by (channel, pos) population stats, then each
+    row z-scored; ``divisor='variance'`` divides by the variance (the reference's formula). The stats are
+    folded into one array row for each channel (a size fixed by the file format), which is broadcast; the samples
+    are not shuffled."""
     if divisor not in ("std", "variance"):
         raise ValueError("divisor must be 'std' or 'variance'")
     den = F.sqrt("var") if divisor == "std" else F.col("var")
-    den = F.when(den == 0, F.lit(1.0)).otherwise(den)
-    j = long.join(F.broadcast(stats), list(by)).withColumn("r", (F.col(v) - F.col("mean")) / den)
-    group = [k for k in keys] + [b for b in by if b != "pos"]
-    waves = to_wave(j.select(*group, "pos", "r"), group, v="r", out="w")
-    return to_long(waves.withColumn("w", W.zscore("w")), group, v="w", out="z")
+    per = stats.select("channel", "pos", "mean", F.when(den == 0, F.lit(1.0)).otherwise(den).alias("den")) \
+        .groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "den"))).alias("_st"))
+    j = waves.join(F.broadcast(per), "channel")
+    scaled = F.zip_with(F.col(v), F.slice("_st", F.lit(1), F.size(v)), lambda x, t: (x - t["mean"]) / t["den"])
+    return j.select(*keys, "channel", W.zscore(scaled).alias(v))

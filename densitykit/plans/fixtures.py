@@ -78,20 +78,31 @@ def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return POINTS[name](spark, sf_dir)
 
 
+#: Wave ids are ``user_id * WAVE_STEP + block``.
+WAVE_STEP = 1_000_000
+
+
 def w40_long(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """W40 long form ``user_id, pos, v``: the first n event values per user by (ts, event_id)."""
+    """W40 long form ``wave_id, pos, v``: every user's whole series of event values by (ts, event_id),
+    cut into consecutive waves of n values (the last one of a user may be shorter).
+
+    The place of a value in its user's series is the number of the user's events on earlier days plus
+    its place within the day, so no task holds the whole series of a user with very many events.
+    """
     from pyspark.sql import Window
 
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    # filter on the row number itself so Spark plans a window group limit (a partial top-n per
-    # user before the shuffle): a user with a huge share of events still moves only n rows/task
-    return ev.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n) \
-        .select("user_id", (F.col("_rn") - 1).cast("int").alias("pos"), F.col("value").cast("double").alias("v"))
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("_d", F.to_date("ts"))
+    days = ev.groupBy("user_id", "_d").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy("user_id").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("user_id", "_d", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"))
+    day = Window.partitionBy("user_id", "_d").orderBy("ts", "event_id")
+    at = ev.withColumn("_r", F.row_number().over(day) - 1).join(days, ["user_id", "_d"]).withColumn("_p", F.col("_o") + F.col("_r"))
+    return at.select((F.col("user_id") * WAVE_STEP + F.floor(F.col("_p") / n)).cast("bigint").alias("wave_id"),
+                     (F.col("_p") % n).cast("int").alias("pos"), F.col("value").cast("double").alias("v"))
 
 
 def w40(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """W40 array form ``user_id, v ARRAY<DOUBLE>`` ordered by position."""
+    """W40 array form ``wave_id, v ARRAY<DOUBLE>`` ordered by position."""
     from densitykit.operators.waves import to_wave
 
-    return to_wave(w40_long(spark, sf_dir, n), ["user_id"])
+    return to_wave(w40_long(spark, sf_dir, n), ["wave_id"])

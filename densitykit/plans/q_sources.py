@@ -16,42 +16,45 @@ from densitykit.session import scratch_path
 from densitykit.sources import event_file as EF
 from densitykit.sources import files as SF
 
-# events derived from W40: one event per user, channel c sample s = floor(10 v[s mod 40]) + c;
-# a file holds the users of one (user_id div 64, user_id mod 3, user_id mod 2), so the number of
-# files grows with the data and no file (one writer task each) grows without bound
+# events derived from W40: one event per wave of n values, channel c sample s = floor(10 v[s mod n]) + c; a
+# file holds up to 64 blocks of the users of one (user_id div 64, user_id mod 3, user_id mod 2), so the number
+# of files grows with the data and no file (one writer task each) grows without bound
 _EV_SQL = f"""with {W40},
  u as (select user_id, min(ts) t0 from events group by user_id),
- f as (select user_id, (200 + user_id // 64)::int series, (user_id % 3 + 1)::int run, (user_id % 2 + 1)::int board,
+ i as (select distinct wave_id, wave_id // 1000000 user_id, wave_id % 1000000 block from w),
+ f as (select wave_id, (200 + user_id // 64)::int series, (user_id % 3 + 1 + 3 * (block // 64))::int run, (user_id % 2 + 1)::int board,
    epoch_us(t0) / 1000000.0 ts,
-   (row_number() over (partition by user_id // 64, user_id % 3, user_id % 2 order by user_id) - 1)::int idx from u),
- sg as (select user_id, 8 * sum(floor(v * 10)::bigint * case when pos < 8 then 52 else 51 end) + 2048 * 28 ssum,
-   max(floor(v * 10)::bigint) + 7 ch7 from w group by user_id)"""
+   (row_number() over (partition by user_id // 64, user_id % 3, block // 64, user_id % 2 order by wave_id) - 1)::int idx
+   from i join u using (user_id)),
+ sg as (select wave_id, 8 * sum(floor(v * 10)::bigint * (2048 // n + case when pos < 2048 % n then 1 else 0 end)) + 2048 * 28 ssum,
+   max(floor(v * 10)::bigint) + 7 ch7 from w group by wave_id)"""
 
 
 def _derived_events(spark, sf_dir):
-    w = fx.w40(spark, sf_dir)
+    w = fx.w40(spark, sf_dir).withColumn("user_id", F.floor(F.col("wave_id") / fx.WAVE_STEP)).withColumn("block", F.col("wave_id") % fx.WAVE_STEP)
     ev = fx.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("t0"))
     sig = F.transform(F.sequence(F.lit(0), F.lit(EF.N_CHANNELS - 1)), lambda c: F.transform(
         F.sequence(F.lit(0), F.lit(EF.N_SAMPLES - 1)),
-        lambda s: (F.floor(F.element_at(F.col("v"), F.pmod(s, F.lit(40)) + 1) * 10) + c).cast("smallint")))
+        lambda s: (F.floor(F.element_at(F.col("v"), F.pmod(s, F.size("v")) + 1) * 10) + c).cast("smallint")))
     d = w.join(ev, "user_id").select(
-        "user_id", F.lit("S").alias("type"), (F.lit(200) + F.floor(F.col("user_id") / 64)).cast("int").alias("series"),
-        (F.pmod("user_id", F.lit(3)) + 1).cast("int").alias("run"), (F.pmod("user_id", F.lit(2)) + 1).cast("int").alias("board"),
+        "wave_id", F.lit("S").alias("type"), (F.lit(200) + F.floor(F.col("user_id") / 64)).cast("int").alias("series"),
+        (F.pmod("user_id", F.lit(3)) + 1 + 3 * F.floor(F.col("block") / 64)).cast("int").alias("run"),
+        (F.pmod("user_id", F.lit(2)) + 1).cast("int").alias("board"),
         (fx.epoch_micros("t0") / 1000000.0).alias("timestamp"), sig.alias("signal"))
-    win = Window.partitionBy("series", "run", "board").orderBy("user_id")
+    win = Window.partitionBy("series", "run", "board").orderBy("wave_id")
     return d.withColumn("index", (F.row_number().over(win) - 1).cast("int"))
 
 
 def _event_folder(spark, sf_dir, split=16):
     path = scratch_path(spark, "events")
-    EF.write_event_files(_derived_events(spark, sf_dir).drop("user_id"), path, header="densitykit test run",
+    EF.write_event_files(_derived_events(spark, sf_dir).drop("wave_id"), path, header="densitykit test run",
                          footer="end of run")
     return path
 
 
 @register("event_scan", _EV_SQL + """
 select 'S' type, series, run, board, idx index, round(ts, 6) timestamp, 8 n_channels, 255 hp_flag,
- '********' start_flag, ssum signal_sum, ch7 ch7_peak from f join sg using (user_id)""")
+ '********' start_flag, ssum signal_sum, ch7 ch7_peak from f join sg using (wave_id)""")
 def q_event_scan(spark, sf_dir):
     """Events written as binary files (one per run/board) and read back by byte range
     (16 events per split, many files in one job)."""
@@ -123,16 +126,16 @@ def q_event_table(spark, sf_dir):
     return SF.save_table(rows, name, path=scratch_path(spark, "table"))
 
 
-@register("feature_sink", f"""with {W40} select user_id, round(max(v), 6) peak, round(avg(v), 6) mean from w group by user_id""")
+@register("feature_sink", f"""with {W40} select wave_id, round(max(v), 6) peak, round(avg(v), 6) mean from w group by wave_id""")
 def q_feature_sink(spark, sf_dir):
-    """Per-user features saved as text and read back."""
+    """Per-wave features saved as text and read back."""
     from densitykit.functions import waves as W
 
-    f = fx.w40(spark, sf_dir).select("user_id", F.array_max("v").alias("peak"), W.wave_mean("v").alias("mean"))
+    f = fx.w40(spark, sf_dir).select("wave_id", F.array_max("v").alias("peak"), W.wave_mean("v").alias("mean"))
     path = scratch_path(spark, "features-text")
-    SF.write_vectors_text(f, path, "user_id", ["peak", "mean"])
+    SF.write_vectors_text(f, path, "wave_id", ["peak", "mean"])
     v = read_vectors_text(spark, path, id_first=True)
-    return v.select(F.col("id").alias("user_id"), r6(F.col("values")[0]).alias("peak"), r6(F.col("values")[1]).alias("mean"))
+    return v.select(F.col("id").alias("wave_id"), r6(F.col("values")[0]).alias("peak"), r6(F.col("values")[1]).alias("mean"))
 
 
 @register("predictions_csv", f"with d as ({osql.fixture_dbscan_sql('PT', 2.0, 6)}) select id, label cluster from d")

@@ -51,12 +51,12 @@ def q_moments(spark, sf_dir):
                     *[F.round(f"var_{c}", 2).alias(f"var_{c}") for c in LI_COLS])
 
 
-@register("sorted_features", f"""with {W40} select user_id, min(pos) filter (where v = mx) peak_pos, max(mx) peak
-from w join (select user_id, max(v) mx from w group by user_id) using (user_id) group by user_id order by user_id""")
+@register("sorted_features", f"""with {W40} select wave_id, min(pos) filter (where v = mx) peak_pos, max(mx) peak
+from w join (select wave_id, max(v) mx from w group by wave_id) using (wave_id) group by wave_id order by wave_id""")
 def q_sorted_features(spark, sf_dir):
-    """A4: per-user peak features sorted by key (range exchange + sort)."""
+    """A4: per-wave peak features sorted by key (range exchange + sort)."""
     w = fx.w40(spark, sf_dir)
-    return w.select("user_id", W.peak_index("v").alias("peak_pos"), W.peak_value("v").alias("peak")).orderBy("user_id")
+    return w.select("wave_id", W.peak_index("v").alias("peak_pos"), W.peak_value("v").alias("peak")).orderBy("wave_id")
 
 
 def _halo(spark, sf_dir):
@@ -121,44 +121,44 @@ def q_all_pairs_blocked(spark, sf_dir):
 
 
 _FEAT_SQL = f"""{W40},
- f0 as (select user_id, max(v) peak, avg(v) mean, stddev_pop(v) sd, min(v) lo from w group by user_id),
- f as (select user_id, (peak - avg(peak) over ()) / stddev_samp(peak) over () f0, (mean - avg(mean) over ()) / stddev_samp(mean) over () f1,
+ f0 as (select wave_id, max(v) peak, avg(v) mean, stddev_pop(v) sd, min(v) lo from w group by wave_id),
+ f as (select wave_id, (peak - avg(peak) over ()) / stddev_samp(peak) over () f0, (mean - avg(mean) over ()) / stddev_samp(mean) over () f1,
    (sd - avg(sd) over ()) / stddev_samp(sd) over () f2, (lo - avg(lo) over ()) / stddev_samp(lo) over () f3 from f0)"""
 
 
 def _features(spark, sf_dir):
     w = fx.w40(spark, sf_dir)
-    f0 = w.select("user_id", F.array_max("v").alias("peak"), W.wave_mean("v").alias("mean"),
+    f0 = w.select("wave_id", F.array_max("v").alias("peak"), W.wave_mean("v").alias("mean"),
                   W.wave_std("v").alias("sd"), F.array_min("v").alias("lo"))
-    z = ST.standardize(f0, ["peak", "mean", "sd", "lo"], ddof=1, keep=["user_id"])
-    return z.select("user_id", F.col("peak").alias("f0"), F.col("mean").alias("f1"), F.col("sd").alias("f2"),
+    z = ST.standardize(f0, ["peak", "mean", "sd", "lo"], ddof=1, keep=["wave_id"])
+    return z.select("wave_id", F.col("peak").alias("f0"), F.col("mean").alias("f1"), F.col("sd").alias("f2"),
                     F.col("lo").alias("f3"))
 
 
 @register("rbf_edges", f"""with {_FEAT_SQL}
-select src, dst, weight from (select a.user_id src, b.user_id dst, round(exp(-((a.f0-b.f0)*(a.f0-b.f0)+(a.f1-b.f1)*(a.f1-b.f1)
+select src, dst, weight from (select a.wave_id src, b.wave_id dst, round(exp(-((a.f0-b.f0)*(a.f0-b.f0)+(a.f1-b.f1)*(a.f1-b.f1)
   +(a.f2-b.f2)*(a.f2-b.f2)+(a.f3-b.f3)*(a.f3-b.f3))), 6) weight,
   exp(-((a.f0-b.f0)*(a.f0-b.f0)+(a.f1-b.f1)*(a.f1-b.f1)+(a.f2-b.f2)*(a.f2-b.f2)+(a.f3-b.f3)*(a.f3-b.f3))) w
-  from f a join f b on a.user_id < b.user_id) where w >= 0.05""")
+  from f a join f b on a.wave_id < b.wave_id) where w >= 0.05""")
 def q_rbf_edges(spark, sf_dir):
-    """RBF similarity of standardised per-user features, edges with weight >= 0.05."""
-    e = PR.rbf_edges(_features(spark, sf_dir), ["f0", "f1", "f2", "f3"], key="user_id", min_weight=0.05)
+    """RBF similarity of standardised per-wave features, edges with weight >= 0.05."""
+    e = PR.rbf_edges(_features(spark, sf_dir), ["f0", "f1", "f2", "f3"], key="wave_id", min_weight=0.05)
     return e.select("src", "dst", r6("weight").alias("weight"))
 
 
 @register("rbf_pairs", f"""with {W40},
- z as (select user_id, pos, (v - m) / case when s = 0 then 1 else s end z from w
-   join (select user_id, avg(v) m, stddev_pop(v) s from w group by user_id) using (user_id)),
- pr as (select distinct a.user_id u1, b.user_id u2 from w a join w b on b.user_id = a.user_id + 10),
- d as (select pr.u1, pr.u2, sum((a.z - b.z) * (a.z - b.z)) d2 from pr join z a on a.user_id = pr.u1
-   join z b on b.user_id = pr.u2 and b.pos = a.pos group by pr.u1, pr.u2)
+ z as (select wave_id, pos, (v - m) / case when s = 0 then 1 else s end z from w
+   join (select wave_id, avg(v) m, stddev_pop(v) s from w group by wave_id) using (wave_id)),
+ pr as (select distinct a.wave_id u1, b.wave_id u2 from w a join w b on b.wave_id = a.wave_id + 10000000 and b.n = a.n),
+ d as (select pr.u1, pr.u2, sum((a.z - b.z) * (a.z - b.z)) d2 from pr join z a on a.wave_id = pr.u1
+   join z b on b.wave_id = pr.u2 and b.pos = a.pos group by pr.u1, pr.u2)
 select u1, u2, round(-d2, 4) log_weight, round(exp(-d2), 6) weight from d""")
 def q_rbf_pairs(spark, sf_dir):
-    """RBF similarity of chosen waveform pairs (u, u+10) after z-scoring."""
+    """RBF similarity of chosen waveform pairs of users u and u+10 after z-scoring."""
     w = fx.w40(spark, sf_dir)
-    a = w.select(F.col("user_id").alias("u1"), F.col("v").alias("v1"))
-    b = w.select(F.col("user_id").alias("u2"), F.col("v").alias("v2"))
-    pr = a.join(b, F.col("u2") == F.col("u1") + 10)
+    a = w.select(F.col("wave_id").alias("u1"), F.col("v").alias("v1"))
+    b = w.select(F.col("wave_id").alias("u2"), F.col("v").alias("v2"))
+    pr = a.join(b, (F.col("u2") == F.col("u1") + 10 * fx.WAVE_STEP) & (F.size("v1") == F.size("v2")))
     d = W.scaled_distance("v1", "v2")
     return pr.select("u1", "u2", F.round(-(d * d), 4).alias("log_weight"), r6(F.exp(-(d * d))).alias("weight"))
 

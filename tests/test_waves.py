@@ -59,7 +59,7 @@ def test_planted_pulses_recovered(spark):
     outs = []
     for a_val in [0.0, 2.0]:
         gs = [g for g, t in truth.items() if t[0] == a_val]
-        fit = OW.pulse_fit(long.where(F.col("g").isin(gs)), ["g"], baseline="zero" if a_val == 0 else a_val,
+        fit = OW.pulse_fit(OW.to_wave(long.where(F.col("g").isin(gs)), ["g"]), ["g"], baseline="zero" if a_val == 0 else a_val,
                            threshold=0.01)
         outs += fit.collect()
     assert len(outs) == len(truth)
@@ -77,3 +77,22 @@ def test_best_shift_scale_finds_planted(spark):
     pairs = spark.createDataFrame([(1, 2, v1, v2)], "u1 INT, u2 INT, v1 array<double>, v2 array<double>")
     r = OW.best_shift_scale(pairs).first()
     assert (r["s"], r["u"], r["r"]) == (1.5, 0.5, 2) and r["dist"] < 1e-9
+
+
+def test_moments_of_empty_and_constant_waves(spark):
+    df = spark.createDataFrame([([],), ([2.0],), ([1.0, 3.0],), (None,)], "v array<double>")
+    r = \
+        df.select(W.zscore("v").alias("z"), W.wave_std("v").alias("s")).collect()
+    assert [x["z"] for x in r] == [[], [0.0], [-1.0, 1.0], None] and [x["s"] for x in r] == [None, 0.0, 1.0, None]
+
+
+def test_best_shift_scale_equals_the_full_grid(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i + 1, rng.normal(0, 3, 12).round(3).tolist(), rng.normal(0, 3, 12).round(3).tolist()) for i in range(12)]
+    rows.append((90, 91, [1.0] * 12, [1.0] * 12))  # every roll ties
+    got = {r["u1"]: r for r in OW.best_shift_scale(spark.createDataFrame(rows, "u1 INT, u2 INT, v1 array<double>, v2 array<double>")).collect()}
+    grid = [(abs(r), r, s, u) for s in np.arange(0.5, 2.01, 0.25) for u in np.arange(-1, 1.01, 0.5) for r in range(-8, 9)]
+    for a, _, x, y in rows:
+        x, y = np.array(x), np.array(y)
+        best = min((np.linalg.norm(np.roll(x, r) * s + u - (y / s - u)), ar, r, s, u) for ar, r, s, u in grid)
+        assert abs(got[a]["dist"] - best[0]) < 1e-9 and (got[a]["s"], got[a]["u"], got[a]["r"]) == (best[3], best[4], best[1])
