@@ -21,12 +21,14 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from densitykit.operators.components import connected_components
 from densitykit.operators.neighbors import (
     _check_metric, choose_strategy, coarse_side, fine_side, grid_candidates, kd_candidates,
-    max_abs_coordinate, pairs_within, with_cells,
+    max_abs_coordinate, pairs_within, usable, with_cells,
 )
 from densitykit.operators.points import axis_names, check_unique_keys, point_dim
 from densitykit.session import ensure_checkpoint_dir, materialize
@@ -39,12 +41,13 @@ class DensityClusterer:
 
     ``points`` is a point table ``id, x0..x{k-1}`` (see ``as_points``). ``by`` names a group
     column: clusters are then found inside each group only (D3), and keys need only be
-    unique within a group.
+    unique within a group. A null, NaN or infinite coordinate is an error; ``nulls='drop'`` leaves
+    those points out. Noise has label -1 where keys are integers, and a null label otherwise.
     """
 
     def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean",
                  strategy: str = "auto", max_partitions: int | None = None, labels: str = "min",
-                 check_keys: bool = True, contract: bool = True, max_rounds: int = 100):
+                 check_keys: bool = True, contract: bool = True, max_rounds: int = 100, nulls: str = "error"):
         _check_metric(metric)
         if eps <= 0:
             raise ValueError("eps must be positive")
@@ -59,6 +62,7 @@ class DensityClusterer:
         self.check_keys = check_keys
         self.contract = contract
         self.max_rounds = max_rounds
+        self.nulls = nulls
 
     def fit(self, points: DataFrame, by: str | None = None, k: int | None = None) -> "DensityModel":
         spark = points.sparkSession
@@ -67,7 +71,7 @@ class DensityClusterer:
         axes = axis_names(k)
         strategy = choose_strategy(k, self.strategy)
         keys = ["g"] if by else []
-        pts = points.select(*([F.col(by).alias("g")] if by else []), "id", *axes)
+        pts = usable(points.select(*([F.col(by).alias("g")] if by else []), "id", *axes), k, self.nulls)
         if self.check_keys:
             check_unique_keys(pts.select(F.struct(*keys, "id").alias("key")) if by else pts, "key" if by else "id")
         if by:  # the key of a point is (group, id)
@@ -157,12 +161,16 @@ class DensityModel:
         out = raw
         if self.params.labels == "dense":
             out = dense_labels(out).withColumn("label", F.coalesce(F.col("label"), F.lit(-1)))
+        label = F.col("label")
+        if self.params.labels == "min":
+            if self.by:
+                label = F.col("label.id")
+            if isinstance(out.select(label.alias("l")).schema["l"].dataType, T.IntegralType):
+                label = F.coalesce(label, F.lit(-1)).cast("bigint")
         if self.by:
-            out = out.select(F.col("id.g").alias(self.by), F.col("id.id").alias("id"),
-                             F.coalesce(F.col("label.id"), F.lit(-1)).cast("bigint").alias("label")
-                             if self.params.labels == "min" else F.col("label"), "kind")
-        elif self.params.labels == "min":
-            out = out.select("id", F.coalesce(F.col("label"), F.lit(-1)).cast("bigint").alias("label"), "kind")
+            out = out.select(F.col("id.g").alias(self.by), F.col("id.id").alias("id"), label.alias("label"), "kind")
+        else:
+            out = out.select("id", label.alias("label"), "kind")
         return out
 
     def assignments(self) -> DataFrame:
@@ -194,11 +202,15 @@ class DensityModel:
 
 def dense_labels(raw: DataFrame) -> DataFrame:
     """Renumber cluster labels 0..m-1 in order of the lowest core key (noise stays null).
-    The distinct labels are numbered with a distributed ``zipWithIndex``, never in one task."""
-    spark = raw.sparkSession
-    distinct = raw.where(F.col("label").isNotNull()).select("label").distinct().orderBy("label")
-    schema = distinct.schema.add("dense", "long")
-    numbered = spark.createDataFrame(distinct.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])), schema)
+    The distinct labels are dealt to ranges; a label's number is the count of the ranges before it (one
+    row for each range) plus its place in its own range."""
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(raw.where(F.col("label").isNotNull()).select("label").distinct().repartitionByRange(parts, "label")
+                         .withColumn("_p", F.spark_partition_id()), "dense-labels")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    numbered = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("label"))).join(offs, "_p") \
+        .select("label", (F.col("_o") + F.col("_r") - 1).cast("long").alias("dense"))
     return raw.join(numbered, "label", "left").select("id", F.col("dense").alias("label"), "kind")
 
 

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densitykit.operators.points import axis_names, point_dim
+from densitykit.operators.points import axis_names, finite, point_dim
 
 METRICS = ("euclidean", "manhattan", "chebyshev")
 
@@ -65,13 +65,23 @@ def _sum(cs: list[Column]) -> Column:
 
 
 def max_abs_coordinate(points: DataFrame, k: int | None = None) -> float:
-    """Largest |coordinate| over all axes (one aggregate, partial + final)."""
+    """Largest |coordinate| over all axes (one aggregate, partial + final). Raises on a null, NaN or
+    infinite coordinate: it would make every cell number meaningless."""
     k = k or point_dim(points)
-    row = points.agg(F.greatest(*[F.max(F.abs(F.col(c))) for c in axis_names(k)], F.lit(0.0))
-                     .alias("m")).first()
+    row = points.agg(F.greatest(*[F.max(F.abs(F.col(c))) for c in axis_names(k)], F.lit(0.0)).alias("m"),
+                     F.count_if(~finite(points, k)).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} points have a null, NaN or infinite coordinate (nulls='drop' leaves them out)")
     return float(row["m"] or 0.0)
 
 
+def usable(points: DataFrame, k: int, nulls: str) -> DataFrame:
+    """``nulls='drop'`` leaves out points with a null, NaN or infinite coordinate."""
+    if nulls not in ("error", "drop"):
+        raise ValueError("nulls must be 'error' or 'drop'")
+    return points.where(finite(points, k)) if nulls == "drop" else points
+
+
 def coarse_side(eps: float, max_abs: float) -> float:
     """Cell side for candidate search: at least eps, widened by a margin that covers the
     rounding of ``x/side`` and of the distance arithmetic (a pair at computed distance eps
@@ -154,13 +164,17 @@ def pairs_within(cands: DataFrame, k: int, eps: float, metric: str) -> DataFrame
 
 
 def eps_join(points: DataFrame, eps: float, metric: str = "euclidean", strategy: str = "auto",
-             k: int | None = None, max_partitions: int | None = None, with_distance: bool = False) -> DataFrame:
+             k: int | None = None, max_partitions: int | None = None, with_distance: bool = False,
+             nulls: str = "error") -> DataFrame:
     """All ordered pairs ``(a, b)`` of a point table with ``dist(a, b) <= eps``, self
-    pairs included. Each ordered pair comes out exactly once."""
+    pairs included. Each ordered pair comes out exactly once. A null, NaN or infinite coordinate is an
+    error, or with ``nulls='drop'`` its point is left out."""
     _check_metric(metric)
     k = k or point_dim(points)
-    pts = points.select("id", *axis_names(k))
+    pts = usable(points.select("id", *axis_names(k)), k, nulls)
     strategy = choose_strategy(k, strategy)
+    if strategy == "kd":
+        max_abs_coordinate(pts, k)
     if strategy == "grid":
         side = coarse_side(eps, max_abs_coordinate(pts, k))
         cands = pairs_within(grid_candidates(pts, pts, k, side, symmetric=True), k, eps, metric)

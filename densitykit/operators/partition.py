@@ -2,8 +2,8 @@
 
 The tree is built one *level* per step: one grouped aggregate over all parts being split at
 that level (count, per-axis min/max/population variance), then one grouped median of the
-chosen axis. The driver only holds the split rows (at most ``max_partitions``, capped at
-4096). A point's part is found by a chain of broadcast joins with the per-level split
+chosen axis. The driver only holds the split rows (at most ``max_partitions``; more than
+``MAX_PARTS`` is an error). A point's part is found by a chain of broadcast joins with the per-level split
 tables (narrow, no shuffle), so the point table is never rewritten per level.
 
 Label order follows the reference tree: the parts of a level are split in queue order
@@ -11,8 +11,8 @@ Label order follows the reference tree: the parts of a level are split in queue
 takes the next free one. When ``max_partitions`` is not a power of two only a prefix of the
 last level is split.
 
-Splits: upper median ``sorted[n // 2]`` (exact ``percentile_disc``; ``percentile_approx`` for
-parts above ``exact_limit`` rows, which only affects balance). Left is ``x < m``, right
+Splits: upper median ``sorted[n // 2]`` (``percentile_disc``; with ``exact=False`` a quantile sketch of
+bounded size, which only affects balance, for tables whose distinct values of one axis don't fit a task). Left is ``x < m``, right
 ``x >= m``. A part whose chosen axis has no spread is not split; if the left side would be
 empty the split moves to the next larger distinct value.
 """
@@ -26,15 +26,14 @@ from pyspark.sql import functions as F
 
 from densitykit.operators.points import axis_names, point_dim
 
-MAX_PARTS = 4096
+#: Parts whose split rows the driver may hold.
+MAX_PARTS = 65_536
 
 
 def default_max_partitions(k: int, n: int | None = None) -> int:
-    """``min(4**k, 4096, n // 1000 + 1)`` (the reference used 4**k alone)."""
-    p = min(4 ** k, MAX_PARTS)
-    if n is not None:
-        p = min(p, n // 1000 + 1)
-    return max(p, 1)
+    """About 1000 rows a part, up to MAX_PARTS parts; ``4**k`` (the reference's number) if the row
+    count isn't known."""
+    return min(MAX_PARTS, n // 1000 + 1 if n is not None else 4 ** k)
 
 
 class KDPartition:
@@ -78,7 +77,7 @@ def apply_splits(points: DataFrame, level_tables: list[DataFrame], k: int) -> Da
 
 
 def kd_partition(points: DataFrame, max_partitions: int | None = None, k: int | None = None,
-                 axis: str = "variance", exact_limit: int = 2_000_000, approx_accuracy: int = 10000) -> KDPartition:
+                 axis: str = "variance", exact: bool = True, approx_accuracy: int = 10000) -> KDPartition:
     """Split a point table into up to ``max_partitions`` kd parts.
 
     ``axis='variance'`` (C1) picks the axis of greatest population variance (first wins
@@ -97,7 +96,9 @@ def kd_partition(points: DataFrame, max_partitions: int | None = None, k: int |
     n_total = int(root["n"])
     if max_partitions is None:
         max_partitions = default_max_partitions(k, n_total)
-    max_partitions = max(1, min(int(max_partitions), MAX_PARTS))
+    max_partitions = max(1, int(max_partitions))
+    if max_partitions > MAX_PARTS:
+        raise ValueError(f"max_partitions is at most {MAX_PARTS}: the driver holds a row for each split")
     if n_total == 0:
         bbox = None
     else:
@@ -131,7 +132,7 @@ def kd_partition(points: DataFrame, max_partitions: int | None = None, k: int |
         if chosen:
             ax_tbl = spark.createDataFrame([(p, a) for p, (a, _, _) in chosen.items()], "part INT, _axis INT")
             vals = cur.join(F.broadcast(ax_tbl), "part").select("part", _axis_value(k).alias("v"))
-            if max(c[1] for c in chosen.values()) <= exact_limit:
+            if exact:
                 med = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)")
             else:
                 med = F.percentile_approx("v", 0.5, approx_accuracy)
@@ -199,15 +200,15 @@ def halo_descend(points: DataFrame, level_tables: list[DataFrame], k: int, radiu
 
 def halo_join(points: DataFrame, boxes: DataFrame, radius: float, k: int | None = None) -> DataFrame:
     """Every point copied into each part whose box grown by ``radius`` contains it
-    (inclusive). ``boxes`` has at most ``MAX_PARTS`` rows, so it is broadcast; Spark plans the
-    range predicate as a broadcast nested-loop join, N x P compares in one pass."""
+    (inclusive). For any box table; Spark plans the range predicate as a nested-loop join, N x P
+    compares. For the boxes of a ``KDPartition`` use its ``halo`` (tree descent)."""
     from densitykit.functions.boxes import box_contains_cols, box_expand_add
 
     k = k or point_dim(points)
     g = boxes.select("part", box_expand_add(F.col("lo"), F.col("hi"), radius).alias("g")) \
         .select("part", F.col("g.lo").alias("_glo"), F.col("g.hi").alias("_ghi"))
     pts = points.drop("part") if "part" in points.columns else points
-    return pts.join(F.broadcast(g), box_contains_cols(F.col("_glo"), F.col("_ghi"), axis_names(k))) \
+    return pts.join(g, box_contains_cols(F.col("_glo"), F.col("_ghi"), axis_names(k))) \
         .drop("_glo", "_ghi")
 
 

@@ -37,12 +37,13 @@ def _guard(c: Column, name: str, nulls: str) -> Column:
 
 def as_points(df: DataFrame, key: str = "id", cols: Sequence[str] | None = None,
               array_col: str | None = None, k: int | None = None, nulls: str = "error",
-              keep: Sequence[str] = ()) -> DataFrame:
+              keep: Sequence[str] = (), axes: Sequence[int] | None = None) -> DataFrame:
     """Select a key and k coordinates as ``id, x0..x{k-1}`` DOUBLE.
 
-    ``cols`` names one column per axis; ``array_col`` names an array column whose first
-    ``k`` elements are the axes (k defaults to the size of the first row's array, and every
-    row must have that size). ``nulls='error'`` fails the job on a null/NaN coordinate,
+    ``cols`` names one column per axis; ``array_col`` names an array column whose elements are
+    the axes; every row must have exactly ``k`` of them (k defaults to the size of the first row's
+    array), another size fails the job. ``axes`` picks elements of the array (0-based) as x0, x1, ..
+    ``nulls='error'`` fails the job on a null/NaN coordinate,
     lazily (``raise_error`` inside the projection, no extra pass); ``'drop'`` filters them.
     """
     if nulls not in ("error", "drop"):
@@ -59,11 +60,12 @@ def as_points(df: DataFrame, key: str = "id", cols: Sequence[str] | None = None,
             if k == 0:
                 raise ValueError(f"cannot infer k from {array_col}")
         arr = F.col(array_col)
-        size_ok = F.when(F.size(arr) < F.lit(k),
-                         F.raise_error(F.lit(f"{array_col} has fewer than {k} elements")))
-        exprs = [F.coalesce(size_ok, arr[i]).cast("double") if i == 0 else arr[i].cast("double")
-                 for i in range(k)]
-        names = [f"{array_col}[{i}]" for i in range(k)]
+        size_ok = F.when(F.size(arr) != F.lit(k),
+                         F.raise_error(F.lit(f"{array_col} does not have {k} elements")))
+        pick = list(range(k)) if axes is None else [int(i) for i in axes]
+        exprs = [F.coalesce(size_ok, arr[i]).cast("double") if n == 0 else arr[i].cast("double")
+                 for n, i in enumerate(pick)]
+        names = [f"{array_col}[{i}]" for i in pick]
     out = df.select(F.col(key).alias("id"),
                     *[_guard(e, n, nulls).alias(f"x{i}") for i, (e, n) in enumerate(zip(exprs, names))],
                     *[F.col(c) for c in keep])
@@ -76,6 +78,15 @@ def as_points(df: DataFrame, key: str = "id", cols: Sequence[str] | None = None,
     return out
 
 
+def finite(points: DataFrame, k: int | None = None) -> Column:
+    """Whether every coordinate is a finite number."""
+    ok = None
+    for c in axis_names(k or point_dim(points)):
+        t = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+        ok = t if ok is None else ok & t
+    return ok
+
+
 def points_array(points: DataFrame, k: int | None = None, name: str = "p") -> DataFrame:
     """``id, x0..`` -> ``id, p ARRAY<DOUBLE>`` (the keyed-vector shape)."""
     k = k or point_dim(points)

@@ -28,13 +28,14 @@ def voxel_bounds(counts: DataFrame, k: int) -> DataFrame:
 
 
 def voxel_range_count(counts: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
-    """V4: points in voxels lying inside a bounding voxel range (B8 per axis). ``bounds`` is
-    one row, joined as a broadcast single row."""
+    """V4: for each row of ``bounds`` (``lo0.., hi0..``; usually the one row of ``voxel_bounds``), the points in voxels
+    lying inside that voxel range (B8 per axis): ``lo.., hi.., n``. A range without points has no row."""
     cond = None
     for i in range(k):
         t = (F.col(f"c{i}") >= F.col(f"lo{i}")) & (F.col(f"c{i}") <= F.col(f"hi{i}"))
         cond = t if cond is None else cond & t
-    return counts.join(F.broadcast(bounds.limit(1)), cond).agg(F.sum("cnt").cast("bigint").alias("n"))
+    ends = [f"{e}{i}" for i in range(k) for e in ("lo", "hi")]
+    return counts.join(bounds, cond).groupBy(*ends).agg(F.sum("cnt").cast("bigint").alias("n"))
 
 
 def voxel_key_counts(df: DataFrame, p1: str = "p1", p2: str = "p2", weight: str | None = None) -> DataFrame:

@@ -182,7 +182,7 @@ def q_voxel_range_count(spark, sf_dir):
     p = _ptb(spark, sf_dir)
     v = vx.voxel_corners(p, 1.0).join(p.select("id", "p_size"), "id")
     bounds = vx.voxel_bounds(vx.voxel_counts(v.where("p_size <= 10"), 2), 2)
-    return vx.voxel_range_count(vx.voxel_counts(v, 2), bounds, 2)
+    return vx.voxel_range_count(vx.voxel_counts(v, 2), bounds, 2).select("n")
 
 
 @register("voxel_key_count", _V_SQL + """select c0 p1_0, c1 p1_1, c0 + 1 p2_0, c1 + 1 p2_1, count(*) cnt

@@ -97,12 +97,14 @@ def q_path_fields(spark, sf_dir):
     return ev.select("event_id", *SF.path_fields(path))
 
 
-@register("points_scan", """select vec_id id, round(embedding[1]::double, 6) x0, round(embedding[2]::double, 6) x1,
- round(embedding[3]::double, 6) x2 from embeddings""")
+_ALL64 = ", ".join(f"round(embedding[{i + 1}]::double, 6) x{i}" for i in range(64))
+
+
+@register("points_scan", f"select vec_id id, {_ALL64} from embeddings")
 def q_points_scan(spark, sf_dir):
-    """Keyed points from an array column (first 3 of 64 coordinates, cast to DOUBLE)."""
-    p = as_points(fx.table(spark, sf_dir, "embeddings"), key="vec_id", array_col="embedding", k=3)
-    return p.select("id", *[r6(f"x{i}").alias(f"x{i}") for i in range(3)])
+    """Keyed points from an array column (all 64 coordinates, cast to DOUBLE)."""
+    p = as_points(fx.table(spark, sf_dir, "embeddings"), key="vec_id", array_col="embedding", k=64)
+    return p.select("id", *[r6(f"x{i}").alias(f"x{i}") for i in range(64)])
 
 
 @register("points_text", f"select id, x0, x1 from ({osql.POINTS_SQL['PT']})")

@@ -179,3 +179,42 @@ def test_neighbour_counts_match_pairs(spark):
     n = {r["id"]: r["n"] for r in neighbour_counts(pts, 2.0).collect()}
     p = eps_join(pts, 2.0).groupBy("a").count().collect()
     assert n == {r["a"]: r["count"] for r in p}
+
+
+@pytest.mark.parametrize("strategy", ["grid", "kd"])
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_bad_coordinates_are_an_error_or_left_out(spark, strategy, bad):
+    rows = [(i, 0.1 * i, 0.0) for i in range(10)] + [(100 + i, 100 + 0.1 * i, 0.0) for i in range(10)] + [(999, bad, 0.0)]
+    pts = points_df(spark, rows)
+    with pytest.raises(ValueError):
+        DensityClusterer(1.0, 3, strategy=strategy).fit(pts)
+    with pytest.raises(ValueError):
+        eps_join(pts, 1.0, strategy=strategy).count()
+    got = {r["id"]: r["label"] for r in DensityClusterer(1.0, 3, strategy=strategy, nulls="drop").fit(pts).result.collect()}
+    assert got == {**{i: 0 for i in range(10)}, **{100 + i: 100 for i in range(10)}}
+    assert eps_join(pts, 1.0, strategy=strategy, nulls="drop").where("a = 999 or b = 999").count() == 0
+
+
+def test_string_keys_and_dense_labels(spark):
+    rows = [(f"k{i:02d}", 0.1 * i, 0.0) for i in range(5)] + [(f"m{i}", 50 + 0.1 * i, 0.0) for i in range(5)] + [("zz", 500.0, 0.0)]
+    pts = spark.createDataFrame(rows, "id STRING, x0 DOUBLE, x1 DOUBLE")
+    got = {r["id"]: r["label"] for r in DensityClusterer(1.0, 3).fit(pts).result.collect()}
+    assert got["k04"] == "k00" and got["m3"] == "m0" and got["zz"] is None
+    dense = {r["id"]: r["label"] for r in DensityClusterer(1.0, 3, labels="dense").fit(pts).result.collect()}
+    assert (dense["k01"], dense["m1"], dense["zz"]) == (0, 1, -1)
+
+
+def test_arrays_of_another_size_are_an_error(spark):
+    from densitykit.operators.points import as_points
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 50.0])], "id INT, v ARRAY<DOUBLE>")
+    with pytest.raises(Exception):
+        as_points(df, array_col="v", k=2).collect()
+    assert [tuple(r) for r in as_points(df.where("id = 2"), array_col="v", k=3, axes=[2, 0]).collect()] == [(2, 50.0, 1.0)]
+
+
+def test_too_many_parts_is_an_error(spark):
+    from densitykit.operators.partition import MAX_PARTS, kd_partition
+
+    with pytest.raises(ValueError):
+        kd_partition(points_df(spark, [(1, 0.0, 0.0)]), max_partitions=MAX_PARTS + 1)

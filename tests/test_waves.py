@@ -95,4 +95,4 @@ def test_best_shift_scale_equals_the_full_grid(spark):
     for a, _, x, y in rows:
         x, y = np.array(x), np.array(y)
         best = min((np.linalg.norm(np.roll(x, r) * s + u - (y / s - u)), ar, r, s, u) for ar, r, s, u in grid)
-        assert abs(got[a]["dist"] - best[0]) < 1e-9 and (got[a]["s"], got[a]["u"], got[a]["r"]) == (best[3], best[4], best[1])
+        assert abs(got[a]["dist"] - best[0]) < 1e-9 and (got[a]["s"], got[a]["u"], got[a]["r"]) == (best[3], best[4], best[2])
