@@ -8,7 +8,7 @@ The labels say toxic or not; ordered grades come from them: words that are ``RAT
 as frequent in toxic as in clean training texts are *evidence*, and toxic texts are graded 1, 2, 3 by
 terciles of how many evidence words they hold (none: 1). Clean texts are grade 0.
 
-Fit: proximal gradient with an L1 penalty chooses the words, a second pass without it refits
+Fit: proximal gradient with an L1 penalty (``l1`` a row, 4 at least) chooses the words, a second pass without it refits
 the chosen ones. It uses at most ``sample_rows`` labelled rows, those with the smallest hash of
 their id (a bounded, repeatable sample; exact repeats of a text count once), featurised on the executors. Prediction scans all documents
 once, without a shuffle; the model is some hundred words.
@@ -21,6 +21,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,8 +120,9 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[order], np.searchsorted(at[order], off)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str) -> list:
-    """``(toxic, word hashes, counts)`` of the sample."""
+def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str):
+    """Toxic flags, first feature of each row (one more than rows), feature hashes and counts of the sample, as
+    flat arrays in an order that does not depend on how the rows arrive."""
     pick = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null") \
         .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
@@ -138,33 +140,44 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_c
 
     # the sample is bounded by sample_rows, the documents are not: the join keeps the labelled side small
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(pick.hint("shuffle_hash"), "id")
-    return rows.select("y", "t").mapInArrow(run, "y int, words array<long>, counts array<int>").toArrow().to_pydict()
+    got = rows.select("y", "t").mapInArrow(run, "y int, words array<long>, counts array<int>").toArrow().combine_chunks()
+    y = np.asarray(got["y"]).astype(np.int64)
+    if not len(y):
+        return y, np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    w, c = got["words"].combine_chunks(), got["counts"].combine_chunks()
+    at = np.asarray(w.offsets).astype(np.int64)
+    w, c = np.asarray(w.values).view(np.uint64), np.asarray(c.values)
+    del got
+    seen, keep = set(), []
+    for i in range(len(y)):
+        key = (bool(y[i]), w[at[i]:at[i + 1]].tobytes(), c[at[i]:at[i + 1]].tobytes())
+        h = hashlib.sha256(repr(key[0]).encode() + key[1] + key[2]).digest()
+        if at[i + 1] > at[i] and h not in seen:
+            seen.add(h)
+            keep.append((h, i))
+    order = np.array([i for _, i in sorted(keep)], np.int64)
+    size = at[order + 1] - at[order]
+    first = np.append(0, np.cumsum(size))
+    take = np.repeat(at[order] - first[:-1], size) + np.arange(first[-1])
+    return (y[order] != 0).astype(np.int64), first, w[take], c[take]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = 12_000, min_docs: int = 5, l1: float = 0.003) -> OrdinalModel:
-    got = labelled_features(docs, labels, sample_rows, id_col, text_col, label_col)
-    seen, rows = set(), []
-    for y, w, c in zip(got["y"], got["words"], got["counts"]):
-        key = (hash((tuple(w), tuple(c))), y)
-        if key not in seen and w:
-            seen.add(key)
-            rows.append((1 if y else 0, np.array(w, np.int64).view(np.uint64), np.array(c)))
-    rows.sort(key=lambda r: (len(r[1]), int(r[1][0])))  # the order in which rows arrive must not matter
+        sample_rows: int = 8000, min_docs: int = 5, l1: float = 0.003) -> OrdinalModel:
+    y, first, h, counts = labelled_features(docs, labels, sample_rows, id_col, text_col, label_col)
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([4.0, 5.0, 6.0]))
-    y = np.array([r[0] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return none
-    vocab, col = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    val = 1 + np.log(np.concatenate([r[2] for r in rows]).astype(float))
+    vocab, col = np.unique(h, return_inverse=True)
+    row = np.repeat(np.arange(len(y)), np.diff(first))
+    val = 1 + np.log(counts.astype(float))
     df = np.bincount(col, minlength=len(vocab))
     tox = np.bincount(col, y[row], minlength=len(vocab))
     keep = df >= min_docs
     # grades of the toxic rows by their evidence words
     rate = ((tox + 0.1) / y.sum()) / ((df - tox + 0.1) / (len(y) - y.sum()))
     evidence = keep & (rate >= RATIO) & (tox >= min_docs)
-    n_ev = np.bincount(row, evidence[col] * np.exp(val - 1), minlength=len(rows))
+    n_ev = np.bincount(row, evidence[col] * np.exp(val - 1), minlength=len(y))
     cuts = np.quantile(n_ev[(y == 1) & (n_ev > 0)], [1 / 3, 2 / 3]) if ((y == 1) & (n_ev > 0)).any() else np.array([0.0, 0.0])
     grade = np.where(y == 1, 1 + (n_ev > cuts[0]) + (n_ev > cuts[1]), 0)
     new = np.cumsum(keep) - 1
@@ -173,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vocab = vocab[keep]
     if not len(vocab):
         return none
-    w, theta, _ = fit_ordinal(row, col, val, grade, len(vocab), GRADES, l1 * len(y), 0.0, 150)
+    w, theta, _ = fit_ordinal(row, col, val, grade, len(vocab), GRADES, max(l1 * len(y), 4.0), 0.0, 150)
     chosen = w != 0
     if not chosen.any():
         return none
