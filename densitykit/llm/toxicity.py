@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not chosen.any():
         return none
     ok = chosen[col]
-    w, theta, _ = fit_ordinal(row[ok], (np.cumsum(chosen) - 1)[col[ok]], val[ok], grade, int(chosen.sum()), GRADES, 0.0, 0.1, 400)
+    w, theta, _ = fit_ordinal(row[ok], (np.cumsum(chosen) - 1)[col[ok]], val[ok], grade, int(chosen.sum()), GRADES, 0.0, 0.5, 400)
     return OrdinalModel(vocab[chosen], w, theta)
 
 
