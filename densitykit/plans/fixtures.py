@@ -52,6 +52,14 @@ def ev_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("value").cast("double") / 10.0).alias("x1"))
 
 
+def evt_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVT: all events as (hours since the epoch start, value / 10), with their type as a group."""
+    us = epoch_micros("ts")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), "event_type", ((us - F.lit(EV_EPOCH_US)).cast("double") / 3600000000.0).alias("x0"),
+        (F.col("value").cast("double") / 10.0).alias("x1"))
+
+
 def e3_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings, first three coordinates times 10."""
     e = F.col("embedding")

@@ -12,6 +12,8 @@ POINTS_SQL = {
     "CU": "select c_custkey id, c_acctbal::double/1000.0 x0, c_nationkey::double x1 from customer",
     "EV": ("select event_id id, (epoch_us(ts)-1704067200000000)::double/3600000000.0 x0, "
            "value::double/10.0 x1 from events where event_type='error'"),
+    "EVT": ("select event_id id, event_type, (epoch_us(ts)-1704067200000000)::double/3600000000.0 x0, "
+            "value::double/10.0 x1 from events"),
     "E3": ("select vec_id id, embedding[1]::double*10 x0, embedding[2]::double*10 x1, "
            "embedding[3]::double*10 x2 from embeddings"),
 }
@@ -60,4 +62,4 @@ from p left join lab using (id) left join bord using (id)"""
 
 def fixture_dbscan_sql(name: str, eps: float, min_samples: int, metric: str = "euclidean") -> str:
     k = 3 if name == "E3" else 2
-    return dbscan_sql(POINTS_SQL[name], k, eps, min_samples, metric)
+    return dbscan_sql(POINTS_SQL[name], k, eps, min_samples, metric, group="event_type" if name == "EVT" else None)

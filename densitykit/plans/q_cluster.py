@@ -24,15 +24,16 @@ def q_dbscan(spark, sf_dir):
     return _fit(spark, sf_dir).result
 
 
-@register("dbscan_ev", osql.fixture_dbscan_sql("EV", 3.0, 8))
+@register("dbscan_ev", osql.fixture_dbscan_sql("EVT", 3.0, 8))
 def q_dbscan_ev(spark, sf_dir):
-    return _fit(spark, sf_dir, "EV").result
+    """D3: all events, clustered inside each event type."""
+    return DensityClusterer(3.0, 8).fit(fx.evt_points(spark, sf_dir), by="event_type").result
 
 
-@register("dbscan_ev_giant", osql.fixture_dbscan_sql("EV", 8.0, 4))
+@register("dbscan_ev_giant", osql.fixture_dbscan_sql("EVT", 8.0, 4))
 def q_dbscan_ev_giant(spark, sf_dir):
-    """EV with eps 8, min 4: one giant cluster (long component loop)."""
-    return _fit(spark, sf_dir, "EV", 8.0, 4).result
+    """All events with eps 8, min 4: one giant cluster for each type (long component loop)."""
+    return DensityClusterer(8.0, 4).fit(fx.evt_points(spark, sf_dir), by="event_type").result
 
 
 @register("dbscan_cu", osql.fixture_dbscan_sql("CU", 0.25, 4))

@@ -163,11 +163,11 @@ def q_rbf_pairs(spark, sf_dir):
     return pr.select("u1", "u2", F.round(-(d * d), 4).alias("log_weight"), r6(F.exp(-(d * d))).alias("weight"))
 
 
-@register("labelled_events", f"""with d as ({osql.fixture_dbscan_sql('EV', 3.0, 8)})
+@register("labelled_events", f"""with d as ({osql.fixture_dbscan_sql('EVT', 8.0, 4)})
 select e.event_id, e.user_id, e.event_type, round(e.value, 6) value, d.label from events e join d on d.id = e.event_id""")
 def q_labelled_events(spark, sf_dir):
-    """DBSCAN labels of the error events joined back to the events."""
-    r = DensityClusterer(3.0, 8).fit(fx.ev_points(spark, sf_dir)).result
+    """DBSCAN labels (inside each event type) joined back to all events."""
+    r = DensityClusterer(8.0, 4).fit(fx.evt_points(spark, sf_dir), by="event_type").result
     ev = fx.table(spark, sf_dir, "events")
     return ev.join(r.select(F.col("id").alias("event_id"), "label"), "event_id") \
         .select("event_id", "user_id", "event_type", r6("value").alias("value"), "label")
