@@ -116,16 +116,20 @@ def q_points_text(spark, sf_dir):
     return v.select("id", F.col("values")[0].alias("x0"), F.col("values")[1].alias("x1"))
 
 
-@register("event_table")
+@register("event_table", _EV_SQL + """
+select 'S' type, series, run, board, idx index, round(ts::float::double, 0) timestamp, ssum signal_sum, 8::bigint n_channels from f join sg using (wave_id)""")
 def q_event_table(spark, sf_dir):
-    """Events appended to a table created on first use (rows-only check)."""
+    """Events appended in two writes to a table created on first use, and read back."""
     import uuid
 
     ev = EF.read_events(spark, _event_folder(spark, sf_dir))
-    name = f"densitykit_events_{uuid.uuid4().hex[:8]}"
+    name, path = f"densitykit_events_{uuid.uuid4().hex[:8]}", scratch_path(spark, "table")
     rows = ev.select("type", "series", "run", "board", "index", F.col("timestamp").cast("float").alias("timestamp"),
                      F.col("signal").alias("channels"))
-    return SF.save_table(rows, name, path=scratch_path(spark, "table"))
+    SF.save_table(rows.where("board = 1"), name, path=path)
+    t = SF.save_table(rows.where("board <> 1"), name, path=path)
+    return t.select("type", "series", "run", "board", "index", F.round(F.col("timestamp").cast("double"), 0).alias("timestamp"),
+                    EF.signal_sum("channels").alias("signal_sum"), F.size("channels").cast("bigint").alias("n_channels"))
 
 
 @register("feature_sink", f"""with {W40} select wave_id, round(max(v), 6) peak, round(avg(v), 6) mean from w group by wave_id""")
