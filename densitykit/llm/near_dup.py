@@ -11,14 +11,14 @@
 4. Links between classes go through connected components; a class's documents take the
    smallest document id of its component.
 
-Buckets are never expanded into all pairs. A bucket of at most ``small`` classes is compared
-whole. In a larger one a few *leaders* are compared with all members and then leave the
-bucket; members that already share a component are not compared; a bucket goes when one
-component is left in it. Rounds go on, with more leaders each time, until no bucket is left,
-so every pair of a bucket is compared, already connected, or excluded by an exact bound: two
-sets of sizes m and n share at most as many shingles as the smaller number that either has in common with
-*any* set still in a large bucket, and a link needs ``percent (m + n) / (100 + percent)`` of them.
-A copy with too many edits of its own is excluded from all its pairs at once that way.
+Buckets are never expanded into all pairs. A bucket of at most ``small`` classes is compared whole. In
+a larger one every class is compared with one *leader* (the class with the most company in its buckets), which joins
+most of a group of near copies. What is left of a bucket is compared in blocks: ``BLOCK_SETS`` classes outside the
+bucket's largest component meet ``PROBES`` of its members in one bounded task, which counts shared
+shingles through the block's postings and returns only links that join two components. Members that can link with nobody are left
+out by an exact bound: two sets of sizes m and n share at most as many shingles as the smaller number that either
+has in common with *any* set still in a large bucket, and a link needs ``percent (m + n) / (100 + percent)`` of them.
+So every pair of a bucket is compared, already connected, or excluded by the bound.
 
 Band misses: with the default 28 bands of 4 rows a pair at similarity 0.8 shares no band with a
 chance of 4e-7, less above.
@@ -41,6 +41,8 @@ from densitykit.llm.common import LOWER, SPACE, U, mix, row_blocks, span_hashes,
 from densitykit.session import materialize
 
 SKETCH_BITS = 512
+#: Sets of a block, and members that meet a block in one task.
+BLOCK_SETS, PROBES = 256, 500
 _SHORT = U(0xA24BAED4963EE407)
 
 
@@ -253,41 +255,75 @@ def _link(docs, id_col, text_col, classes, width, percent, samples, small, sketc
     # rows with one id and several texts: each class takes its own set
     sets = shingle_sets(mine, "node", "t", width).where(F.col("id") == F.xxhash64("k1", "k2", "n"))
     sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "nd-sets")
-    links, labels, lead = [], none, 1
-    while True:
-        group = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-        left = buckets.drop("size").join(labels.join(group, "label"), "node", "left") \
-            .select("node", "bucket", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
-        if lead > 1:
-            left = left.join(_in_common(left, sets), "node")
-            left = left.join(light.select("node", "n"), "node").where(F.col("common") * 100 >= F.col("n") * percent)
-        else:
-            left = left.join(light.select("node", "n"), "node").withColumn("common", F.col("n"))
-        b = Window.partitionBy("bucket")
-        left = left.withColumn("lo", F.min("label").over(b)).withColumn("hi", F.max("label").over(b)) \
-            .where("lo <> hi").withColumn("size", F.count(F.lit(1)).over(b)).drop("lo", "hi")
-        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "label", "node")
-        ranked = left.withColumn("r", F.row_number().over(order)) \
-            .withColumn("leads", F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(lead)))
-        ranked, st = materialize(ranked, f"nd-round-{lead}", n=F.count(F.lit(1)))
-        if not st["n"]:
-            break
-        heads = ranked.where("r <= leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("r").alias("ra"),
-                                                  F.col("common").alias("ca"), F.col("n").alias("na"))
-        able = F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent
-        pairs = ranked.join(heads, "bucket").where("r > ra and label <> la").where(able) \
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found, _ = materialize(_confirm(pairs, light, sets, percent, samples, sketch_floor), f"nd-links-{lead}", n=F.count(F.lit(1)))
-        links.append(found)
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = components(every)
-        buckets, st = materialize(ranked.where("size > leads and r > leads").select("node", "bucket", "size"), f"nd-rest-{lead}", n=F.count(F.lit(1)))
-        if not st["n"]:
-            break
-        lead *= 16
-    return every.distinct() if links else empty, labels
+    # first round: small buckets whole, larger ones against one leader
+    hub = buckets.groupBy("node").agg(F.sum("size").alias("hub"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("hub"), "node")
+    ranked = buckets.join(hub, "node").withColumn("r", F.row_number().over(order)) \
+        .withColumn("leads", F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(1)))
+    heads = ranked.where("r <= leads").select("bucket", F.col("node").alias("a"), F.col("r").alias("ra"))
+    pairs = ranked.join(heads, "bucket").where("r > ra") \
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links, _ = materialize(_confirm(pairs, light, sets, percent, samples, sketch_floor), "nd-links", n=F.count(F.lit(1)))
+    labels = components(links)
+    # what is left of the larger buckets
+    group = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    b = Window.partitionBy("bucket")
+
+    def unsettled(df):
+        return df.withColumn("lo", F.min("label").over(b)).withColumn("hi", F.max("label").over(b)).where("lo <> hi").drop("lo", "hi")
+
+    left = unsettled(buckets.where(F.col("size") > small).drop("size").join(labels.join(group, "label"), "node", "left")
+                     .select("node", "bucket", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight")))
+    left, st = materialize(left, "nd-left", n=F.count(F.lit(1)))
+    if st["n"]:
+        more = _blocks(left, unsettled, light, sets, percent)
+        links = materialize(links.unionByName(more).distinct(), "nd-links")
+        labels = components(links)
+    return links, labels
+
+
+def _blocks(left, unsettled, light, sets, percent):
+    """Links ``a, b`` across components among the members of what is left of large buckets."""
+    need = (F.col("n") + F.ceil(F.col("n") * percent / 100)) * percent  # with the smallest partner there can be
+    live = left.join(_in_common(left, sets), "node").join(light.select("node", "n"), "node").where(F.col("common") * (100 + percent) >= need)
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "label", "node")
+    live = unsettled(live).withColumn("r", F.row_number().over(order)).withColumn("main", F.first("label").over(order))
+    # in that order the largest component comes first, so the others are numbered from its end
+    b = Window.partitionBy("bucket")
+    live = live.withColumn("mains", F.count_if(F.col("label") == F.col("main")).over(b)).withColumn("size", F.count(F.lit(1)).over(b))
+    live = materialize(live, "nd-live")
+    last = F.floor((F.col("size") - F.col("mains") - 1) / BLOCK_SETS)
+    own = live.where("r > mains").select(F.col("bucket").alias("s_bucket"), F.col("node").alias("s_node"), F.col("label").alias("s_label"), F.floor((F.col("r") - F.col("mains") - 1) / BLOCK_SETS).alias("s_block"),
+                                         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PROBES))).alias("s_chunk"))
+    probe = live.select("bucket", "node", "label", F.floor((F.col("r") - 1) / PROBES).alias("chunk"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    own = own.join(sets.select(F.col("id").alias("s_node"), F.col("set").alias("s_set")), "s_node")
+    probe = probe.join(sets.select(F.col("id").alias("node"), "set"), "node")
+
+    def compare(s: pa.Table, p: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if s.num_rows and p.num_rows:
+            arr = [np.frombuffer(x.as_buffer(), np.uint64) for x in s["s_set"]]
+            size = np.array(list(map(len, arr)))
+            flat = np.concatenate(arr)
+            by = np.argsort(flat, kind="stable")
+            flat, owner = flat[by], np.repeat(np.arange(len(arr)), size)[by]
+            node, label = s["s_node"].to_pylist(), np.array(s["s_label"].to_pylist())
+            for x, lab, q in zip(p["node"].to_pylist(), p["label"].to_pylist(), p["set"]):
+                q = np.frombuffer(q.as_buffer(), np.uint64)
+                lo = np.searchsorted(flat, q)
+                n = np.searchsorted(flat, q, side="right") - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(arr))
+                hit = np.flatnonzero((both * 100 >= (size + len(q) - both) * percent) & (label != lab))
+                if len(hit):
+                    _, one = np.unique(label[hit], return_index=True)  # one link to each other component
+                    out += [(min(x, node[i]), max(x, node[i])) for i in hit[one]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return own.groupBy("s_bucket", "s_block", "s_chunk").cogroup(probe.groupBy("bucket", "block", "chunk")) \
+        .applyInArrow(compare, "a long, b long").distinct()
 
 
 def _in_common(left, sets):
