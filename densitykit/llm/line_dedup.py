@@ -138,7 +138,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = F.col(text_col).cast("string")
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     src = docs.select(*own, F.col(id_col).cast("long").alias("_id"), F.xxhash64(t).alias("_h"))
-    joined = src.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
+    # by shuffle at every size: the deletions grow with the documents
+    joined = src.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
     # the lines between one deleted line and the next
     rest = F.expr("""transform(array(struct(_lines, concat(array(-1), _gone, array(size(_lines))) as cuts)), x ->
         array_join(flatten(transform(sequence(0, size(x.cuts) - 2), i -> slice(x._lines, x.cuts[i] + 2, x.cuts[i + 1] - x.cuts[i] - 1))), '\n'))[0]""")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from densitykit.llm import near_dup
 from densitykit.llm.line_dedup import dedup_lines
 from densitykit.llm.near_dup import Sampler, components, greatest_distance, near_duplicates
 from tests.conftest import SF
@@ -65,8 +66,11 @@ def test_near_duplicates_edge_rows(spark):
     assert near_duplicates(empty_docs(spark)).count() == 0
 
 
-def test_hot_group_with_edits_beyond_the_threshold(spark):
-    """Copies of one text with 1 to 9 edits: those beyond the threshold stay alone, and rounds of leaders resolve the rest."""
+def test_hot_group_with_edits_beyond_the_threshold(spark, monkeypatch):
+    """Copies of one text with 1 to 9 edits: those beyond the threshold stay alone, and several blocks and chunks
+    resolve what one leader leaves."""
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 16)
+    monkeypatch.setattr(near_dup, "PROBES", 25)
     rng, base = np.random.default_rng(4), prose(120, 9).split()
     docs = []
     for i in range(150):
