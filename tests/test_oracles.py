@@ -4,11 +4,11 @@ the same comparison at sf0.01."""
 import pytest
 
 import __spark_entry__ as E
+from densitykit.plans import catalog
 from tests.conftest import SF
 from tests.harness import compare
 
-SLOW = {"gbt_labels", "pic_edges", "kmeans_features", "event_features", "event_table"}
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.QUERIES)  # the corpus queries have their own tests
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -16,10 +16,7 @@ def test_query(spark, duck001, name):
     df = E.queries()[name](spark, SF["0.001"])
     sql = E.oracle_sql().get(name)
     if sql is None:
-        if name in SLOW:
-            assert df.columns
-        else:
-            assert df.count() >= 0
+        assert df.count() > 0
         return
     ok, msg = compare(df, duck001, sql)
     assert ok, msg
