@@ -4,11 +4,15 @@ A *spaced seed* is a fixed mask over token positions; its hash covers only the s
 positions, so a substituted word at an ignored position doesn't lose the hit. Each mask is laid
 at every position of every benchmark item and of every document; equal hashes of test and
 training side are joined. A hit names a diagonal (document position minus item position). On
-each diagonal the words of document and item are then compared one by one, and the
-best-scoring ungapped stretch (match +1, substitution -4, so a stretch with a positive score
-has more than 80 % equal words) is the overlap. A pair is contaminated if its overlap has
-``min_overlap`` words or more (or the whole item, if that is shorter) and
-``min_similarity`` of them are equal. An inserted or deleted word only splits a stretch in two.
+each diagonal the words of document and item are then compared one by one. A pair is contaminated
+if any ungapped stretch of ``min_overlap`` words or more (or the whole item, if that is shorter) has
+``min_similarity`` equal words; the overlap is the best-scoring stretch of at least that many words
+(at 80 %: match +1, substitution -4). An inserted or deleted word only splits a stretch in two.
+
+At the default 13 words and 80 % the seeds lose nothing: such a stretch has four equal words on end, or is
+``===x===x===x===``, and two masks find both; an item of five words with one changed needs two more.
+(A stretch of 26 words or more has a half that qualifies by itself, so the shorter ones prove it.) With a lower
+``min_similarity`` pairs without such a seed are missed.
 
 Words: A-Z is lowered and every ASCII byte that is no letter or digit separates.
 
@@ -17,8 +21,8 @@ shuffled. A block holds at most ``block_words`` words (its hash tables, about 20
 are what is broadcast); a larger benchmark takes more passes, one for each block.
 
 Edge cases: null or empty text on either side matches nothing; items of fewer than
-``min_words`` words can't be told from ordinary text and are left out; items shorter than the
-widest mask are found by a run of all their words; an item listed twice under two ids gives a
+``min_words`` words can't be told from ordinary text and are left out; items shorter than a
+mask are found by a run of all their words; an item listed twice under two ids gives a
 row for each; a null doc_id keeps its null; repeated documents give repeated rows; empty
 tables give an empty result; extra columns are ignored; long texts are compared as a whole.
 """
@@ -26,6 +30,7 @@ tables give an empty result; extra columns are ignored; long texts are compared
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +39,12 @@ from pyspark.sql import functions as F
 
 from densitykit.llm.common import LOWER, NOT_WORD, U, mix, row_blocks, span_hashes, text_bytes, words
 
-#: Selected positions of the spaced seeds: weight 5, span 8 to 10.
-MASKS = ((0, 1, 3, 6, 8), (0, 2, 3, 4, 8), (0, 1, 4, 5, 9), (0, 3, 4, 6, 7))
-SPAN = 1 + max(m[-1] for m in MASKS)
+#: Selected positions of the spaced seeds for all items, and those that only items of five words need.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+MASKS_5 = ((0, 1, 2, 4), (0, 2, 3, 4))
+SPAN = 4
+#: Words of hit diagonals compared at once.
+COMPARE = 1 << 20
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +79,14 @@ class ItemBlock:
         place = np.arange(len(self.h)) - self.first[item] if keep else item
         runs = sorted({int(x) for x in self.length if x < SPAN})
         self.tables = []
-        for mask, only in [*((m, 0) for m in MASKS), *((tuple(range(n)), n) for n in runs)]:
+        for mask, only in [*((m, 0) for m in MASKS), *((m, 5) for m in MASKS_5), *((tuple(range(n)), n) for n in runs)]:
             x = seeds(self.h, mask)
             fits = place[:len(x)] + mask[-1] < self.length[item[:len(x)]]
             if only:
                 fits &= self.length[item[:len(x)]] == only
             at = np.flatnonzero(fits)
+            if not len(at):
+                continue
             order = at[np.argsort(x[at], kind="stable")]
             bits = int(np.clip(np.ceil(np.log2(len(order) + 1)) + 6, 10, 26))
             there = np.zeros(1 << bits, bool)
@@ -94,23 +104,52 @@ class ItemBlock:
                 n = hi - lo
                 if n.any():
                     k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    found.append(np.stack([item[k], np.repeat(at, n) - place[k]], axis=1))
+                    found.append((item[k] << 32) + (np.repeat(at, n) - place[k] + (1 << 31)))
         if not found:
             return []
+        hits = np.unique(np.concatenate(found))
         best: dict[int, tuple] = {}
-        for i, diag in np.unique(np.concatenate(found), axis=0).tolist():
+        for i, diag in self.likely(h, hits >> 32, (hits & 0xFFFFFFFF) - (1 << 31), min_overlap, min_similarity):
             a, b = max(0, -diag), min(int(self.length[i]), len(h) - diag)
-            w = self.h[self.first[i] + a:self.first[i] + b]
-            same = w == h[diag + a:diag + b]
-            run = np.append(0, np.cumsum(np.where(same, 1, -4)))
-            gain = run - np.minimum.accumulate(run)
-            e = int(gain.argmax())
-            s = int(run[:e + 1].argmin())
-            n, m = e - s, int(same[s:e].sum())
-            if n >= min(min_overlap, int(self.length[i])) and m >= min_similarity * n and m > best.get(i, (0,))[0]:
-                best[i] = (m, n, diag + a + s, a + s)
+            same = self.h[self.first[i] + a:self.first[i] + b] == h[diag + a:diag + b]
+            v = best_stretch(same, min(min_overlap, int(self.length[i])), min_similarity)
+            if v and v[0] > best.get(i, (0,))[0]:
+                m, s, e = v
+                best[i] = (m, e - s, diag + a + s, a + s)
         return [(int(self.ids[i]), *v, int(self.length[i])) for i, v in best.items()]
 
+    def likely(self, h: np.ndarray, item: np.ndarray, diag: np.ndarray, min_overlap: int, min_similarity: float) -> Iterator[tuple[int, int]]:
+        """The hit diagonals long enough for an overlap and with enough equal words in all."""
+        a, b = np.maximum(0, -diag), np.minimum(self.length[item], len(h) - diag)
+        least = np.minimum(min_overlap, self.length[item])
+        ok = b - a >= least
+        item, diag, a, size, least = item[ok], diag[ok], a[ok], (b - a)[ok], least[ok]
+        end = np.cumsum(size)
+        i = 0
+        while i < len(item):
+            j = max(i + 1, int(np.searchsorted(end, end[i] - size[i] + COMPARE, side="right")))
+            n, first = size[i:j], end[i:j] - size[i:j] - (end[i] - size[i])
+            at = np.arange(int(n.sum())) + np.repeat(a[i:j] - first, n)
+            same = self.h[at + np.repeat(self.first[item[i:j]], n)] == h[at + np.repeat(diag[i:j], n)]
+            enough = np.add.reduceat(same, first, dtype=np.int64) >= min_similarity * least[i:j] - 1e-9
+            yield from zip(item[i:j][enough].tolist(), diag[i:j][enough].tolist())
+            i = j
+
+
+def best_stretch(same: np.ndarray, least: int, min_similarity: float) -> tuple[int, int, int] | None:
+    """Equal words, start and end of the best-scoring stretch of ``least`` words or more; None if no such
+    stretch has ``min_similarity`` equal words."""
+    s = Fraction(min_similarity).limit_denominator(10_000)
+    p, q = s.numerator, s.denominator
+    gain, loss = (q - p, p) if p < q else (1, len(same) + 1)  # a sum of 0 or more: similar enough
+    run = np.append(0, np.cumsum(np.where(same, gain, -loss)))
+    score = run[least:] - np.minimum.accumulate(run[:len(run) - least])
+    e = int(score.argmax())
+    if score[e] < 0:
+        return None
+    start, end = int(run[:e + 1].argmin()), e + least
+    return int(same[start:end].sum()), start, end
+
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, min_words: int) -> Iterator[ItemBlock]:
     """The benchmark's items in blocks of at most ``block_words`` words, streamed one after the other."""
