@@ -86,6 +86,13 @@ def suffix_ranks(lines: DataFrame, max_lines: int) -> list[DataFrame]:
     return levels
 
 
+def _same_place(left: DataFrame, right: DataFrame, q: str) -> DataFrame:
+    """``left`` with the other columns of the suffix of ``right`` at its document and ``q``; null ids are equal."""
+    r = right.select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "q")), *(c for c in right.columns if c not in (*DOC, "q")))
+    return left.join(r, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col(q) == F.col("_q"))) \
+        .drop("_doc", "_th", "_q")
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """doc, th (hash of its text), line, q, reach of every repeated line: ``reach`` lines from q on
     occur earlier (null: no run of ``min_words`` words from here does)."""
@@ -112,10 +119,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for k, level in enumerate(levels):
         here = depths.where(F.col("k") == k)
         one = level.select(*DOC, "q", F.col("rank").alias("a"))
-        part = here.join(one, [*DOC, "q"]) if k else here.join(one, [*DOC, "q"]).withColumn("b", F.col("a"))
+        part = _same_place(here, one, "q")
         if k:
-            two = level.select(*DOC, F.col("q").alias("q2"), F.col("rank").alias("b"))
-            part = part.withColumn("q2", F.col("q") + F.col("t") - (1 << k)).join(two, [*DOC, "q2"]).drop("q2")
+            two = level.select(*DOC, "q", F.col("rank").alias("b"))
+            part = _same_place(part.withColumn("q2", F.col("q") + F.col("t") - (1 << k)), two, "q2")
+        else:
+            part = part.withColumn("b", F.col("a"))
         part = part.select(*DOC, "q", "t", "a", "b")
         named = part if named is None else named.unionByName(part)
     named = materialize(named, "lines-intervals")
