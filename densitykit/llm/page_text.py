@@ -13,7 +13,9 @@ page with one ``article`` or ``main`` element labels its own words and tags as i
 
 Words and tags in elements that are no content by their very name or class (``BOILERPLATE``: menus, adverts, forms, reader
 comments, ..) score -1, or 0 where an ``article`` or ``main`` element encloses them, and are left out of the region's text; scripts, styles and the head are no words
-at all. The weights are fitted on at most ``sample_rows`` pages, those with the smallest hash of their id;
+at all. A class, id or role marks no ``html`` or ``body``, no ``article`` or ``main`` outside marked elements, and no element
+with most of the text: more than half of the words of the page (unless articles beside it hold a tenth of them)
+or of the ``article`` or ``main`` around it. The weights are fitted on at most ``sample_rows`` pages, those with the smallest hash of their id;
 extraction is one scan of all pages, one page at a time, without a shuffle.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
@@ -30,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +58,15 @@ _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Element(NamedTuple):
+    name: str
+    context: str
+    up: int  # the element around it
+    scope: int  # the article or main element around it (0: none)
+    by_name: bool
+    by_class: bool
+
+
 @dataclass
 class Weights:
     word: dict[str, float] = field(default_factory=dict)
@@ -72,25 +84,35 @@ class Weights:
 def tokens(page: str):
     """``(kind, name, text, context, boilerplate)``: kind 't' for a run of text, 'o' and 'c' for tags;
     boilerplate 0: none, 1: outside, 2: inside an article or main element."""
+    toks, elements = parse(page)
+    boiler = marks(toks, elements)
+    return [(kind, name, text, elements[at].context, boiler[at]) for kind, name, text, at in toks]
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, str, int]], list[Element]]:
+    """``(kind, name, text, element)`` with the index of the element around the token, and the elements; the first one
+    stands for the page."""
     at, n = 0, len(page)
-    stack: list[tuple[str, str, int]] = []  # element, context, boilerplate
-    context, boiler = "", 0
+    toks: list[tuple[str, str, str, int]] = []
+    elements = [Element("", "", 0, 0, False, False)]
+    stack: list[int] = []
+    now = 0
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield "t", "", page[at:end], context, boiler
+            toks.append(("t", "", page[at:end], now))
         if not m:
-            return
+            break
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         name, close, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if close:
-            yield "c", name, "", context, boiler
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            toks.append(("c", name, "", now))
+            if any(elements[s].name == name for s in stack):
+                while elements[stack.pop()].name != name:
                     pass
         else:
             if name in RAW and not attrs.endswith("/"):
@@ -101,21 +123,44 @@ def tokens(page: str):
                     body = re.compile(r"<body\b", re.I).search(page, at)
                     at = stop.end() if stop else body.start() if body else at
                 continue
-            yield "o", name, "", context, boiler
+            toks.append(("o", name, "", now))
             if name in VOID or attrs.endswith("/") or name in INLINE:
                 continue
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and elements[stack[-1]].name == name:
                 stack.pop()
             label = " ".join(x for g in _CLASS.findall(attrs) for x in g).lower() if attrs else ""
             parts = set(_PART.findall(label)) if label else ()
-            inside = any(s[0] in ("article", "main") for s in stack)
-            bad = not BOILERPLATE_CLASS.isdisjoint(parts) if parts else False
-            bad = bad or (name in BOILERPLATE and not (name == "header" and inside))
-            top = name in ("article", "main") and not bad
+            up = stack[-1] if stack else 0
+            scope = up if elements[up].name in ("article", "main") else elements[up].scope
+            by_class = not BOILERPLATE_CLASS.isdisjoint(parts) if parts else False
+            by_name = name in BOILERPLATE and not (name == "header" and scope)
             key = f"{name}.{label.split()[0]}" if label.split() else name
-            above = stack[-1][2] if stack else 0
-            stack.append((name, key, 0 if top else above or (2 if bad and inside else int(bad))))
-        context, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
+            stack.append(len(elements))
+            elements.append(Element(name, key, up, scope, by_name, by_class))
+        now = stack[-1] if stack else 0
+    return toks, elements
+
+
+def marks(toks: list[tuple[str, str, str, int]], elements: list[Element]) -> list[int]:
+    """Boilerplate (as in ``tokens``) of each element."""
+    words, articles = [0] * len(elements), [0] * len(elements)
+    if any(e.by_class and not e.by_name for e in elements):  # words of each element, and those of them in article and main elements
+        for kind, _, text, at in toks:
+            if kind == "t":
+                words[at] += len(text.split())
+        for i in range(len(elements) - 1, 0, -1):
+            e = elements[i]
+            words[e.up] += words[i]
+            articles[e.up] += words[i] if e.name in ("article", "main") else articles[i]
+    boiler = [0]
+    for i, e in enumerate(elements[1:], 1):
+        above, edge = boiler[e.up], e.name in ("article", "main")
+        bad = e.by_name
+        if e.by_class and not bad:
+            most = 2 * words[i] > words[e.scope] and (e.scope > 0 or 10 * (articles[0] - articles[i]) < words[0])
+            bad = e.name not in ("html", "body") and (above > 0 if edge else not most)
+        boiler.append(0 if edge and not bad else above or (2 if bad and e.scope else int(bad)))
+    return boiler
 
 
 def count_labelled(page: str) -> list[tuple[str, int, int]]:
@@ -139,7 +184,7 @@ def count_labelled(page: str) -> list[tuple[str, int, int]]:
 
 def extract(page: str, weights: Weights) -> str:
     """Text of the region with the greatest sum of weights."""
-    toks = list(tokens(page))
+    toks = tokens(page)
     best = total = 0.0
     start = lo = hi = 0
     for i, (kind, name, text, context, boiler) in enumerate(toks):
