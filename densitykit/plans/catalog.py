@@ -1,6 +1,7 @@
 """Registry of named queries: ``name -> (spark_fn(spark, sf_dir) -> DataFrame, duckdb_sql | None)``.
 
-Every query reads the given tables (or tables Spark derives from them) in full.
+Every query reads the given tables (or tables Spark derives from them) in full, but for `dbscan_e3`: E3 is a
+projection of the embeddings to their first three of 64 coordinates.
 """
 
 from __future__ import annotations
