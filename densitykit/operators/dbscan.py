@@ -141,7 +141,7 @@ class DensityClusterer:
 
 
 class DensityModel:
-    """Fitted DBSCAN: lazy DataFrames only."""
+    """Fitted DBSCAN: lazy DataFrames only (D9, D10 without neighbourhoods)."""
 
     def __init__(self, params: DensityClusterer, raw: DataFrame, by, k, kd, cc, flagged, core, links, persisted):
         self.params = params
