@@ -117,3 +117,12 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return page_text.page_text(pages, page_text.fit(pages))
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on their first 32 principal directions, whitened."""
+    from densitykit.llm import whitening
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.apply(vectors, whitening.fit(vectors, components=32))
