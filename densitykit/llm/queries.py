@@ -126,3 +126,32 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.apply(vectors, whitening.fit(vectors, components=32))
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of all documents; a tenth of them (by crc32 of the id) have a stretch repeated first."""
+    from densitykit.llm.periodic import periodic_runs
+
+    found = periodic_runs(repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("""case when size(runs) > 0 then aggregate(runs, runs[0],
+        (a, r) -> if(r.length * a.period > a.length * r.period, r, a)) end""")  # in order of start, then period
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 of the id ends in 0 get, from word ``a`` on, the words from ``a`` again and again with
+    period ``p``; a null id leaves its text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.expr("filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')")
+    parts = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10))) \
+        .withColumn("_w", F.when(F.col("_g").isNotNull(), split)).withColumn("_n", F.size("_w")) \
+        .withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))) \
+        .withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
+    told = F.expr("concat_ws(' ', slice(_w, 1, cast(_a as int)), transform(sequence(0, cast(_n - _a - 1 as int)), i -> _w[cast(_a as int) + i % _p]))")
+    return parts.withColumn("text", F.when(F.col("_a").isNotNull(), told).otherwise(F.col("text"))).select(*docs.columns)
