@@ -155,3 +155,18 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
         .withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
     told = F.expr("concat_ws(' ', slice(_w, 1, cast(_a as int)), transform(sequence(0, cast(_n - _a - 1 as int)), i -> _w[cast(_a as int) + i % _p]))")
     return parts.withColumn("text", F.when(F.col("_a").isNotNull(), told).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@register("op12_warc", """
+    with p as (select page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n from pages),
+    o as (select *, row_number() over (partition by h order by page_id nulls last) place,
+                 min(page_id) over (partition by h) head from p)
+    select page_id, n payload_bytes, sha256(h) payload_digest,
+           case when n >= 100 and place > 1 then 'revisit' else 'response' end record_type,
+           case when n >= 100 and place > 1 then head end refers_to from o""")
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives, read back."""
+    from densitykit.llm.warc import read_warc, write_warc
+
+    folder = write_warc(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return read_warc(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
