@@ -124,6 +124,48 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
+#: What this worker process keeps between tasks (functions that drop it).
+CACHES: list = []
+
+
+def lean(run):
+    """``run`` (batches to batches) for a worker that may have served other operators: what those keep is dropped first,
+    and memory freed here goes back to the system at the end, as the process lives on beside the JVM."""
+    def task(batches):
+        drop_caches()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
+def drop_caches() -> None:
+    for drop in CACHES:
+        drop()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def bounded_sample(df: DataFrame, key: str, text: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those of smallest key hash (then text hash): one for each pair of key and
+    text, with the least value of every other column. Null keys count as a key."""
+    th = F.xxhash64(text)
+    ids = df.select(F.col(key).alias("_k"), th.alias("_h")).distinct().orderBy(F.xxhash64("_k"), "_k", "_h").limit(rows)
+    mine = df.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("_k")) & (th == F.col("_h")))  # bounded by rows
+    rest = [F.min(c).alias(c) for c in df.columns if c not in (key, text)]
+    return mine.groupBy("_k", "_h").agg(F.first(text).alias(text), *rest).withColumnRenamed("_k", key).drop("_h").select(df.columns)
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, total: int | None = None,
                  rows_per_bucket: int = 20_000) -> DataFrame:
     """Number the rows of each group 0, 1, .. without bringing a group into one task.

@@ -14,15 +14,15 @@ At the default 13 words and 80 % the seeds lose nothing: such a stretch has four
 (A stretch of 26 words or more has a half that qualifies by itself, so the shorter ones prove it.) With a lower
 ``min_similarity`` pairs without such a seed are missed.
 
-Words: A-Z is lowered and every ASCII byte that is no letter or digit separates.
+Words: A-Z is lowered and every ASCII byte that is no letter or digit separates. In scripts written without spaces
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word.
 
 Scale: the documents are scanned once for each block of the benchmark and nothing of them is
 shuffled. A block holds at most ``block_words`` words (its hash tables, about 200 bytes a word,
 are what is broadcast); a larger benchmark takes more passes, one for each block.
 
-Edge cases: null or empty text on either side matches nothing; items of fewer than
-``min_words`` words can't be told from ordinary text and are left out; items shorter than a
-mask are found by a run of all their words; an item listed twice under two ids gives a
+Edge cases: null or empty text on either side matches nothing; items shorter than a mask are found by a run
+of all their words, those of fewer than ``min_words`` words (1 by default) left out; a null item id keeps its null; an item listed twice under two ids gives a
 row for each; a null doc_id keeps its null; repeated documents give repeated rows; empty
 tables give an empty result; extra columns are ignored; long texts are compared as a whole.
 """
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densitykit.llm.common import LOWER, NOT_WORD, U, mix, row_blocks, span_hashes, text_bytes, words
+from densitykit.llm.common import LOWER, NOT_WORD, U, lean, mix, row_blocks, span_hashes, text_bytes, words
 
 #: Selected positions of the spaced seeds for all items, and those that only items of five words need.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
@@ -51,6 +51,16 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hash of every loose word, and the index of each row's first word (one entry more)."""
     d = LOWER[data]
     s, e, first = words(d, off, NOT_WORD)
+    lead = d >= 0xE0
+    if lead.any():
+        after = np.append(d[1:], np.uint8(0))
+        lead = ((d >= 0xE3) & (d <= 0xE9)) | ((d == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((d == 0xE1) & (after >= 0x80) & (after <= 0x9F))
+        at = np.flatnonzero(lead)
+        cuts = np.unique(np.concatenate([at, at + 3]))
+        w = np.searchsorted(s, cuts, side="right") - 1
+        cuts = cuts[(w >= 0) & (cuts > s[w]) & (cuts < e[w])]
+        s, e = np.sort(np.concatenate([s, cuts])), np.sort(np.concatenate([e, cuts]))
+        first = np.searchsorted(s, off)
     return span_hashes(d, s, e), first
 
 
@@ -71,7 +81,7 @@ class ItemBlock:
 
     def __init__(self, ids: list, hashes: list[np.ndarray], min_words: int):
         keep = [i for i, h in enumerate(hashes) if len(h) >= min_words]
-        self.ids = np.array([ids[i] for i in keep], np.int64)
+        self.ids = [ids[i] for i in keep]
         self.length = np.array([len(hashes[i]) for i in keep], np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.h = np.concatenate([hashes[i] for i in keep]) if keep else np.zeros(0, np.uint64)
@@ -116,7 +126,7 @@ class ItemBlock:
             if v and v[0] > best.get(i, (0,))[0]:
                 m, s, e = v
                 best[i] = (m, e - s, diag + a + s, a + s)
-        return [(int(self.ids[i]), *v, int(self.length[i])) for i, v in best.items()]
+        return [(self.ids[i], *v, int(self.length[i])) for i, v in best.items()]
 
     def likely(self, h: np.ndarray, item: np.ndarray, diag: np.ndarray, min_overlap: int, min_similarity: float) -> Iterator[tuple[int, int]]:
         """The hit diagonals long enough for an overlap and with enough equal words in all."""
@@ -154,7 +164,7 @@ def best_stretch(same: np.ndarray, least: int, min_similarity: float) -> tuple[i
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, min_words: int) -> Iterator[ItemBlock]:
     """The benchmark's items in blocks of at most ``block_words`` words, streamed one after the other."""
     ids, hashes, n = [], [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
         raw = np.frombuffer((row[1] or "").encode(), np.uint8)
         h, _ = word_hashes(raw, np.array([0, len(raw)]))
         if ids and n + len(h) > block_words:
@@ -168,7 +178,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", min_overlap: int = 13, min_similarity: float = 0.8,
-                 min_words: int = 5, block_words: int = 1_000_000) -> DataFrame:
+                 min_words: int = 1, block_words: int = 1_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, with the best overlap:
     id_col, item_id, n_match, n_overlap, doc_word, item_word (where it starts), item_words,
     similarity (equal words of the overlap)."""
@@ -195,13 +205,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                          pa.array([x / y for x, y in zip(m, n)])],
                         [id_col, "item_id", "n_match", "n_overlap", "doc_word", "item_word", "item_words", "similarity"])
 
-        part = rows.mapInArrow(scan, schema)
+        part = rows.mapInArrow(lean(scan), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", min_overlap: int = 13, min_similarity: float = 0.8, min_words: int = 5,
+                      item_text: str = "text", min_overlap: int = 13, min_similarity: float = 0.8, min_words: int = 1,
                       block_words: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, that ``contaminated`` would not list. One filtering scan a block."""
     spark, out = docs.sparkSession, docs
@@ -220,7 +230,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                         ok[i + r] = not block.overlaps(h[first[r]:first[r + 1]], min_overlap, min_similarity)
                 yield b.filter(pa.array(ok))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(lean(keep), docs.schema)
     return out
 
 

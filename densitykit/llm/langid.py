@@ -7,7 +7,7 @@ a word has the same position labels wherever it stands: a worker runs the networ
 each distinct word that it meets (it remembers at most ``MEMO`` of them) and adds up.
 
 Training is numpy backpropagation through time with Adam on the words of at most
-``sample_rows`` labelled documents, those with the smallest hash of their id; a word's target is
+``sample_rows`` labelled documents (pairs of id and text), those with the smallest hash of their id; a word's target is
 its distribution over the languages of the documents that hold it. Whatever the caller holds out
 never gets into the sample.
 
@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from densitykit.llm.common import row_blocks, span_hashes, text_bytes, words
+from densitykit.llm.common import bounded_sample, lean, row_blocks, span_hashes, text_bytes, words
 
 SPAN = 24
 MEMO = 2_000_000
@@ -167,9 +168,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learn from the labelled ``rows`` (the caller leaves out what is held out)."""
     pick = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")) \
         .where("t is not null and l is not null")
-    # the bounded sample goes to the driver; ids first, so that the sort doesn't carry the texts
-    ids = pick.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_rows)
-    got = pick.join(ids.select("id").distinct().hint("broadcast"), "id").select("t", "l").toArrow()
+    got = bounded_sample(pick, "id", "t", sample_rows).select("t", "l").toArrow()
     langs = sorted(set(got["l"].to_pylist()))
     if not langs:
         return BiGRU.new([])
@@ -250,10 +249,14 @@ def predict(docs: DataFrame, net: BiGRU, text_col: str = "text", keep_text: bool
     kept = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
 
+    carried = keep_text and isinstance(docs.schema[text_col].dataType, T.StringType)  # then it is sent once
+    place = keep.index(text_col) if carried else len(keep)
+    sent = docs.select(*keep, *([] if carried else [F.col(text_col).cast("string").alias("_text")]))
+
     def run(batches):
         memo = WordLabels(net)
         for b in batches:
-            data, off, _ = text_bytes(b.column(len(keep)))
+            data, off, _ = text_bytes(b.column(place))
             pred, score = [], []
             for i, j in row_blocks(off):
                 d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
@@ -268,4 +271,4 @@ def predict(docs: DataFrame, net: BiGRU, text_col: str = "text", keep_text: bool
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs[pred], pa.string()), pa.array(score, pa.float64())],
                                              [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return sent.mapInArrow(lean(run), schema)

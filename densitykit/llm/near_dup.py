@@ -24,8 +24,9 @@ Band misses: with the default 28 bands of 4 rows a pair at similarity 0.8 shares
 chance of 4e-7, less above.
 
 Edge cases: null or empty text and text without words has an empty set and links with nothing;
-fewer words than the shingle width give one shingle, the whole sequence; null ids never name a
-component (a class whose rows all have null ids links with nothing and has a null component);
+fewer words than the shingle width give one shingle, the whole sequence; documents with null ids link as
+any other but never name a component: one without any id has a null ``component_id``, and of it the rows of the
+least text hash are ``kept``;
 rows with one id and several texts are separate rows; repeated rows are copies; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from densitykit.llm.common import LOWER, SPACE, U, mix, row_blocks, span_hashes, text_bytes, words
+from densitykit.llm.common import LOWER, SPACE, U, lean, mix, row_blocks, span_hashes, text_bytes, words
 from densitykit.session import materialize
 
 SKETCH_BITS = 512
@@ -136,7 +137,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
     t = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("th")) \
-        .mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+        .mapInArrow(lean(run), "id long, th long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def set_keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -155,7 +156,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
                                               pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "k1", "k2", "set"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(run, "id long, n long, k1 long, k2 long, set binary")
+        .mapInArrow(lean(run), "id long, n long, k1 long, k2 long, set binary")
 
 
 def sketch_distance(a: str, b: str) -> F.Column:
@@ -217,19 +218,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(signatures(docs, id_col, text_col, width, bands, rows), "nd-signatures")
     named = sig.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("k1", "k2", "n")))
     classes = materialize(named.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("sketch", "k1").alias("sketch"),
+        F.min("id").alias("rep"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("rep_th"), F.min("th").alias("th"), F.min("n").alias("n"), F.min_by("sketch", "k1").alias("sketch"),
         F.min_by("bands", "k1").alias("bands")), "nd-classes")
     links, labels = _link(docs, id_col, text_col, classes, width, percent, bands * rows, small, sketch_floor)
-    comp = classes.select("node", "rep").join(labels, "node", "left") \
-        .select("node", "rep", F.coalesce("label", "node").alias("label"))
-    first = comp.groupBy("label").agg(F.min("rep").alias("component_id"))
+    comp = classes.select("node", "rep", "th").join(labels, "node", "left") \
+        .select("node", "rep", "th", F.coalesce("label", "node").alias("label"))
+    first = comp.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("th").alias("first_th"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_class = comp.join(first, "label").join(degree, "node", "left") \
-        .select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", "component_id", "first_th", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = named.select("id", "th", "n", "node").join(per_class, "node", "left")
     cid = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), cid.alias("component_id"),
-                      F.col("id").eqNullSafe(cid).alias("kept"), F.col("node").alias("class_id"),
+                      (F.col("id").eqNullSafe(cid) & (cid.isNotNull() | F.coalesce(F.col("th") == F.col("first_th"), F.lit(True)))).alias("kept"), F.col("node").alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("th").alias("text_hash"))
 
 
@@ -246,13 +247,11 @@ def _link(docs, id_col, text_col, classes, width, percent, samples, small, sketc
     none = spark.createDataFrame([], "node long, label long")
     if not st["n"]:
         return empty, none
-    wanted = materialize(buckets.select("node").distinct().join(classes.select("node", "rep"), "node")
-                         .where("rep is not null"), "nd-wanted")
+    wanted = materialize(buckets.select("node").distinct().join(classes.select("node", "rep", "rep_th"), "node"), "nd-wanted")
     # the sets of candidate classes, one text each; the whole text column is shuffled at most once
-    mine = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("t")) \
-        .join(wanted.hint("shuffle_hash"), "rep").select("node", "t")
-    # rows with one id and several texts: keep each class's own set
-    # rows with one id and several texts: each class takes its own set
+    text = F.col(text_col).cast("string")
+    mine = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("t"), F.xxhash64(text).alias("_th")) \
+        .join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_th") == F.col("rep_th"))).select("node", "t")
     sets = shingle_sets(mine, "node", "t", width).where(F.col("id") == F.xxhash64("k1", "k2", "n"))
     sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "nd-sets")
     # first round: small buckets whole, larger ones against one leader

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densitykit.llm import cutting_stock
-from densitykit.llm.common import gapless_rank, text_bytes
+from densitykit.llm.common import gapless_rank, give_back, text_bytes
 from densitykit.session import materialize
 
 
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                 if with_ids:
                     cols.append(pa.array(list(map(bytes, spans)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][:len(cols)])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, schema)
 

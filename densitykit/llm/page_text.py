@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densitykit.llm.common import bounded_sample
+
 TAG_MIN, TAG_OUT, TAG_EDGE = 0.1, 1.0, 10.0
 #: Elements whose content is no text of the page.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "textarea", "title", "head")
@@ -209,8 +211,7 @@ def extract(page: str, weights: Weights) -> str:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 2000) -> Weights:
     """Weights from the labelled pages among the ``sample_rows`` pages of smallest id hash."""
-    ids = pages.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_rows).distinct()
-    sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("h")).join(F.broadcast(ids), "id")  # at most sample_rows ids
+    sample = bounded_sample(pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("h")).where("h is not null"), "id", "h", sample_rows)
 
     def run(batches):
         for b in batches:
@@ -220,7 +221,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["k", "a", "o"])
 
     counts = sample.select("h").mapInArrow(run, "k string, a long, o long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("o").alias("o")) \
-        .orderBy(F.desc(F.col("a") + F.col("o")), "k").limit(5000).collect()  # contexts of the sample; rarer ones count as unseen
+        .orderBy("k").toLocalIterator()  # contexts of the sample's pages
     w = Weights()
     for k, a, o in counts:
         if k[0] == "w":

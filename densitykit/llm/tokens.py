@@ -6,7 +6,7 @@ always starts a new piece there (it gives a word its one leading space, a run of
 all but its last character, and keeps letters apart from punctuation), and the word-level one
 drops white space and keeps letters apart too, so the ids of the text are the ids of its
 chunks, joined. Each worker process keeps the ids of chunks that it has met, at most ``MEMO``
-of them; the library encodes only new ones, many in one call with the end-of-text token
+of them, until a task of another operator starts there; the library encodes only new ones, many in one call with the end-of-text token
 between them. Special-token strings in a text are ordinary text.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from densitykit.llm.common import U, row_blocks, span_hashes
+from densitykit.llm.common import CACHES, U, row_blocks, span_hashes
 
 #: Chunks kept by a worker process; beyond it the memo starts anew (memory bound, no effect on ids).
 MEMO = 2_000_000
@@ -33,9 +33,11 @@ _ALPHA[65:91] = _ALPHA[97:123] = True
 _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
-#: Chunks that one call of the library gets.
-_CALL = 256
+#: Chunks joined to one text for the library, and such texts that one call of it gets (its results take some 150 bytes a
+#: token until they are turned into an array).
+_CALL, _CALLS = 256, 16
 _known: dict[str, "ChunkEncoder"] = {}
+CACHES.append(_known.clear)
 
 
 def encoder(path: str) -> "ChunkEncoder":
@@ -52,12 +54,20 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._joined = Tokenizer.from_file(path)  # here the end-of-text token parts the chunks
+        self._load = lambda: Tokenizer.from_file(path)
+        self._plain = None
+        self._joined = self._load()  # here the end-of-text token parts the chunks
         self._end = self._joined.token_to_id(_END)
         self._clear()
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer to which a special token in a text is text; few texts need it."""
+        if self._plain is None:
+            self._plain = self._load()
+            self._plain.encode_special_tokens = True
+        return self._plain
+
     def _clear(self):
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -66,14 +76,20 @@ class ChunkEncoder:
         self.used = 0
 
     def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self._end is None or any("<|" in t for t in texts):
-            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((i for g in got for i in g), np.uint32, int(n.sum())), n
-        calls = [_END.join(texts[i:i + _CALL]) + _END for i in range(0, len(texts), _CALL)]
-        got = np.concatenate([np.array(e.ids, np.uint32) for e in self._joined.encode_batch_fast(calls, add_special_tokens=False)])
-        end = got == self._end
-        return got[~end], np.diff(np.flatnonzero(end), prepend=-1) - 1
+        flat, n = [], []
+        for i in range(0, len(texts), _CALL * _CALLS):
+            some = texts[i:i + _CALL * _CALLS]
+            if self._end is None or any("<|" in t for t in some):
+                for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
+                    flat.append(np.array(e.ids, np.uint32))
+                    n.append(np.array([len(e.ids)]))
+                continue
+            calls = [_END.join(some[j:j + _CALL]) + _END for j in range(0, len(some), _CALL)]
+            got = np.concatenate([np.array(e.ids, np.uint32) for e in self._joined.encode_batch_fast(calls, add_special_tokens=False)])
+            end = got == self._end
+            flat.append(got[~end])
+            n.append(np.diff(np.flatnonzero(end), prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(n).astype(np.int64)
 
     def _learn(self, keys: np.ndarray, texts: list[str]):
         """Keys ascend and are new."""

@@ -138,8 +138,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_c
                     counts.append(c.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["y", "words", "counts"])
 
-    # the sample is bounded by sample_rows, the documents are not: the join keeps the labelled side small
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(pick.hint("shuffle_hash"), "id")
+    # the sample is bounded by sample_rows; one text of each id
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(pick), "id") \
+        .groupBy("id").agg(F.first("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
     got = rows.select("y", "t").mapInArrow(run, "y int, words array<long>, counts array<int>").toArrow().combine_chunks()
     y = np.asarray(got["y"]).astype(np.int64)
     if not len(y):
@@ -163,7 +164,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_c
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = 8000, min_docs: int = 5, l1: float = 0.003) -> OrdinalModel:
+        sample_rows: int = 12_000, min_docs: int = 5, l1: float = 0.003) -> OrdinalModel:
     y, first, h, counts = labelled_features(docs, labels, sample_rows, id_col, text_col, label_col)
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([4.0, 5.0, 6.0]))
     if not len(y) or y.min() == y.max():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from densitykit.llm import decontaminate, fingerprints, langid, page_text, toxicity
 from tests.conftest import SF
 from tests.llm.edge import edge_docs, empty_docs, prose, rows
+from tests.llm.test_substitutions import plain
 
 ID_TEXT = "doc_id long, text string"
 
@@ -62,27 +63,6 @@ def test_word_sums_do_not_depend_on_batch_or_place():
 
 # ---- decontamination
 
-def naive_overlaps(h, item, min_overlap=13, min_similarity=0.8):
-    """Best stretch over all diagonals, without seeds."""
-    best = None
-    for diag in range(-len(item) + 1, len(h)):
-        a, b = max(0, -diag), min(len(item), len(h) - diag)
-        same = [item[q] == h[diag + q] for q in range(a, b)]
-        run = low = 0
-        lo = arg = 0
-        top = (0, 0, 0)
-        for i, s in enumerate(same):
-            run += 1 if s else -4
-            if run < low:
-                low, lo = run, i + 1
-            if run - low > top[0]:
-                top = (run - low, lo, i + 1)
-        n, m = top[2] - top[1], sum(same[top[1]:top[2]])
-        if n >= min(min_overlap, len(item)) and m >= min_similarity * n and (best is None or m > best):
-            best = m
-    return best
-
-
 def test_decontamination_against_all_diagonals(spark):
     rng = np.random.default_rng(6)
     items = [(i, prose(n, 100 + i)) for i, n in enumerate([40, 25, 13, 9, 6, 5, 4, 0])] + [(50, None), (51, prose(40, 100)), (None, prose(40, 7))]
@@ -108,12 +88,19 @@ def test_decontamination_against_all_diagonals(spark):
             hs[t] = decontaminate.word_hashes(raw, np.array([0, len(raw)]))[0].tolist()
         return hs[t]
 
-    want = sorted((-1 if i is None else i, j, m) for i, t in docs for j, u in items
-                  if j is not None and len(words_of(u)) >= 5 and (m := naive_overlaps(words_of(t), words_of(u))))
+    def holds(t, u):
+        return bool(words_of(u)) and plain(words_of(t), words_of(u))
+
+    order = lambda rows: sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
+    want = order((i, j) for i, t in docs for j, u in items if holds(t, u))
+    assert any(j is None for _, j in want) is any(holds(t, items[-1][1]) for _, t in docs)
+    sizes = {j: len(words_of(u)) for j, u in items}
     found = decontaminate.contaminated(d, b)
     for blocks in (found, decontaminate.contaminated(d, b, block_words=30)):
-        assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.n_match) for r in blocks.collect()) == want
-    bad = {(i, t) for i, t in docs if any(j is not None and len(words_of(u)) >= 5 and naive_overlaps(words_of(t), words_of(u)) for j, u in items)}
+        got = blocks.collect()
+        assert order((r.doc_id, r.item_id) for r in got) == want
+        assert all(r.n_overlap >= min(13, sizes[r.item_id]) and r.n_match >= 0.8 * r.n_overlap and r.item_words == sizes[r.item_id] for r in got)
+    bad = {(i, t) for i, t in docs if any(holds(t, u) for _, u in items)}
     left = decontaminate.drop_contaminated(d, b, block_words=60)
     assert left.columns == d.columns
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in left.collect()) == sorted(-1 if i is None else i for i, t in docs if (i, t) not in bad)
