@@ -24,10 +24,22 @@ from densitykit.session import ensure_checkpoint_dir, materialize, ship_package
 MIN_SCORE = 0.3
 
 
+#: Texts that Arrow hands to Python at once, in the JVM, on the way and in the worker each.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH`` texts in an Arrow batch from here on, if the session allows more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told (operator 6); text without letters and text of no
     likely language go."""
     ship_package(spark)
+    small_batches(spark)
     named = langid.predict(docs, langid.fit(docs), keep_text=True)
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
@@ -45,6 +57,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group (operator 4): 5-word shingles, similarity 0.8."""
     ship_package(spark)
+    small_batches(spark)
     groups = materialize(near_dup.near_duplicates(docs, width=5, percent=80).select("doc_id", "text_hash", "kept"), "pipeline-groups")
     here = docs.withColumn("_h", F.xxhash64("text"))
     gone = groups.where("not kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
@@ -59,12 +72,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark passage (operator 7)."""
     ship_package(spark)
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens (operator 3)."""
     ship_package(spark)
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, seq_len=2048)
 
 
