@@ -2,15 +2,14 @@
 
 Plan (``DensityClusterer.fit``):
 
-1. **Neighbour counts** (D1+D2): self eps-join through the grid (or kd) equi-join; the pairs
-   stream straight into a partial aggregate ``count by id`` and are never stored.
-2. **Core flags**: ``n >= min_samples`` (a point counts itself).
-3. **Graph nodes**: core points are grouped by a fine cell whose diagonal is below eps, so all
-   core points of one fine cell are one node (id = their smallest key). Dense regions then cost
-   one node per cell, not one per point.
-4. **Core/border edges**: one more candidate join, every point against the core points; the
-   output is reduced on the fly to distinct ``(node, node)`` edges and ``(border point, node)``
-   links and checkpointed.
+1. **Cells**: points are grouped into cells whose points are all within eps of each other; pairs of cells within eps are
+   found by an equi-join on coarse cells (or kd parts) and decided by their boxes where possible (``cells``).
+2. **Core flags** (D1, D2): a cell of ``min_samples`` points is core as a whole; elsewhere a point's neighbours are the
+   counts of whole cells plus those found point by point in the undecided pairs (a point counts itself).
+3. **Graph nodes**: the core points of one cell are one node (id = their smallest key). Dense regions cost one node per
+   cell, not one per point.
+4. **Links**: pairs of nodes, and of border points and nodes, from the same pairs of cells: decided by boxes or by one
+   chosen point of each where possible, else by comparing points.
 5. **Components** (D4): ``connected_components`` over the node graph.
 6. **Labels**: core points take their node's component label, border points the lowest label
    among their core neighbours (D5), the rest are noise ``-1`` (D6). A label is the lowest core
@@ -25,12 +24,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from densitykit.operators.cells import Grid, box_aggs, near_boxes, near_reps, prefixed, whole_boxes
 from densitykit.operators.components import connected_components
-from densitykit.operators.neighbors import (
-    _check_metric, choose_strategy, coarse_side, fine_side, grid_candidates, kd_candidates,
-    max_abs_coordinate, pairs_within, usable, with_cells,
-)
-from densitykit.operators.points import axis_names, check_unique_keys, point_dim
+from densitykit.operators.neighbors import _check_metric, bounds, choose_strategy, coarse_side, usable
+from densitykit.operators.points import axis_names, point_dim
 from densitykit.session import ensure_checkpoint_dir, materialize
 
 RESULT_COLUMNS = ("id", "label", "kind")
@@ -72,78 +69,91 @@ class DensityClusterer:
         strategy = choose_strategy(k, self.strategy)
         keys = ["g"] if by else []
         pts = usable(points.select(*([F.col(by).alias("g")] if by else []), "id", *axes), k, self.nulls)
-        if self.check_keys:
-            check_unique_keys(pts.select(F.struct(*keys, "id").alias("key")) if by else pts, "key" if by else "id")
+        key = F.struct("g", "id") if by else F.col("id")
+        span = bounds(pts.withColumn("id", key), k, unique=self.check_keys)
         if by:  # the key of a point is (group, id)
-            pts = pts.select("g", F.struct("g", "id").alias("id"), *axes)
-        max_abs = max_abs_coordinate(pts, k)
+            pts = pts.withColumn("id", key)
         kd = None
-        if strategy == "grid":
-            side = coarse_side(self.eps, max_abs)
-
-            def cands(left, right, symmetric):
-                return grid_candidates(left, right, k, side, symmetric=symmetric, keys=keys)
-        else:
+        if strategy == "kd":
             from densitykit.operators.partition import kd_partition
 
             kd = kd_partition(pts, max_partitions=self.max_partitions, k=k)
             pts = kd.points
-
-            def cands(left, right, symmetric):
-                return kd_candidates(left, right, kd, k, self.eps, keys=keys)
-
-        pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-        eps, metric = self.eps, self.metric
-        # 1-2: neighbour counts and core flags
-        pairs = pairs_within(cands(pts, pts, strategy == "grid"), k, eps, metric)
-        if strategy == "grid":
-            ends = pairs.select(F.explode(F.when(F.col("mirror"), F.array("a_id", "b_id"))
-                                          .otherwise(F.array("a_id"))).alias("id"))
-        else:
-            ends = pairs.select(F.col("a_id").alias("id"))
-        counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        flagged = materialize(pts.join(counts, "id", "left")
-                              .withColumn("is_core", F.coalesce(F.col("n"), F.lit(0)) >= F.lit(self.min_samples))
-                              .drop("n"), "dbscan-flagged")
-        # 3: graph nodes (fine-cell contraction)
-        core = flagged.where("is_core").drop("is_core")
-        fside = fine_side(eps, k, metric, max_abs) if self.contract else None
-        if fside is not None:
-            fc = with_cells(core, k, fside, dst="f")
-            fkeys = keys + [f"f{i}" for i in range(k)]
-            nodes = fc.groupBy(*fkeys).agg(F.min("id").alias("node"))
-            core = fc.join(nodes, fkeys).drop(*[f"f{i}" for i in range(k)])
-        else:
-            core = core.withColumn("node", F.col("id"))
-        core = core.persist(StorageLevel.MEMORY_AND_DISK)
-        noncore = flagged.where("not is_core").drop("is_core")
-        left = core.unionByName(noncore.withColumn("node", F.lit(None).cast(core.schema["node"].dataType)))
-        # 4: core-core edges between nodes and border links, reduced while streaming
-        links = pairs_within(cands(left, core, False), k, eps, metric)
-        links = materialize(links.where(F.col("a_node").isNull() | (F.col("a_node") != F.col("b_node")))
-                            .select(F.col("a_node").isNull().alias("border"),
-                                    F.coalesce(F.col("a_node"), F.col("a_id")).alias("u"),
-                                    F.col("b_node").alias("v")).distinct(), "dbscan-links")
+        grid = Grid(k, self.eps, self.metric, coarse_side(self.eps, span.width), span.low, keys, kd)
+        pts = grid.with_cells(pts, single=not self.contract).persist(StorageLevel.MEMORY_AND_DISK)
+        # 1: cells and their pairs
+        cells = materialize(grid.cells(pts), "dbscan-cells")
+        open_ = ~F.col("whole") & ~((F.col("a_n") >= self.min_samples) & (F.col("b_n") >= self.min_samples) & F.col("a_clique") & F.col("b_clique"))
+        pairs, st = materialize(grid.pairs(cells), "dbscan-pairs", n=F.count(F.lit(1)), open=F.count_if(open_))
+        grid.compared["cells"] += st["n"]
+        # 2: core flags
+        whole, more = grid.counts(pts, pairs, self.min_samples, bool(st["open"]))
+        dense = F.col("clique") & (F.col("n") >= self.min_samples)
+        known = cells.select("cell", "clique", dense.alias("dense")).join(whole, "cell", "left").withColumn("whole_n", F.coalesce("whole_n", F.lit(0)))
+        near = F.col("whole_n")
+        flagged = pts.join(known, "cell")
+        if more is not None:
+            flagged, near = flagged.join(more, "id", "left"), near + F.coalesce("more_n", F.lit(0))
+        own = ["g"] if by else []
+        flagged = materialize(flagged.select("cell", "id", *own, *axes, F.when(F.col("clique"), None).otherwise(F.col("id")).alias("sub"),
+                                             (F.col("dense") | (near >= self.min_samples)).alias("is_core")), "dbscan-flagged")
+        pts.unpersist()
+        # 3: graph nodes
+        rep = F.min_by(F.struct(*axes), "id").alias("rep")
+        nodes = materialize(flagged.where("is_core").groupBy("cell", "sub").agg(F.min("id").alias("node"), *box_aggs(k), rep), "dbscan-nodes")
+        # 4: links of nodes, and of border points and nodes
+        noncore = flagged.where("not is_core")
+        links = self._links(grid, pairs, flagged, nodes, noncore)
         # 5: components over nodes
-        cc = connected_components(core.select("node"), links.where("not border").select(
+        cc = connected_components(nodes.select("node"), links.where("not border").select(
             F.col("u").alias("src"), F.col("v").alias("dst")), max_rounds=self.max_rounds)
         # 6: labels
-        core_lab = core.join(cc.labels, "node").select("id", "label", F.lit("core").alias("kind"))
+        named = nodes.select("cell", "sub", "node").join(cc.labels, "node").drop("node")
+        core_lab = flagged.where("is_core").alias("p").join(named.alias("n"), [F.col("p.cell") == F.col("n.cell"), F.col("p.sub").eqNullSafe(F.col("n.sub"))]) \
+            .select("p.id", "n.label", F.lit("core").alias("kind"))
         border_lab = links.where("border").join(cc.labels.withColumnRenamed("node", "v"), "v") \
             .groupBy(F.col("u").alias("id")).agg(F.min("label").alias("label")) \
             .select("id", "label", F.lit("border").alias("kind"))
-        noise = noncore.select("id").join(border_lab.select("id"), "id", "left_anti") \
-            .select("id", F.lit(None).cast(core_lab.schema["label"].dataType).alias("label"),
-                    F.lit("noise").alias("kind"))
-        result = core_lab.unionByName(border_lab).unionByName(noise)
-        return DensityModel(self, result, by=by, k=k, kd=kd, cc=cc, flagged=flagged, core=core,
-                            links=links, persisted=[pts, core])
+        rest = noncore.select("id").join(border_lab, "id", "left") \
+            .select("id", "label", F.coalesce("kind", F.lit("noise")).alias("kind"))
+        return DensityModel(self, core_lab.unionByName(rest), by=by, k=k, kd=kd, cc=cc, flagged=flagged, nodes=nodes, links=links, compared=grid.compared)
+
+    def _links(self, grid: Grid, pairs: DataFrame, flagged: DataFrame, nodes: DataFrame, noncore: DataFrame) -> DataFrame:
+        """``border, u, v``: pairs of linked nodes, and of a border point and a node."""
+        k, eps, metric = grid.k, self.eps, self.metric
+        axes = axis_names(k)
+        a, b = prefixed(nodes, "a_"), prefixed(nodes, "b_")
+        of = pairs.select("a_cell", "b_cell", "whole")
+        tested = F.col("whole") | near_reps("a_", "b_", k, eps, metric) | whole_boxes("a_", "b_", k, eps, metric)
+        core = of.join(a, "a_cell").join(b, "b_cell").where((F.col("a_cell") != F.col("b_cell")) | (F.col("a_node") < F.col("b_node"))) \
+            .where(near_boxes("a_", "b_", k, eps, metric)) \
+            .select(F.lit(False).alias("border"), F.col("a_node").alias("u"), F.col("b_node").alias("v"), "a_n", "b_n", tested.alias("linked"))
+        ends = [F.struct("a_cell", "b_cell", "whole"), F.struct(F.col("b_cell").alias("a_cell"), F.col("a_cell").alias("b_cell"), "whole")]
+        both = of.select(F.explode(F.when(F.col("a_cell") == F.col("b_cell"), F.array(ends[0])).otherwise(F.array(*ends))).alias("s")).select("s.*")
+        point = noncore.select(F.col("cell").alias("a_cell"), F.col("id").alias("a_id"), F.lit(1).cast("long").alias("a_n"), F.struct(*axes).alias("a_rep"),
+                               *[F.col(x).alias(f"a_{e}{i}") for e in ("lo", "hi") for i, x in enumerate(axes)])
+        border = both.join(b, "b_cell").join(point, "a_cell").where(near_boxes("a_", "b_", k, eps, metric)) \
+            .select(F.lit(True).alias("border"), F.col("a_id").alias("u"), F.col("b_node").alias("v"), "a_n", "b_n", tested.alias("linked"))
+        links, st = materialize(core.unionByName(border), "dbscan-links", core=F.count_if(~F.col("linked") & ~F.col("border")),
+                                border=F.count_if(~F.col("linked") & F.col("border")))
+        out = links.where("linked").select("border", "u", "v")
+        if not (st["core"] or st["border"]):
+            return out
+        on = [F.col("p.cell") == F.col("n.cell"), F.col("p.sub").eqNullSafe(F.col("n.sub"))]
+        members = flagged.where("is_core").alias("p").join(nodes.alias("n"), on).select(F.col("n.node").alias("root"), "p.id", *[f"p.{c}" for c in axes])
+        for kind, left in (("core", members), ("border", noncore.select(F.col("id").alias("root"), "id", *axes))):
+            if st[kind]:
+                rest = links.where(~F.col("linked") & (F.col("border") if kind == "border" else ~F.col("border")))
+                found = grid.links(rest.select(F.col("u").alias("a_root"), F.col("v").alias("b_root"), "a_n", "b_n"), left, members)
+                out = out.unionByName(found.select(F.lit(kind == "border").alias("border"), F.col("a_root").alias("u"), F.col("b_root").alias("v")))
+        return materialize(out, "dbscan-links")
 
 
 class DensityModel:
-    """Fitted DBSCAN: lazy DataFrames only (D9, D10 without neighbourhoods)."""
+    """Fitted DBSCAN: lazy DataFrames only (D9, D10). ``compared`` has the pairs of cells and of points that were compared
+    and the levels of subcells that took."""
 
-    def __init__(self, params: DensityClusterer, raw: DataFrame, by, k, kd, cc, flagged, core, links, persisted):
+    def __init__(self, params: DensityClusterer, raw: DataFrame, by, k, kd, cc, flagged, nodes, links, compared):
         self.params = params
         self.k = k
         self.by = by
@@ -151,9 +161,10 @@ class DensityModel:
         self._kd = kd
         self._raw = raw
         self.flagged = flagged
-        self.core = core
+        self.nodes = nodes
         self.links = links
-        self._persisted = persisted
+        self.labels = cc.labels
+        self.compared = compared
         self.cluster_map = cc.labels.select(F.col("node").alias("local_id"), F.col("label").alias("cluster"))
         self.result = self._finish(raw)
 
@@ -186,19 +197,23 @@ class DensityModel:
 
     @property
     def expanded_boxes(self) -> DataFrame:
+        """Boxes of the kd parts grown by twice eps (``part, lo, hi``)."""
         from densitykit.functions.boxes import box_expand_add
 
-        b = self.boxes.select("part", box_expand_add(F.col("lo"), F.col("hi"), self.params.eps).alias("e"))
+        b = self.boxes.select("part", box_expand_add(F.col("lo"), F.col("hi"), 2 * self.params.eps).alias("e"))
         return b.select("part", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
 
+    @property
+    def neighborhoods(self) -> DataFrame:
+        """Every point's copies in the parts whose expanded box contains it (``id, x0.., part``)."""
+        if self._kd is None:
+            raise ValueError("neighborhoods exist for strategy='kd' only")
+        return self._kd.halo(self.flagged.select("id", *axis_names(self.k)), 2 * self.params.eps)
+
     def cluster_sizes(self) -> DataFrame:
         """``label, n`` (noise included as -1)."""
         return self.result.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
-    def unpersist(self) -> None:
-        for df in self._persisted:
-            df.unpersist()
-
 
 def dense_labels(raw: DataFrame) -> DataFrame:
     """Renumber cluster labels 0..m-1 in order of the lowest core key (noise stays null).

@@ -18,13 +18,14 @@ differences summed left to right, compared with eps*eps, all in DOUBLE).
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densitykit.operators.points import axis_names, finite, point_dim
+from densitykit.session import materialize
 
 METRICS = ("euclidean", "manhattan", "chebyshev")
 
@@ -45,10 +46,10 @@ def distance_expr(a: Sequence[str], b: Sequence[str], metric: str = "euclidean")
     return F.greatest(*[F.abs(d) for d in diffs]) if len(diffs) > 1 else F.abs(diffs[0])
 
 
-def within_expr(a: Sequence[str], b: Sequence[str], eps: float, metric: str = "euclidean") -> Column:
-    """``dist(a, b) <= eps`` (euclidean compares squared distance with eps*eps)."""
+def within_diffs(diffs: Sequence[Column], eps: float, metric: str = "euclidean") -> Column:
+    """Whether a distance with these differences along the axes is within eps (euclidean compares squared
+    distance with eps*eps)."""
     _check_metric(metric)
-    diffs = [F.col(x) - F.col(y) for x, y in zip(a, b)]
     e = F.lit(float(eps))
     if metric == "euclidean":
         return _sum([d * d for d in diffs]) <= e * e
@@ -57,6 +58,11 @@ def within_expr(a: Sequence[str], b: Sequence[str], eps: float, metric: str = "e
     return (F.greatest(*[F.abs(d) for d in diffs]) if len(diffs) > 1 else F.abs(diffs[0])) <= e
 
 
+def within_expr(a: Sequence[str], b: Sequence[str], eps: float, metric: str = "euclidean") -> Column:
+    """``dist(a, b) <= eps`` of two points given as column-name lists."""
+    return within_diffs([F.col(x) - F.col(y) for x, y in zip(a, b)], eps, metric)
+
+
 def _sum(cs: list[Column]) -> Column:
     out = cs[0]
     for c in cs[1:]:
@@ -64,15 +70,33 @@ def _sum(cs: list[Column]) -> Column:
     return out
 
 
-def max_abs_coordinate(points: DataFrame, k: int | None = None) -> float:
-    """Largest |coordinate| over all axes (one aggregate, partial + final). Raises on a null, NaN or
-    infinite coordinate: it would make every cell number meaningless."""
+@dataclass
+class Bounds:
+    """Least coordinate and greatest extent of a point table."""
+
+    low: list[float]
+    width: float
+
+
+def bounds(points: DataFrame, k: int | None = None, unique: bool = False) -> Bounds:
+    """Extent of the points (one job). Raises on a null, NaN or infinite coordinate, which would make every cell number
+    meaningless, and with ``unique`` on a key that occurs twice."""
     k = k or point_dim(points)
-    row = points.agg(F.greatest(*[F.max(F.abs(F.col(c))) for c in axis_names(k)], F.lit(0.0)).alias("m"),
-                     F.count_if(~finite(points, k)).alias("bad")).first()
+    axes = axis_names(k)
+    some = [F.count(F.lit(1)).alias("n"), F.count_if(~finite(points, k)).alias("bad"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(axes)],
+            *[F.max(c).alias(f"hi{i}") for i, c in enumerate(axes)]]
+    if unique:
+        each = points.groupBy("id").agg(*some)
+        row = each.agg(F.sum("bad").alias("bad"), F.min(F.when(F.col("n") > 1, F.col("id"))).alias("twice"),
+                       *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(k)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(k)]).first()
+        if row["twice"] is not None:
+            raise ValueError(f"duplicate key {row['twice']!r}: keys must be unique")
+    else:
+        row = points.agg(*some).first()
     if row["bad"]:
         raise ValueError(f"{row['bad']} points have a null, NaN or infinite coordinate (nulls='drop' leaves them out)")
-    return float(row["m"] or 0.0)
+    low = [float(row[f"lo{i}"] or 0.0) for i in range(k)]
+    return Bounds(low, max([float(row[f"hi{i}"] or 0.0) - low[i] for i in range(k)], default=0.0))
 
 
 def usable(points: DataFrame, k: int, nulls: str) -> DataFrame:
@@ -82,26 +106,16 @@ def usable(points: DataFrame, k: int, nulls: str) -> DataFrame:
     return points.where(finite(points, k)) if nulls == "drop" else points
 
 
-def coarse_side(eps: float, max_abs: float) -> float:
-    """Cell side for candidate search: at least eps, widened by a margin that covers the
-    rounding of ``x/side`` and of the distance arithmetic (a pair at computed distance eps
+def coarse_side(eps: float, width: float) -> float:
+    """Cell side for candidate search in a table of this extent: at least eps, widened by a margin that covers the
+    rounding of ``(x - low) / side`` and of the distance arithmetic (a pair at computed distance eps
     must never land two cells apart)."""
-    return float(eps) * (1 + 1e-9) + 1e-12 * max_abs
-
+    return float(eps) * (1 + 1e-9) + 1e-12 * width
 
-def fine_side(eps: float, k: int, metric: str, max_abs: float) -> float | None:
-    """Cell side such that any two points of one cell are within eps (so core points of one
-    cell are one graph node). None when rounding would make that unsafe."""
-    per = {"euclidean": math.sqrt(k), "manhattan": float(k), "chebyshev": 1.0}[metric]
-    room = float(eps) * (1 - 1e-6) - 1e-9 * max_abs
-    if room <= 0:
-        return None
-    return room / per
 
-
-def with_cells(df: DataFrame, k: int, side: float, src: str = "x", dst: str = "c") -> DataFrame:
+def with_cells(df: DataFrame, k: int, side: float, origin: Sequence[float]) -> DataFrame:
     s = F.lit(float(side))
-    return df.withColumns({f"{dst}{i}": F.floor(F.col(f"{src}{i}") / s).cast("long") for i in range(k)})
+    return df.withColumns({f"c{i}": F.floor((F.col(f"x{i}") - F.lit(float(origin[i]))) / s).cast("long") for i in range(k)})
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -116,7 +130,7 @@ def _offsets(k: int, half: bool) -> list[tuple[int, ...]]:
     return offs
 
 
-def grid_candidates(left: DataFrame, right: DataFrame, k: int, side: float,
+def grid_candidates(left: DataFrame, right: DataFrame, k: int, side: float, origin: Sequence[float],
                     symmetric: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Equi-join of ``left`` (home cell) with ``right`` copied into neighbour cells.
 
@@ -126,8 +140,8 @@ def grid_candidates(left: DataFrame, right: DataFrame, k: int, side: float,
     cross-cell rows whose reverse pair must also be emitted. ``keys`` are extra columns of
     both sides that must be equal (a group).
     """
-    lc = _prefixed(with_cells(left, k, side), "a_")
-    rc = with_cells(right, k, side)
+    lc = _prefixed(with_cells(left, k, side, origin), "a_")
+    rc = with_cells(right, k, side, origin)
     offs = _offsets(k, symmetric)
     off_arr = F.array(*[F.struct(F.lit(j).alias("o"), *[F.lit(v).alias(f"d{i}") for i, v in enumerate(o)])
                         for j, o in enumerate(offs)])
@@ -173,11 +187,9 @@ def eps_join(points: DataFrame, eps: float, metric: str = "euclidean", strategy:
     k = k or point_dim(points)
     pts = usable(points.select("id", *axis_names(k)), k, nulls)
     strategy = choose_strategy(k, strategy)
-    if strategy == "kd":
-        max_abs_coordinate(pts, k)
+    span = bounds(pts, k)
     if strategy == "grid":
-        side = coarse_side(eps, max_abs_coordinate(pts, k))
-        cands = pairs_within(grid_candidates(pts, pts, k, side, symmetric=True), k, eps, metric)
+        cands = pairs_within(grid_candidates(pts, pts, k, coarse_side(eps, span.width), span.low, symmetric=True), k, eps, metric)
         both = F.when(F.col("mirror"),
                       F.array(F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b")),
                               F.struct(F.col("b_id").alias("a"), F.col("a_id").alias("b")))) \
@@ -205,16 +217,25 @@ def choose_strategy(k: int, strategy: str) -> str:
 
 def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", strategy: str = "auto",
                      k: int | None = None, max_partitions: int | None = None) -> DataFrame:
-    """``id, n``: number of points within eps of each point, itself included. The pairs are
-    aggregated as they stream out of the join (partial aggregation), never materialised."""
+    """``id, n``: number of points within eps of each point, itself included (keys must be unique). Cells within eps of
+    each other count whole; single points are compared only where the boxes of two cells leave it open."""
+    from densitykit.operators.cells import Grid
+
     k = k or point_dim(points)
-    strategy = choose_strategy(k, strategy)
-    pts = points.select("id", *axis_names(k))
-    if strategy == "grid":
-        side = coarse_side(eps, max_abs_coordinate(pts, k))
-        c = pairs_within(grid_candidates(pts, pts, k, side, symmetric=True), k, eps, metric)
-        ends = c.select(F.explode(F.when(F.col("mirror"), F.array("a_id", "b_id"))
-                                  .otherwise(F.array("a_id"))).alias("id"))
-    else:
-        ends = eps_join(pts, eps, metric, "kd", k, max_partitions).select(F.col("a").alias("id"))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    pts, kd = points.select("id", *axis_names(k)), None
+    span = bounds(pts, k)
+    if choose_strategy(k, strategy) == "kd":
+        from densitykit.operators.partition import kd_partition
+
+        kd = kd_partition(pts, max_partitions=max_partitions, k=k)
+        pts = kd.points
+    grid = Grid(k, float(eps), metric, coarse_side(eps, span.width), span.low, (), kd)
+    pts = grid.with_cells(pts)
+    cells = materialize(grid.cells(pts), "counts-cells")
+    pairs = materialize(grid.pairs(cells), "counts-pairs")
+    whole, more = grid.counts(pts, pairs, None)
+    n = F.coalesce("whole_n", F.lit(0))
+    out = pts.join(whole, "cell", "left")
+    if more is not None:
+        out, n = out.join(more, "id", "left"), n + F.coalesce("more_n", F.lit(0))
+    return out.select("id", n.cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from densitykit.functions import boxes as bx
 from densitykit.operators import voxel as vx
+from densitykit.operators.boxjoin import box_join
 from densitykit.operators.partition import axis_variance, halo_join, kd_partition, partition_stats
 from densitykit.operators.stats import bounding_box
 from densitykit.plans import fixtures as fx
@@ -122,12 +123,9 @@ def q_bbox_expand(spark, sf_dir):
 select s.p_brand, count(*) n from ({PTB}) p join s on {' and '.join(f'p.x{i} >= s.lo{i} and p.x{i} <= s.hi{i}' for i in range(K))}
 group by s.p_brand""")
 def q_bbox_contains(spark, sf_dir):
-    """Parts (any brand) inside each brand's box of small parts (inclusive). The box
-    table has one row per brand, a bounded dimension, so it is broadcast."""
+    """Parts (any brand) inside each brand's box of small parts (inclusive)."""
     s = _brand_boxes(spark, sf_dir, F.col("p_size") <= 10)
-    pts = _ptb(spark, sf_dir).select("id", "x0", "x1")
-    j = pts.join(F.broadcast(s), bx.box_contains("lo", "hi", F.array("x0", "x1")))
-    return j.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return box_join(_ptb(spark, sf_dir).select("id", "x0", "x1"), s).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("box_in_box", f"""with f as ({_sql_brand_boxes()}), s as ({_sql_brand_boxes('p_size <= 10')}),
@@ -267,7 +265,7 @@ def q_halo_join(spark, sf_dir):
 
 @register("halo_join_boxes", _kd_sql(4, tail=f"select p.id, b.part from pts p join kdboxes b on {kd_sql.grown_contains(K, 4.0)}"))
 def q_halo_join_boxes(spark, sf_dir):
-    """C8 against an explicit box table (broadcast nested loop over at most 4,096 boxes)."""
+    """C8 against an explicit box table."""
     kd = _kd(spark, sf_dir)
     return halo_join(fx.pt_points(spark, sf_dir), kd.boxes, 4.0).select("id", "part")
 

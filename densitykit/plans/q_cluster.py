@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from densitykit.operators.dbscan import DensityClusterer
+from densitykit.operators.local_clusters import local_clusters
 from densitykit.operators.neighbors import eps_join, neighbour_counts
 from densitykit.plans import fixtures as fx
+from densitykit.plans import kd_sql
 from densitykit.plans import oracles as osql
 from densitykit.plans.catalog import register
 
@@ -135,3 +137,88 @@ select d.id, coalesce(l.dense, -1)::bigint label, d.kind from d left join l usin
 def q_dbscan_dense(spark, sf_dir):
     """Labels renumbered 0..m-1 in order of the lowest core key."""
     return _fit(spark, sf_dir, labels="dense").result
+
+
+# ---- part by part (4 kd parts of PT, eps 2, min 6) ----------------------------------------------
+
+#: A copy's key in the SQL: part * STEP + id.
+STEP = 10**9
+
+
+def _local_sql(tail):
+    ctes, last, boxes = kd_sql.kd_sql("pts", 2, 4)
+    copies = (f"select b.part * {STEP}::bigint + p.id id, b.part, p.x0, p.x1 from pts p join kdboxes b on {kd_sql.grown_contains(2, 4.0)}")
+    return f"with recursive pts as ({PT}), " + ", ".join(ctes) + ", " + kd_sql.boxes_cte(boxes, 2) + f", home as (select id, part from {last}), " + \
+        osql.dbscan_ctes(copies, 2, 2.0, 6, group="part").removeprefix("with recursive ") + tail
+
+
+_LOCAL = f"""
+select p.part, p.id % {STEP} id, coalesce(lab.l, bord.l) % {STEP} cluster,
+  case when lab.l is not null then 'core' when bord.l is not null then 'border' else 'noise' end kind
+from p left join lab using (id) left join bord using (id)"""
+
+
+@register("local_clusters", _local_sql(_LOCAL))
+def q_local_clusters(spark, sf_dir):
+    """D3: clusters inside every kd part, over all halo copies."""
+    return _local(spark, sf_dir).local.select("part", "id", "cluster", "kind")
+
+
+@register("local_cluster_map", _local_sql(f""",
+ tie as materialized (select distinct a.l a, b.l b from lab a join lab b on a.id % {STEP} = b.id % {STEP}),
+ r2(l, root) as (select distinct l, l from lab union select tie.b, r2.root from r2 join tie on tie.a = r2.l)
+select l // {STEP} part, l % {STEP} cluster, min(root % {STEP}) "label" from r2 group by l"""))
+def q_local_cluster_map(spark, sf_dir):
+    """Local cluster -> global cluster, through shared core points."""
+    return _local(spark, sf_dir).cluster_map.select(F.col("part").cast("long").alias("part"), "cluster", "label")
+
+
+@register("cluster_audit", _local_sql(f""", loc as ({_LOCAL})
+select id, string_agg(part || ':' || coalesce(cluster, -1) || case kind when 'core' then '' else '*' end, ';'
+  order by part || ':' || coalesce(cluster, -1) || case kind when 'core' then '' else '*' end) clusters from loc group by id"""))
+def q_cluster_audit(spark, sf_dir):
+    """Audit line of every key, e.g. ``0:7;2:7*``."""
+    return _local(spark, sf_dir).audit()
+
+
+@register("dbscan_merged", osql.fixture_dbscan_sql("PT", 2.0, 6))
+def q_dbscan_merged(spark, sf_dir):
+    """The merged clusters of all parts equal a fit of the whole table."""
+    return _local(spark, sf_dir).result.select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"), "kind")
+
+
+def _local(spark, sf_dir):
+    return local_clusters(fx.pt_points(spark, sf_dir), 2.0, 6, max_partitions=4, radius=4.0)
+
+
+def _model_boxes_sql(grow):
+    ctes, _, boxes = kd_sql.kd_sql("pts", 2, 4)
+    g = osql.lit(grow)
+    return f"with pts as ({PT}), " + ", ".join(ctes) + ", " + kd_sql.boxes_cte(boxes, 2) + \
+        ", " + f"kdg as (select part, {', '.join(f'round(lo{i} - {g}, 6) lo{i}, round(hi{i} + {g}, 6) hi{i}' for i in range(2))} from kdboxes) "
+
+
+def _kd_model(spark, sf_dir):
+    return _fit(spark, sf_dir, "PT", strategy="kd", max_partitions=4)
+
+
+@register("model_boxes", _model_boxes_sql(0.0) + "select * from kdg")
+def q_model_boxes(spark, sf_dir):
+    """Boxes of the parts that a model was fitted by."""
+    return _kd_model(spark, sf_dir).boxes.select("part", *_ends())
+
+
+@register("model_expanded_boxes", _model_boxes_sql(4.0) + "select * from kdg")
+def q_model_expanded_boxes(spark, sf_dir):
+    """The same boxes grown by twice eps."""
+    return _kd_model(spark, sf_dir).expanded_boxes.select("part", *_ends())
+
+
+@register("model_neighborhoods", _model_boxes_sql(4.0) + f"select p.id, b.part from pts p join kdboxes b on {kd_sql.grown_contains(2, 4.0)}")
+def q_model_neighborhoods(spark, sf_dir):
+    """Every point in each part whose expanded box contains it."""
+    return _kd_model(spark, sf_dir).neighborhoods.select("id", "part")
+
+
+def _ends():
+    return [F.round(F.col(e)[i], 6).alias(f"{e}{i}") for i in range(2) for e in ("lo", "hi")]
