@@ -38,6 +38,52 @@ def voxel_range_count(counts: DataFrame, bounds: DataFrame, k: int) -> DataFrame
     return counts.join(bounds, cond).groupBy(*ends).agg(F.sum("cnt").cast("bigint").alias("n"))
 
 
+def voxel_range_counts(counts: DataFrame, ranges: DataFrame, k: int, name: str = "n") -> DataFrame:
+    """V4 for many ranges: every row of ``ranges`` (``lo0.., hi0..`` inclusive, any other columns) with the points in the
+    voxels inside it, 0 if there are none or an end is null or inverted.
+
+    Counts are summed over the blocks of a binary hierarchy on every axis (block j has the voxels whose corners agree but
+    for the last j bits), and a range is the sum of the at most two blocks a level that tile it on each axis.
+    So a range looks up a number of sums that depends on the logarithm of the extent, and no voxel is compared with a range.
+    """
+    ext = counts.agg(*[F.min(f"c{i}").alias(f"lo{i}") for i in range(k)], *[F.max(f"c{i}").alias(f"hi{i}") for i in range(k)]).first()
+    ends = [f"{e}{i}" for i in range(k) for e in ("lo", "hi")]
+    ids = ranges.select(*ends).distinct()
+    if ext["lo0"] is None:
+        return ranges.withColumn(name, F.lit(0).cast("bigint"))
+    nodes, wanted = counts, ids
+    for i in range(k):
+        low, top = ext[f"lo{i}"], ext[f"hi{i}"] - ext[f"lo{i}"]
+        bits = max(1, int(top).bit_length())
+        place = F.col(f"c{i}") - F.lit(low)
+        nodes = nodes.withColumn(f"_n{i}", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright(place, j).alias("m")) for j in range(bits + 1)])))
+        first = F.greatest(F.col(f"lo{i}") - F.lit(low), F.lit(0).cast("bigint"))
+        last = F.least(F.col(f"hi{i}") - F.lit(low), F.lit(top).cast("bigint")) + 1
+        wanted = wanted.withColumn(f"_n{i}", F.explode(F.when(F.col(f"lo{i}").isNotNull() & F.col(f"hi{i}").isNotNull() & (first < last), _tiles(first, last, bits))))
+    at = [f"_n{i}" for i in range(k)]
+    sums = nodes.groupBy(*at).agg(F.sum("cnt").alias("_s"))
+    found = wanted.join(sums, at).groupBy(*ends).agg(F.sum("_s").cast("bigint").alias(name))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ends]
+    return ranges.alias("r").join(found.alias("f"), same, "left").select("r.*", F.coalesce(F.col(f"f.{name}"), F.lit(0)).cast("bigint").alias(name))
+
+
+def _tiles(first, last, bits: int):
+    """Blocks ``(j, m)`` that tile ``[first, last)``: at most two a level."""
+    node = lambda j, m: F.struct(j.cast("int").alias("j"), m.alias("m"))
+    none = F.array().cast("array<struct<j:int,m:bigint>>")
+
+    def up(s, j):
+        l, r = s["l"], s["r"]
+        live = l < r
+        odd_l, odd_r = live & (F.pmod(l, F.lit(2)) == 1), live & (F.pmod(r, F.lit(2)) == 1)
+        l2, r2 = l + odd_l.cast("bigint"), r - odd_r.cast("bigint")
+        here = F.filter(F.array(F.when(odd_l, node(j, l)), F.when(odd_r & (r2 >= l2), node(j, r2))), lambda x: x.isNotNull())
+        return F.struct(F.when(live, F.shiftright(l2, 1)).otherwise(l).alias("l"), F.when(live, F.shiftright(r2, 1)).otherwise(r).alias("r"), F.concat(s["out"], here).alias("out"))
+
+    start = F.struct(first.cast("bigint").alias("l"), last.cast("bigint").alias("r"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits)), start, up, lambda s: s["out"])
+
+
 def voxel_key_counts(df: DataFrame, p1: str = "p1", p2: str = "p2", weight: str | None = None) -> DataFrame:
     """V5: a voxel ``(p1, p2)`` (two corner arrays) used as a grouping key; sums ``weight``
     (or counts rows) per voxel."""

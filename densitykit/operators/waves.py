@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densitykit.functions import waves as W
+from densitykit.session import materialize
 
 
 def to_wave(long: DataFrame, keys: Sequence[str], pos: str = "pos", v: str = "v", out: str = "v") -> DataFrame:
@@ -77,8 +79,38 @@ def best_shift_scale(pairs: DataFrame, v1: str = "v1", v2: str = "v2", keys: Seq
                                                F.col("_b.r").alias("r"))
 
 
+def least_shift_scale(pairs: DataFrame, v1: str = "v1", v2: str = "v2", keys: Sequence[str] = ("u1", "u2"),
+                      least_s: float = 1e-3, most_s: float = 1e3) -> DataFrame:
+    """the least shift/scale distance of two equal-length waves over all real s > 0 and u and all circular shifts r,
+    and where it is: ``keys, dist, s, u, r``.
+
+    For given s and r the best u is ``(S2 / s - s S1) / 2n``; put in, the squared distance is ``A s^2 + B / s^2 + C_r`` with
+    ``A = Q1 - S1^2/n``, ``B = Q2 - S2^2/n`` and ``C_r = 2 S1 S2 / n - 2 D_r``, so the best r has the greatest dot product D_r
+    (ties: smallest ``|r|``, then r) and ``s = (B / A)^(1/4)``, kept within ``least_s..most_s`` (a constant wave has no best s).
+    """
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, t: acc + t)
+    x, y = F.col(v1), F.col(v2)
+    n = F.size(x)
+    sums = F.struct(total(x).alias("s1"), total(y).alias("s2"))
+    turn = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i * 2 <= n, i).otherwise(i - n))
+    dots = F.transform(turn, lambda r: F.struct(total(F.zip_with(W.roll(x, r), y, lambda a, b: a * b)).alias("d"), (-F.abs(r)).alias("near"), (-r).alias("neg")))
+
+    def rest(m):
+        spread = lambda a, t: total(F.transform(a, lambda z: (z - t / n) * (z - t / n)))
+        return F.struct(m["s1"].alias("s1"), m["s2"].alias("s2"), spread(x, m["s1"]).alias("a"), spread(y, m["s2"]).alias("b"))
+
+    def place(m):
+        s = F.least(F.lit(most_s), F.greatest(F.lit(least_s), F.pow(F.try_divide(m["b"], m["a"]), F.lit(0.25))))
+        s = F.when((m["a"] == 0) & (m["b"] == 0), F.lit(1.0)).when(m["a"] == 0, F.lit(most_s)).otherwise(s)
+        return W.bound(s, lambda s: F.struct(s.alias("s"), ((m["s2"] / s - s * m["s1"]) / (2 * n)).alias("u")))
+
+    at = W.bound(sums, lambda m: W.bound(rest(m), place))
+    put = pairs.select(*keys, v1, v2, at.alias("_p"), (-F.array_max(dots)["neg"]).alias("r"))
+    return put.select(*keys, W.shift_scale_distance(v1, v2, F.col("_p.s"), F.col("_p.u"), F.col("r")).alias("dist"), F.col("_p.s").alias("s"), F.col("_p.u").alias("u"), "r")
+
+
 def pulse_fit(waves: DataFrame, keys: Sequence[str], v: str = "v", baseline="zero", threshold: float = 0.2,
-              center: float | None = None) -> DataFrame:
+              center: float | None = None, keep_wave: bool = False) -> DataFrame:
     """fit ``a + b exp(-(x-c)^2/d)`` to each row's array in closed form (x is the position).
 
     With the baseline ``a`` given (``'zero'``, ``'min'`` or a number), ``ln(v - a)`` is a
@@ -125,12 +157,153 @@ def pulse_fit(waves: DataFrame, keys: Sequence[str], v: str = "v", baseline="zer
                  F.when(down, F.col("xbar") - F.col("q1") / (2 * F.col("q2"))).alias("c"),
                  F.when(down, -1.0 / F.col("q2")).alias("d"))
     off = F.transform("_v", lambda x, i: F.pow(x - W.pulse(i.cast("double"), F.col("a"), F.col("b"), F.col("c"), F.col("d")), 2))
-    return f.select(*keys, "a", "b", "c", "d", F.when(F.col("b").isNotNull(), F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x)).alias("res"))
+    wave = [F.col("_v").alias(v)] if keep_wave else []
+    return f.select(*keys, *wave, "a", "b", "c", "d", F.when(F.col("b").isNotNull(), F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x)).alias("res"))
+
+
+#: Least values of b and d in the bounded fit (fixed: the reference's bounds).
+LEAST_B, LEAST_D = 0.0, 1e-4
+
+
+def pulse_least_squares(waves: DataFrame, keys: Sequence[str], v: str = "v", baseline="min", threshold: float = 0.2,
+                        rounds: int = 60) -> DataFrame:
+    """least-squares fit of ``a + b exp(-(x-c)^2/d)`` with ``b >= 0`` and ``d >= 1e-4``: ``keys, a, b, c, d, res``.
+
+    Damped Gauss-Newton steps, all waves of an Arrow batch at once, from two starts: the closed form (``pulse_fit``) and
+    ``(0, max, place of the max, 100)``; the better end counts. A step is kept only if it lowers the residual, so
+    ``res`` is never above that of either start (the closed form pushed within the bounds). Null for a null or empty wave.
+    """
+    start = pulse_fit(waves, keys, v, baseline, threshold, keep_wave=True).withColumnRenamed(v, "_v")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waves.select(*keys).schema)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                col = part.column(len(keys))
+                got = np.full((5, part.num_rows), np.nan)
+                size = np.asarray(col.value_lengths().fill_null(0))
+                flat = col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                first = np.cumsum(size) - size
+                first_fit = [part.column(len(keys) + 1 + j).to_numpy(zero_copy_only=False) for j in range(4)]
+                for n in np.unique(size[size > 0]):
+                    rows = np.flatnonzero(size == n)
+                    got[:, rows] = least_squares(flat[first[rows][:, None] + np.arange(n)], np.array([p[rows] for p in first_fit]), rounds)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), *(pa.array(g, from_pandas=True) for g in got)], [*keys, "a", "b", "c", "d", "res"])
+
+    return start.select(*keys, "_v", "a", "b", "c", "d").mapInArrow(run, f"{kinds}, a double, b double, c double, d double, res double")
+
+
+def least_squares(v: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
+    """Parameters and residual (5 x rows) of waves ``v`` (rows x samples) from the better of two starts."""
+    x = np.arange(v.shape[1], dtype=float)
+    plain = np.array([np.zeros(len(v)), np.maximum(v.max(axis=1), LEAST_B), v.argmax(axis=1).astype(float), np.full(len(v), 100.0)])
+    known = np.isfinite(first).all(axis=0)
+    first = np.where(known, first, plain)
+    first[1], first[3] = np.maximum(first[1], LEAST_B), np.maximum(first[3], LEAST_D)
+    ends = [_gauss_newton(v, x, p, rounds) for p in (first, plain)]
+    return np.where(ends[0][4] <= ends[1][4], ends[0], ends[1])
+
+
+def _shape(x, p):
+    with np.errstate(over="ignore", under="ignore"):
+        off = x - p[2][:, None]
+        return off, np.exp(-off * off / p[3][:, None])
+
+
+def _gauss_newton(v: np.ndarray, x: np.ndarray, p: np.ndarray, rounds: int) -> np.ndarray:
+    p, damp = p.copy(), np.full(len(v), 1e-3)
+    res = residual_of(v, x, p)
+    live = np.ones(len(v), bool)
+    for _ in range(rounds):
+        rows = np.flatnonzero(live)
+        if not len(rows):
+            break
+        q = p[:, rows]
+        off, e = _shape(x, q)
+        r = v[rows] - q[0][:, None] - q[1][:, None] * e
+        be = q[1][:, None] * e / q[3][:, None]
+        j = np.stack([np.ones_like(e), e, 2 * off * be, off * off * be / q[3][:, None]])
+        jtj, g = np.einsum("irn,jrn->rij", j, j), np.einsum("irn,rn->ri", j, r)
+        diag = np.einsum("rii->ri", jtj)
+        held = ((q[1] <= LEAST_B) & (g[:, 1] < 0), (q[3] <= LEAST_D) & (g[:, 3] < 0))  # at a bound and pushed beyond it
+        for k, h in zip((1, 3), held):
+            jtj[h, k, :] = jtj[h, :, k] = 0
+            g[h, k] = 0
+        a = jtj + np.einsum("ri,ij->rij", damp[rows, None] * np.maximum(diag, 1e-30) + 1e-300, np.eye(4))
+        for k, h in zip((1, 3), held):
+            a[h, k, k] = 1
+        with np.errstate(all="ignore"):
+            try:
+                step = np.linalg.solve(a, g[:, :, None])[:, :, 0].T
+            except np.linalg.LinAlgError:
+                step = np.stack([np.linalg.lstsq(m, y, rcond=None)[0] for m, y in zip(a, g)]).T
+            new = q + np.where(np.isfinite(step), step, 0)
+            new[1], new[3] = np.maximum(new[1], LEAST_B), np.maximum(new[3], LEAST_D)
+            then = residual_of(v[rows], x, new)
+        better = then < res[rows]
+        gain = res[rows] - then
+        p[:, rows[better]] = new[:, better]
+        res[rows[better]] = then[better]
+        damp[rows] = np.where(better, damp[rows] / 5, damp[rows] * 4)
+        live[rows] = np.where(better, gain > 1e-14 * res[rows], damp[rows] < 1e12)
+    return np.vstack([p, res])
+
+
+def residual_of(v: np.ndarray, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    _, e = _shape(x, p)
+    return ((v - p[0][:, None] - p[1][:, None] * e) ** 2).sum(axis=1)
+
+
+def wave_stats(waves: DataFrame, by: str = "channel", v: str = "v") -> DataFrame:
+    """``by, pos, n, mean, var`` (population variance) at every position of array rows, whatever their lengths.
+
+    A task folds its rows, Arrow batch by batch, into one count, mean and M2 vector for each value of ``by`` (few: the
+    channels), and only these states are shuffled: as many bytes as tasks x channels x samples, however many rows there are.
+    States are merged by the pairwise rule ``M2 + n (mean - all)^2``.
+    """
+    kind = waves.schema[by].dataType.simpleString()
+
+    def fold(batches):
+        held: dict = {}
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            size = np.asarray(b.column(1).value_lengths().fill_null(0)).astype(np.int64)
+            flat = b.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            for key in set(keys):
+                rows = np.flatnonzero([x == key if key is not None else x is None for x in keys])
+                width = int(size[rows].max(initial=0))
+                for lo in range(0, len(rows), max(1, (1 << 21) // max(1, width))):
+                    some = rows[lo:lo + max(1, (1 << 21) // max(1, width))]
+                    at = np.arange(width)
+                    there = at < size[some][:, None]
+                    vals = flat[np.where(there, first[some][:, None] + at, 0)] if len(flat) else np.zeros(there.shape)
+                    there &= ~np.isnan(vals)
+                    n = there.sum(axis=0)
+                    mean = np.where(there, vals, 0).sum(axis=0) / np.maximum(n, 1)
+                    m2 = np.where(there, (vals - mean) ** 2, 0).sum(axis=0)
+                    held[key] = _merge(held[key], (n, mean, m2)) if key in held else (n, mean, m2)
+        for key, (n, mean, m2) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], b.schema.field(0).type), pa.array([n.tolist()], pa.list_(pa.int64())),
+                                              pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([m2.tolist()], pa.list_(pa.float64()))], [by, "n", "mean", "m2"])
+
+    states = waves.select(by, v).mapInArrow(fold, f"`{by}` {kind}, n array<long>, mean array<double>, m2 array<double>")
+    each = materialize(states, "wave-states").select(by, F.posexplode(F.arrays_zip("n", "mean", "m2")).alias("pos", "s")).where("s.n > 0")
+    mid = each.groupBy(by, "pos").agg((F.sum(F.col("s.n") * F.col("s.mean")) / F.sum("s.n")).alias("mean"))
+    off = F.col("s.mean") - F.col("mean")
+    return each.join(mid, [by, "pos"]).groupBy(by, "pos", "mean").agg(F.sum("s.n").alias("n"), F.sum(F.col("s.m2") + F.col("s.n") * off * off).alias("m2")) \
+        .select(by, "pos", "n", "mean", (F.col("m2") / F.col("n")).alias("var"))
 
 
-def pop_stats(long: DataFrame, by: Sequence[str] = ("channel", "pos"), v: str = "v") -> DataFrame:
-    """mean and population variance per (channel, position) over all events."""
-    return long.groupBy(*by).agg(F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
+def _merge(p, q):
+    """Count, mean and M2 vectors of two sets of rows, the shorter ones filled up with nothing."""
+    width = max(len(p[0]), len(q[0]))
+    p, q = ([np.concatenate([a, np.zeros(width - len(a), a.dtype)]) for a in s] for s in (p, q))
+    n = p[0] + q[0]
+    some = np.maximum(n, 1)
+    gap = q[1] - p[1]
+    return n, np.where(p[0] == 0, q[1], p[1] + gap * q[0] / some), p[2] + q[2] + np.where((p[0] > 0) & (q[0] > 0), gap * gap * p[0] * q[0] / some, 0)
 
 
 def renormalize(waves: DataFrame, stats: DataFrame, keys: Sequence[str], divisor: str = "std", v: str = "v") -> DataFrame:

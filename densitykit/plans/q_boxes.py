@@ -183,6 +183,20 @@ def q_voxel_range_count(spark, sf_dir):
     return vx.voxel_range_count(vx.voxel_counts(v, 2), bounds, 2).select("n")
 
 
+@register("voxel_range_counts", f"""with v as (select p_brand, p_size, floor(x0 / 2.0)::bigint c0, floor(x1 / 2.0)::bigint c1 from ({PTB})),
+ b as (select p_brand, m.d move, min(c0) + m.d lo0, min(c1) lo1, max(c0) + m.d hi0, max(c1) hi1 from v, (values (0), (7), (1000000)) m(d) where p_size <= 10 group by p_brand, m.d),
+ c as (select c0, c1, count(*) cnt from v group by c0, c1)
+select p_brand, move, lo0, lo1, hi0, hi1, coalesce(sum(cnt), 0)::bigint n
+from b left join c on c0 between lo0 and hi0 and c1 between lo1 and hi1 group by all""")
+def q_voxel_range_counts(spark, sf_dir):
+    """V4: points in the voxel range of every brand's small parts, as it is, moved a little and moved beyond all points."""
+    p = _ptb(spark, sf_dir)
+    v = vx.voxel_corners(p, 1.0).join(p.select("id", "p_brand", "p_size"), "id")
+    b = v.where("p_size <= 10").withColumn("move", F.explode(F.array(F.lit(0), F.lit(7), F.lit(1_000_000)))).groupBy("p_brand", "move") \
+        .agg(*[(getattr(F, f)(f"c{i}") + (F.col("move") if i == 0 else 0)).alias(f"{e}{i}") for e, f in (("lo", "min"), ("hi", "max")) for i in range(K)])
+    return vx.voxel_range_counts(vx.voxel_counts(v, 2), b, 2)
+
+
 @register("voxel_key_count", _V_SQL + """select c0 p1_0, c1 p1_1, c0 + 1 p2_0, c1 + 1 p2_1, count(*) cnt
 from v group by c0, c1""")
 def q_voxel_key_count(spark, sf_dir):

@@ -146,6 +146,17 @@ def q_rbf_edges(spark, sf_dir):
     return e.select("src", "dst", r6("weight").alias("weight"))
 
 
+@register("rbf_knn_edges", f"""with {_FEAT_SQL},
+ d as (select a.wave_id i, b.wave_id j, (a.f0-b.f0)*(a.f0-b.f0)+(a.f1-b.f1)*(a.f1-b.f1)+(a.f2-b.f2)*(a.f2-b.f2)+(a.f3-b.f3)*(a.f3-b.f3) d2
+   from f a join f b on a.wave_id <> b.wave_id),
+ o as (select *, row_number() over (partition by i order by d2, j) rn from d)
+select least(i, j) src, greatest(i, j) dst, round(exp(-min(d2)), 6) weight from o where rn <= 10 group by all""")
+def q_rbf_knn_edges(spark, sf_dir):
+    """G4 with bounded degree: RBF edges of each wave and its 10 nearest."""
+    e = PR.rbf_edges(_features(spark, sf_dir), ["f0", "f1", "f2", "f3"], key="wave_id", n_neighbors=10)
+    return e.select("src", "dst", r6("weight").alias("weight"))
+
+
 @register("rbf_pairs", f"""with {W40},
  z as (select wave_id, pos, (v - m) / case when s = 0 then 1 else s end z from w
    join (select wave_id, avg(v) m, stddev_pop(v) s from w group by wave_id) using (wave_id)),

@@ -124,6 +124,30 @@ def q_wave_best_match(spark, sf_dir):
     return b.select("u1", "u2", F.round("dist", 4).alias("dist"), "s", "u", "r")
 
 
+@register("wave_least_distance", f"""with {W40}, {PAIRS},
+ s1 as (select wave_id, count(*) n, sum(v) s, sum(v * v) - sum(v) * sum(v) / count(*) a from w group by wave_id),
+ k as (select pr.u1, pr.u2, pr.n, power(b.a / a.a, 0.25) s, (b.s / power(b.a / a.a, 0.25) - power(b.a / a.a, 0.25) * a.s) / (2 * pr.n) u
+   from pr join s1 a on a.wave_id = pr.u1 join s1 b on b.wave_id = pr.u2),
+ d as (select k.u1, k.u2, k.s, k.u, t.i i, sqrt(sum(power(a.v * k.s + k.u - (b.v / k.s - k.u), 2))) dist
+   from k join range(40) t(i) on t.i < k.n join w a on a.wave_id = k.u1 join w b on b.wave_id = k.u2 and b.pos = (a.pos + t.i) % k.n group by all)
+select u1, u2, round(min(dist), 4) dist, round(s, 6) s, round(u, 6) u from d group by all""")
+def q_wave_least_distance(spark, sf_dir):
+    """the least distance over all s, u and shifts (every shift tried in the SQL)."""
+    b = OW.least_shift_scale(_pairs(spark, sf_dir))
+    return b.select("u1", "u2", F.round("dist", 4).alias("dist"), r6("s").alias("s"), r6("u").alias("u"))
+
+
+@register("pulse_least_squares_check", f"""with {W40} select count(distinct wave_id) n, 0::bigint above_closed_form, 0::bigint out_of_bounds from w""")
+def q_pulse_least_squares_check(spark, sf_dir):
+    """the bounded least-squares fit of every wave, which must not be worse than the closed form."""
+    w = _w40(spark, sf_dir)
+    fit = OW.pulse_least_squares(w, ["wave_id"], baseline="zero", threshold=0.0)
+    closed = OW.pulse_fit(w, ["wave_id"], baseline="zero", threshold=0.0).select("wave_id", F.col("res").alias("closed"))
+    j = fit.join(closed, "wave_id", "left")
+    return j.agg(F.count("res").alias("n"), F.count_if(F.col("res") > F.col("closed") * (1 + 1e-9)).alias("above_closed_form"),
+                 F.count_if((F.col("b") < 0) | (F.col("d") < 1e-4)).alias("out_of_bounds"))
+
+
 @register("pulse_value", f"""with {W40},
  p as (select wave_id, min(v) a, max(v) - min(v) b, min(pos) filter (where v = mx) c
    from w join (select wave_id, max(v) mx from w group by wave_id) using (wave_id) group by wave_id)
@@ -171,8 +195,7 @@ def q_pulse_fit(spark, sf_dir):
 select channel, pos, round(avg(v), 6) mean, round(var_pop(v), 4) var from wc group by channel, pos""")
 def q_wave_pop_stats(spark, sf_dir):
     """mean and population variance per (channel, position) over all waves."""
-    c = OW.channels(_signal(spark, sf_dir), ["wave_id"])
-    s = OW.pop_stats(OW.to_long(c, ["wave_id", "channel"]))
+    s = OW.wave_stats(OW.channels(_signal(spark, sf_dir), ["wave_id"]))
     return s.select("channel", "pos", r6("mean").alias("mean"), F.round("var", 4).alias("var"))
 
 
@@ -184,6 +207,6 @@ def q_wave_pop_stats(spark, sf_dir):
 def q_wave_renorm(spark, sf_dir):
     """rescaled by the population stats (std divisor), then z-scored per channel."""
     c = OW.channels(_signal(spark, sf_dir), ["wave_id"])
-    stats = OW.pop_stats(OW.to_long(c, ["wave_id", "channel"]))
+    stats = OW.wave_stats(c)
     z = OW.to_long(OW.renormalize(c, stats, ["wave_id"]), ["wave_id", "channel"], out="z")
     return z.select("wave_id", "channel", "pos", r6("z").alias("z"))
