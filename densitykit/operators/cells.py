@@ -62,6 +62,13 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def open_aggs(open_: Column, all_small: Column | None = None) -> dict[str, Column]:
+    """Of the pairs that are open: how many are small and large, and the pairs of points in the small ones."""
+    product = F.col("a_n") * F.col("b_n")
+    small = product <= LEAF if all_small is None else (product <= LEAF) | all_small
+    return {"small": F.count_if(open_ & small), "large": F.count_if(open_ & ~small), "points": F.sum(F.when(open_ & small, product))}
+
+
 @dataclass
 class Grid:
     """Cells of a point table: side, origin, and what a cell must have in common besides its place (``keys``)."""
@@ -117,10 +124,10 @@ class Grid:
 
     # ---- counts
 
-    def counts(self, points: DataFrame, pairs: DataFrame, min_samples: int | None, some_open: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    def counts(self, points: DataFrame, pairs: DataFrame, min_samples: int | None, known: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
         """``cell, whole_n`` (neighbours that whole cells give to each point of a cell) and ``id, more_n`` (what single
         points add; None if there are none). With ``min_samples``, cells that have it by themselves get no count.
-        ``some_open=False`` says that boxes decide every pair that matters."""
+        ``known`` has what ``open_aggs`` says of the pairs that boxes leave open and that matter."""
         enough = (lambda s: F.col(f"{s}clique") & (F.col(f"{s}n") >= min_samples)) if min_samples is not None else (lambda s: F.lit(False))
         p = pairs.select("a_cell", "b_cell", "a_n", "b_n", "whole", (~enough("a_")).alias("to_a"),
                          ((F.col("a_cell") != F.col("b_cell")) & ~enough("b_")).alias("to_b")).where("to_a or to_b")
@@ -128,12 +135,12 @@ class Grid:
             F.when(F.col("to_a"), F.struct(F.col("a_cell").alias("cell"), F.col("b_n").alias("n"))),
             F.when(F.col("to_b"), F.struct(F.col("b_cell").alias("cell"), F.col("a_n").alias("n")))), lambda s: s.isNotNull())).alias("s")) \
             .groupBy("s.cell").agg(F.sum("s.n").alias("whole_n"))
-        if not some_open:
+        if known is not None and not (known["small"] or known["large"]):
             return whole, None
         own = points.select(F.col("cell").alias("root"), "id", *[f"x{i}" for i in range(self.k)])
         open_ = p.where("not whole").select(F.col("a_cell").alias("a_root"), F.col("b_cell").alias("b_root"), "a_n", "b_n", "to_a", "to_b")
         some = []
-        self._descend(open_, own, own, lambda level: some.append(level), ["to_a", "to_b"], counts=True)
+        self._descend(open_, own, own, some.append, ["to_a", "to_b"], True, known)
         if not some:
             return whole, None
         more = some[0]
@@ -143,11 +150,11 @@ class Grid:
 
     # ---- links
 
-    def links(self, open_: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame | None:
+    def links(self, open_: DataFrame, left: DataFrame, right: DataFrame, known: dict | None = None) -> DataFrame | None:
         """Of the open pairs ``a_root, b_root, a_n, b_n`` those with points ``root, id, x0..`` of ``left`` and ``right``
         within eps: ``a_root, b_root`` (None if there are no open pairs)."""
         some = []
-        self._descend(open_, left, right, lambda found: some.append(found), [], counts=False)
+        self._descend(open_, left, right, some.append, [], False, known)
         out = None
         for s in some:
             out = s if out is None else out.unionByName(s)
@@ -155,14 +162,15 @@ class Grid:
 
     # ---- the descent
 
-    def _descend(self, open_: DataFrame, left: DataFrame, right: DataFrame, emit, flags: list[str], counts: bool) -> None:
+    def _descend(self, open_: DataFrame, left: DataFrame, right: DataFrame, emit, flags: list[str], counts: bool, known: dict | None) -> None:
         """Small pairs of ``open_`` are compared point by point, large ones by their subcells."""
         k, axes = self.k, [f"x{i}" for i in range(self.k)]
         root = ["a_root", "b_root"]
         small = F.col("a_n") * F.col("b_n") <= LEAF
         none = F.array().cast("array<bigint>")
-        here, st = materialize(open_.withColumns({"a_at": none, "b_at": none}), "cells-open", small=F.count_if(small), large=F.count_if(~small),
-                               points=F.sum(F.when(small, F.col("a_n") * F.col("b_n"))))
+        here, st = open_.withColumns({"a_at": none, "b_at": none}), known
+        if st is None:
+            here, st = materialize(here, "cells-open", **open_aggs(F.lit(True)))
         side, level = self.fine, 0
         a_pts, b_pts = left.withColumn("at", none), right.withColumn("at", none)
         while True:
@@ -205,8 +213,7 @@ class Grid:
                     here = tested.where(still).join(found, root, "left_anti")
                 else:
                     here = tested
-            here, st = materialize(here.select(*root, *flags, "a_at", "b_at", "a_n", "b_n"), "cells-open", small=F.count_if(small), large=F.count_if(~small),
-                                   points=F.sum(F.when(small, F.col("a_n") * F.col("b_n"))))
+            here, st = materialize(here.select(*root, *flags, "a_at", "b_at", "a_n", "b_n"), "cells-open", **open_aggs(F.lit(True), F.lit(level >= LEVELS)))
 
     def _whole_counts(self, whole: DataFrame, a_pts: DataFrame, b_pts: DataFrame) -> DataFrame:
         out = None

@@ -4,7 +4,7 @@ Edge contraction in label space: each round every label hooks to the smallest la
 itself and its neighbours, the hook chains are flattened by pointer jumping, and the edges
 are rewritten to ``(hook(src), hook(dst))`` with self loops and duplicates removed. Merged
 labels leave the edge table, so a long chain shrinks geometrically instead of one hop per
-round. The loop stops when no edge is left; a vertex's label is then its chain of hooks
+round. The loop stops when no edge is left, or few enough (``SMALL``, counted) for one task to finish by union-find; a vertex's label is then its chain of hooks
 ``h_R(..h_1(v))``, applied once at the end as a join per round (the vertex table is written
 once, not once per round). Each label is the smallest vertex id of its component.
 
@@ -24,6 +24,9 @@ from densitykit.session import materialize
 
 log = logging.getLogger(__name__)
 
+#: Edges that one task may finish (some 100 MB there); more go through another round.
+SMALL = 200_000
+
 
 class ComponentsResult:
     def __init__(self, labels: DataFrame, rounds: int):
@@ -43,6 +46,40 @@ def _compose(h: DataFrame) -> DataFrame:
         .select("l", F.coalesce(F.col("mm"), F.col("m")).alias("m"))
 
 
+def _finish_small(edges: DataFrame) -> DataFrame:
+    """``l -> m`` for the ends of at most ``SMALL`` edges: m is the smallest end reachable."""
+    def least(batches):
+        import pyarrow as pa
+
+        up, kind = {}, None
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def plain(col):  # ids may be structs; tuples compare as Spark compares them
+            return [tuple(v.values()) if isinstance(v, dict) else v for v in col.to_pylist()]
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for x, y in zip(plain(b.column(0)), plain(b.column(1))):
+                up.setdefault(x, x)
+                up.setdefault(y, y)
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if up:
+            def typed(vals):
+                return pa.array([dict(zip([f.name for f in kind], v)) if pa.types.is_struct(kind) else v for v in vals], kind)
+
+            yield pa.RecordBatch.from_arrays([typed(list(up)), typed([find(x) for x in up])], ["l", "m"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(least, f"l {kind}, m {kind}")
+
+
 def _flatten(hook: DataFrame, max_jumps: int) -> DataFrame:
     """Pointer jumping on the hook table ``l -> m`` until every label points at the root of
     its hook tree. One job builds ``h4 = (h o h) o (h o h)`` and ``h8 = h4 o h4`` from the
@@ -79,6 +116,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+        if remaining <= SMALL:
+            hooks.append(materialize(_finish_small(e), "cc-small").where("l <> m"))
+            break
         # hook every label with an edge to its smallest neighbour (or itself)
         hook = _both_ways(e).groupBy(F.col("src").alias("l")).agg(F.min("dst").alias("m")) \
             .select("l", F.least(F.col("l"), F.col("m")).alias("m"))

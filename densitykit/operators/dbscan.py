@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from densitykit.operators.cells import Grid, box_aggs, near_boxes, near_reps, prefixed, whole_boxes
+from densitykit.operators.cells import Grid, box_aggs, near_boxes, near_reps, open_aggs, prefixed, whole_boxes
 from densitykit.operators.components import connected_components
 from densitykit.operators.neighbors import _check_metric, bounds, choose_strategy, coarse_side, usable
 from densitykit.operators.points import axis_names, point_dim
@@ -84,10 +84,10 @@ class DensityClusterer:
         # 1: cells and their pairs
         cells = materialize(grid.cells(pts), "dbscan-cells")
         open_ = ~F.col("whole") & ~((F.col("a_n") >= self.min_samples) & (F.col("b_n") >= self.min_samples) & F.col("a_clique") & F.col("b_clique"))
-        pairs, st = materialize(grid.pairs(cells), "dbscan-pairs", n=F.count(F.lit(1)), open=F.count_if(open_))
+        pairs, st = materialize(grid.pairs(cells), "dbscan-pairs", n=F.count(F.lit(1)), **open_aggs(open_))
         grid.compared["cells"] += st["n"]
         # 2: core flags
-        whole, more = grid.counts(pts, pairs, self.min_samples, bool(st["open"]))
+        whole, more = grid.counts(pts, pairs, self.min_samples, st)
         dense = F.col("clique") & (F.col("n") >= self.min_samples)
         known = cells.select("cell", "clique", dense.alias("dense")).join(whole, "cell", "left").withColumn("whole_n", F.coalesce("whole_n", F.lit(0)))
         near = F.col("whole_n")
@@ -134,19 +134,18 @@ class DensityClusterer:
                                *[F.col(x).alias(f"a_{e}{i}") for e in ("lo", "hi") for i, x in enumerate(axes)])
         border = both.join(b, "b_cell").join(point, "a_cell").where(near_boxes("a_", "b_", k, eps, metric)) \
             .select(F.lit(True).alias("border"), F.col("a_id").alias("u"), F.col("b_node").alias("v"), "a_n", "b_n", tested.alias("linked"))
-        links, st = materialize(core.unionByName(border), "dbscan-links", core=F.count_if(~F.col("linked") & ~F.col("border")),
-                                border=F.count_if(~F.col("linked") & F.col("border")))
+        kinds = {"core": ~F.col("linked") & ~F.col("border"), "border": ~F.col("linked") & F.col("border")}
+        links, st = materialize(core.unionByName(border), "dbscan-links", **{f"{t}_{n}": c for t, k in kinds.items() for n, c in open_aggs(k).items()})
+        st = {t: {n: st[f"{t}_{n}"] for n in ("small", "large", "points")} for t in kinds}
         out = links.where("linked").select("border", "u", "v")
-        if not (st["core"] or st["border"]):
-            return out
         on = [F.col("p.cell") == F.col("n.cell"), F.col("p.sub").eqNullSafe(F.col("n.sub"))]
         members = flagged.where("is_core").alias("p").join(nodes.alias("n"), on).select(F.col("n.node").alias("root"), "p.id", *[f"p.{c}" for c in axes])
         for kind, left in (("core", members), ("border", noncore.select(F.col("id").alias("root"), "id", *axes))):
-            if st[kind]:
-                rest = links.where(~F.col("linked") & (F.col("border") if kind == "border" else ~F.col("border")))
-                found = grid.links(rest.select(F.col("u").alias("a_root"), F.col("v").alias("b_root"), "a_n", "b_n"), left, members)
+            if st[kind]["small"] or st[kind]["large"]:
+                rest = links.where(kinds[kind])
+                found = grid.links(rest.select(F.col("u").alias("a_root"), F.col("v").alias("b_root"), "a_n", "b_n"), left, members, st[kind])
                 out = out.unionByName(found.select(F.lit(kind == "border").alias("border"), F.col("a_root").alias("u"), F.col("b_root").alias("v")))
-        return materialize(out, "dbscan-links")
+        return out
 
 
 class DensityModel:

@@ -226,8 +226,13 @@ def _medians(spark, work: DataFrame, tree: KDTree, nodes: list[int], k: int, axi
     state = {"node": st["node"], "lo": st["lo"], "hi": st["hi"], "rank": st["n"] // 2}
     found: dict[int, float] = {}
     while len(state["node"]):
-        table = spark.createDataFrame(pa.table({c: pa.array(v) for c, v in state.items()}))
-        state = _columns(narrow(rows, table, ["node"], bucket_count(len(state["node"]))), {"node": np.int32, "lo": float, "hi": float, "rank": np.int64})
+        of = {}
+        for c, kind in (("lo", "double"), ("hi", "double"), ("rank", "bigint")):
+            whole = np.full(len(tree.axis), 0 if c == "rank" else np.nan, state[c].dtype)
+            whole[state["node"]] = state[c]
+            of[c] = F.get(constants(whole.tolist(), kind), F.col("node"))
+        open_ = rows.withColumns(of).where("lo < hi" if len(state["node"]) == len(tree.axis) else "lo < hi and not isnan(lo)")
+        state = _columns(narrow(open_, ["node"], bucket_count(len(state["node"]))), {"node": np.int32, "lo": float, "hi": float, "rank": np.int64})
         same = state["lo"] == state["hi"]
         found |= dict(zip(state["node"][same].tolist(), state["lo"][same].tolist()))
         state = {c: v[~same] for c, v in state.items()}

@@ -23,14 +23,14 @@ def bucket_count(groups: int) -> int:
     return int(min(MOST, max(LEAST, TOTAL // max(1, groups))))
 
 
-def narrow(rows: DataFrame, state: DataFrame, groups: Sequence[str], buckets: int) -> DataFrame:
-    """One round: ``rows(groups, v)`` and open brackets ``state(groups, lo, hi, rank)`` with lo < hi (rank from 0 among the
-    values inside) -> ``groups, lo, hi, rank`` of the smaller brackets."""
+def narrow(rows: DataFrame, groups: Sequence[str], buckets: int) -> DataFrame:
+    """One round: ``rows(groups, v, lo, hi, rank)``, each with the open bracket lo < hi of its group (rank from 0 among
+    the values inside) -> ``groups, lo, hi, rank`` of the smaller brackets."""
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)  # halves, as the difference may overflow
     place = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(share * buckets)))
     bucket = F.when(v == lo, 0).when(v == hi, buckets - 1).otherwise(F.coalesce(place, F.lit(0))).cast("int")
-    counts = rows.join(state, list(groups)).where((v >= lo) & (v <= hi)) \
+    counts = rows.where((v >= lo) & (v <= hi)) \
         .groupBy(*groups, "rank", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     earlier = Window.partitionBy(*groups).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))) \
@@ -52,7 +52,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, rank: Cal
     state, st = materialize(start, "order-statistics", n=F.count(F.lit(1)), open=open_)
     done = [state.where("lo = hi")]
     while st["open"]:
-        state, st = materialize(narrow(rows, state.where("lo < hi"), groups, buckets or bucket_count(st["open"])), "order-statistics", open=open_)
+        state, st = materialize(narrow(rows.join(state.where("lo < hi"), groups), groups, buckets or bucket_count(st["open"])), "order-statistics", open=open_)
         done.append(state.where("lo = hi"))
     out = done[0]
     for d in done[1:]:
