@@ -147,9 +147,7 @@ def drop_caches() -> None:
 
 def give_back() -> None:
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
