@@ -132,6 +132,86 @@ def q_event_table(spark, sf_dir):
                     EF.signal_sum("channels").alias("signal_sum"), F.size("channels").cast("bigint").alias("n_channels"))
 
 
+@register("event_load", _EV_SQL + """
+select 'S' type, series, run, board, idx event_pos, ssum signal_sum, 2::bigint loads from f join sg using (wave_id)""")
+def q_event_load(spark, sf_dir):
+    """Files loaded in two steps, each step run twice, with a load that was lost half-way; every event is there once."""
+    from densitykit.sources import ledger as LG
+
+    folder, target = _event_folder(spark, sf_dir), scratch_path(spark, "load")
+    for source in (f"{folder}/*b1.dat", f"{folder}/*b1.dat", folder, folder):
+        LG.load_events(spark, source, target)
+    EF.read_events(spark, f"{folder}/*b2.dat").write.parquet(f"{target}/data/load=lost")  # no ledger entry
+    n = LG.ledger(spark, target).agg(F.countDistinct("load").alias("loads"))
+    return LG.loaded_events(spark, target).select("type", "series", "run", "board", "event_pos", EF.signal_sum().alias("signal_sum")) \
+        .join(F.broadcast(n))
+
+
+#: The 2,048 samples of channel 7 of every event, from the waves they repeat.
+_SAMPLES = _EV_SQL + """,
+ ex as (select wave_id, pos + n * i s, y from (select wave_id, n, pos, floor(v * 10)::double y, unnest(range((2047 - pos) // n + 1)) i from w))"""
+
+
+@register("event_channel_zscore", _SAMPLES + """,
+ m as (select wave_id, avg(y) mean, case when stddev_pop(y) = 0 then 1 else stddev_pop(y) end sd from ex group by wave_id),
+ z as (select wave_id, max(case when s = 0 then (y - mean) / sd end) z_first, max((y - mean) / sd) z_max, sum(abs(y - mean) / sd) z_abs
+   from ex join m using (wave_id) group by wave_id)
+select series, run, board, idx event_pos, c.i::int channel, round(z_first, 4) z_first, round(z_max, 4) z_max, round(z_abs, 2) z_abs
+from f join z using (wave_id), range(8) c(i)""")
+def q_event_channel_zscore(spark, sf_dir):
+    """F2 on event files: all 8 channels of 2,048 samples of every event z-scored."""
+    from densitykit.operators import waves as OW
+
+    ev = EF.read_events(spark, _event_folder(spark, sf_dir))
+    z = OW.channel_zscore(ev, ["series", "run", "board", "event_pos"])
+    return z.select("series", "run", "board", "event_pos", "channel", F.round(F.col("v")[0], 4).alias("z_first"), F.round(F.array_max("v"), 4).alias("z_max"),
+                    F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 2).alias("z_abs"))
+
+
+@register("event_pop_stats", _SAMPLES + """
+select c.i::int channel, s::int pos, count(*) n, round(avg(y + c.i), 6) mean, round(var_pop(y), 4) var from ex, range(8) c(i) group by c.i, s""")
+def q_event_pop_stats(spark, sf_dir):
+    """F12 on event files: mean and population variance of 8 x 2,048 positions over all events."""
+    from densitykit.operators import waves as OW
+
+    s = OW.wave_stats(OW.channels(EF.read_events(spark, _event_folder(spark, sf_dir)), []))
+    return s.select("channel", F.col("pos").cast("int").alias("pos"), "n", r6("mean").alias("mean"), F.round("var", 4).alias("var"))
+
+
+def _event_fit_sql():
+    det = lambda a: (f"({a[0]}*({a[4]}*{a[8]}-{a[5]}*{a[7]}) - {a[1]}*({a[3]}*{a[8]}-{a[5]}*{a[6]}) "
+                     f"+ {a[2]}*({a[3]}*{a[7]}-{a[4]}*{a[6]}))")
+    d = det(["n", "su", "s2", "su", "s2", "s3", "s2", "s3", "s4"])
+    q = {"q0": det(["l0", "su", "s2", "l1", "s2", "s3", "l2", "s3", "s4"]), "q1": det(["n", "l0", "s2", "su", "l1", "s3", "s2", "l2", "s4"]),
+         "q2": det(["n", "su", "l0", "su", "s2", "l1", "s2", "s3", "l2"])}
+    return _SAMPLES + f""",
+ lo as (select wave_id, min(y) a, max(y) mx from ex group by wave_id),
+ kept as (select wave_id, s - 1023.5::double u, ln(y - a) l from ex join lo using (wave_id) where y - a > 0.2::double * (mx - a) and y - a > 0),
+ sm as (select wave_id, count(*)::double n, count(distinct l) levels, sum(u) su, sum(u*u) s2, sum(u*u*u) s3, sum(u*u*u*u) s4, sum(l) l0, sum(u*l) l1, sum(u*u*l) l2
+   from kept group by wave_id),
+ qq as (select wave_id, {', '.join(f'case when n >= 3 and levels > 1 then {v} / {d} end {k}' for k, v in q.items())} from sm),
+ ft as (select wave_id, case when q2 < -1e-12 then q0 - q1*q1/(4*q2) end lb, case when q2 < -1e-12 then 1023.5 - q1/(2*q2) end c, case when q2 < -1e-12 then -1.0/q2 end d from qq)
+select series, run, board, idx event_pos, round(a + 7, 4) a, round(lb, 3) ln_b, round(c / 100, 3) c, round(ln(d), 3) ln_d
+from f join lo using (wave_id) left join ft using (wave_id)"""
+
+
+@register("event_pulse_features", _event_fit_sql())
+def q_event_pulse_features(spark, sf_dir):
+    """S1 -> F3 -> F11: channel 7 of every event file's events, closed-form fit (null for one kept level, or a curvature
+    that is rounding)."""
+    from densitykit.plans import pipelines as PL
+
+    ev = EF.read_events(spark, _event_folder(spark, sf_dir))
+    fit = PL.event_features(ev).withColumnRenamed("event_index", "event_pos")
+    v = F.col("signal")[7]
+    kept = F.filter(v, lambda x: (x - F.array_min(v) > F.lit(0.2) * (F.array_max(v) - F.array_min(v))) & (x > F.array_min(v)))
+    some = F.size(F.array_distinct(kept)) > 1
+    j = ev.select("path", "series", "run", "board", "event_pos", F.array_min(v).cast("double").alias("low"), some.alias("some")).join(fit, ["path", "event_pos"])
+    only = lambda c: F.when(F.col("some") & (F.col("d") < 1e12), c)
+    return j.select("series", "run", "board", "event_pos", F.round("low", 4).alias("a"), F.round(only(F.ln("b")), 3).alias("ln_b"),
+                    F.round(only(F.col("c")) / 100, 3).alias("c"), F.round(only(F.ln("d")), 3).alias("ln_d"))
+
+
 @register("feature_sink", f"""with {W40} select wave_id, round(max(v), 6) peak, round(avg(v), 6) mean from w group by wave_id""")
 def q_feature_sink(spark, sf_dir):
     """Per-wave features saved as text and read back."""

@@ -83,6 +83,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._densitykit_shipped = True
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path (or comma-separated paths) as Spark takes it: without a scheme it is on the default file system."""
+    def one(p: str) -> str:
+        h = spark._jvm.org.apache.hadoop.fs.Path(p.strip())
+        return h.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(h).toString()
+
+    return ",".join(one(p) for p in path.split(",") if p.strip())
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the session's reliable checkpoint folder."""
     import uuid

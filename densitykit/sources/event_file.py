@@ -12,7 +12,8 @@ structured dtype into an Arrow batch. Splits from all matched files form one job
 ``eventFrom``/``eventTo`` (inclusive) read exactly those events of each file. Where the session
 sets ``spark.sql.python.filterPushdown.enabled``, ``read_events`` picks a reader that also prunes
 splits by pushed filters on ``event_pos`` and the file-name fields (Spark still applies them).
-Paths are absolute or URIs (``file:``, ``hdfs:``, ``s3:``/``s3a:``, ``gs:``, ..).
+Paths are URIs (``file:``, ``hdfs:``, ``s3:``/``s3a:``, ``gs:``, ..); ``read_events`` and ``write_event_files``
+take a path without a scheme on Spark's default file system.
 
 ``option("mode", "files")`` returns one row per file instead: name fields, event count,
 header and footer text. Writing (``df.write.format("event_file")``) produces the same layout
@@ -38,6 +39,8 @@ from pyspark.sql.datasource import (
     InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
+from densitykit.session import qualified
+
 # Fixed values of the file format (must equal the files' layout):
 HEADER_SIZE = 5000
 N_CHANNELS = 8
@@ -370,7 +373,7 @@ def read_events(spark, path: str, **options):
     r = spark.read.format("event_file").option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for k, v in options.items():
         r = r.option(k, str(v))
-    return r.load(path)
+    return r.load(qualified(spark, path))
 
 
 def read_event_files(spark, path: str):
@@ -386,7 +389,7 @@ def write_event_files(df, path: str, header: str = "", footer: str = "", partiti
     keys = ["type", "series", "run", "board"]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     arranged = df.repartition(n, *keys).sortWithinPartitions(*keys, "index")
-    arranged.write.format("event_file").mode("append").option("header", header).option("footer", footer).save(path)
+    arranged.write.format("event_file").mode("append").option("header", header).option("footer", footer).save(qualified(spark, path))
 
 
 def signal_sum(col: str = "signal"):
