@@ -26,7 +26,7 @@ def corpus(spark):
 
 def test_stages_are_the_five_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "benchmark", "packing"]
-    assert "pipeline" in E.queries() and {f"op{i}" for i in range(1, 11)} == {q.split("_")[0] for q in E.queries() if q.startswith("op") and q[2].isdigit()}
+    assert "pipeline" in E.queries() and {f"op{i}" for i in range(1, 14)} == {q.split("_")[0] for q in E.queries() if q.startswith("op") and q[2].isdigit()}
 
 
 def test_language_stage(spark, corpus):
@@ -87,3 +87,26 @@ def test_packing_stage_and_empty_input(spark, corpus):
     none = docs_of(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF["0.001"]).count() == 0, name
+
+
+def test_run_from_end_to_end(spark, corpus):
+    """All five stages, written and read between them, against brute force for lines, copies and token counts."""
+    from tokenizers import Tokenizer
+
+    out = corpus_pipeline.run(spark, SF["0.001"]).collect()
+    named = STAGES["language"](spark, corpus, SF["0.001"])
+    cut = brute_lines([(r.doc_id, r.text) for r in named.collect()], 50)
+    cut = [(d, t) for (d, old), t in cut.items() if t == old or (t and t.strip())]
+    one = [(d, t) for (d, t), (_, n, c) in zip(cut, brute(cut, 5)) if d == c or not n]
+    items = [r.text for r in spark.read.parquet(f"{SF['0.001']}/benchmark.parquet").collect()]
+    flat = lambda t: " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "")).lower().split())
+    hit = {d for d, t in one if any(flat(i) in flat(t) for i in items)}
+    tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    want = {d: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in one if d not in hit}
+    got, fill = {}, {}
+    for r in out:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert r.doc_tokens == want.get(r.doc_id, r.doc_tokens)
+    assert hit.isdisjoint(got) and set(got) <= set(want) and len(got) >= len(want) - 3  # a few hold a passage, not a whole item
+    assert all(got[d] == want[d] for d in got) and max(fill.values()) <= 2048
