@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densitykit.functions import waves as W
-from densitykit.session import materialize
+from densitykit.session import materialize, ship_package
 
 
 def to_wave(long: DataFrame, keys: Sequence[str], pos: str = "pos", v: str = "v", out: str = "v") -> DataFrame:
@@ -173,6 +173,7 @@ def pulse_least_squares(waves: DataFrame, keys: Sequence[str], v: str = "v", bas
     ``(0, max, place of the max, 100)``; the better end counts. A step is kept only if it lowers the residual, so
     ``res`` is never above that of either start (the closed form pushed within the bounds). Null for a null or empty wave.
     """
+    ship_package(waves.sparkSession)
     start = pulse_fit(waves, keys, v, baseline, threshold, keep_wave=True).withColumnRenamed(v, "_v")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waves.select(*keys).schema)
 
@@ -262,6 +263,7 @@ def wave_stats(waves: DataFrame, by: str = "channel", v: str = "v") -> DataFrame
     channels), and only these states are shuffled: as many bytes as tasks x channels x samples, however many rows there are.
     States are merged by the pairwise rule ``M2 + n (mean - all)^2``.
     """
+    ship_package(waves.sparkSession)
     kind = waves.schema[by].dataType.simpleString()
 
     def fold(batches):

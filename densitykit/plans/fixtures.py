@@ -67,6 +67,14 @@ def e3_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), *[(e[i].cast("double") * 10).alias(f"x{i}") for i in range(3)])
 
 
+def o3_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: orders as (total price / 10,000, days since 1995 / 30, priority 1-5)."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice").cast("double") / 10000.0).alias("x0"),
+        (F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1995-01-01"))).cast("double") / 30.0).alias("x1"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("x2"))
+
+
 def li_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LI (bench): lineitem (quantity, extended price / 1000) keyed by a stored row id.
 

@@ -14,6 +14,8 @@ POINTS_SQL = {
            "value::double/10.0 x1 from events where event_type='error'"),
     "EVT": ("select event_id id, event_type, (epoch_us(ts)-1704067200000000)::double/3600000000.0 x0, "
             "value::double/10.0 x1 from events"),
+    "O3": ("select o_orderkey id, o_totalprice::double/10000.0 x0, date_diff('day', date '1995-01-01', o_orderdate::date)::double/30.0 x1, "
+           "substr(o_orderpriority, 1, 1)::double x2 from orders"),
     "E3": ("select vec_id id, embedding[1]::double*10 x0, embedding[2]::double*10 x1, "
            "embedding[3]::double*10 x2 from embeddings"),
 }

@@ -48,6 +48,12 @@ def q_dbscan_e3(spark, sf_dir):
     return _fit(spark, sf_dir, "E3").result
 
 
+@register("dbscan_o3", osql.dbscan_sql(osql.POINTS_SQL["O3"], 3, 1.2, 8))
+def q_dbscan_o3(spark, sf_dir):
+    """All orders by three natural columns: price, date, priority."""
+    return DensityClusterer(1.2, 8).fit(fx.o3_points(spark, sf_dir)).result
+
+
 @register("dbscan_kd", osql.fixture_dbscan_sql("PT", 2.5, 8))
 def q_dbscan_kd(spark, sf_dir):
     """The kd strategy (16 parts, one-eps halo) on PT with eps 2.5, min 8."""
