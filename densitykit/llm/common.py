@@ -185,22 +185,64 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, t
         .withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_o")
 
 
-def by_key_ranges(df: DataFrame, key: str, parts: int, extra=None) -> tuple[DataFrame, list[int]]:
-    """Add ``_part``: the number of the key range that holds the row (null keys: 0).
-
-    The range ends are quantiles of the key column alone (``parts`` numbers on the driver),
-    so every pass over the rows gives the same ranges, and the wide columns are shuffled once.
+#: Sampled keys a range, from which the range ends are taken.
+SAMPLED_KEYS = 200
+
+
+def range_ends(keys: np.ndarray, null: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of at most ``parts`` even ranges in the order (nulls first, key, hash), from sampled keys: three arrays of
+    null flag (0 for null), key and hash. A key with more rows than a range holds is cut at even places of the
+    hash; other ranges end with a whole key."""
+    order = np.lexsort((keys, ~null))
+    flag, k = (~null[order]).astype(np.int64), np.where(null[order], 0, keys[order])
+    n, ends = len(k), []
+    run = np.flatnonzero(np.append(True, (flag[1:] != flag[:-1]) | (k[1:] != k[:-1]))) if n else np.zeros(0, np.int64)
+    for i in range(1, parts if n else 0):
+        p = i * n // parts
+        r = int(np.searchsorted(run, p, side="right")) - 1
+        a, b = int(run[r]), int(run[r + 1]) if r + 1 < len(run) else n
+        cut = int(-(1 << 63) + (p - a) * (1 << 64) // (b - a)) if (b - a) * parts > n else (1 << 63) - 1
+        ends.append((int(flag[p]), int(k[p]), cut))
+    got = np.array(sorted(set(ends)), np.int64).reshape(-1, 3)
+    return got[:, 0], got[:, 1], got[:, 2]
+
+
+def range_of(ends: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, null: np.ndarray, hashes: np.ndarray | None) -> np.ndarray:
+    """Number of the range of each row: how many ends lie before it."""
+    flag, ek, eh = ends
+    nulls = int(np.searchsorted(flag, 1))  # ends among the null keys come first
+    lo = np.where(null, 0, nulls + np.searchsorted(ek[nulls:], keys, side="left"))
+    hi = np.where(null, nulls, nulls + np.searchsorted(ek[nulls:], keys, side="right"))
+    out = lo.copy()
+    if hashes is None:  # every range ends with a whole key
+        return out
+    for a in np.unique(lo[hi > lo]):
+        rows = np.flatnonzero((lo == a) & (hi > lo))
+        out[rows] = a + np.searchsorted(eh[a:hi[rows[0]]], hashes[rows], side="left")
+    return out
+
+
+def by_key_ranges(df: DataFrame, key: str, parts: int, tie) -> DataFrame:
+    """Add ``_part``: the number of the range of (key, ``tie``) that holds the row, null keys first.
+
+    ``tie`` is an evenly spread 64-bit hash Column; it divides a key (or the null key) that holds more than a range's
+    share of the rows over several ranges and isn't read otherwise. Rows equal in both share a range. The ends come from a
+    sample of the key column alone, about ``SAMPLED_KEYS`` keys a range on the driver, drawn once, so every pass over the
+    rows gives the same ranges.
     """
-    probs = [i / parts for i in range(1, parts)]
-    ends = sorted(set(df.approxQuantile(key, probs, 0.25 / parts))) if probs else []
-    cuts = [int(x) for x in ends]
-    arr = np.array(cuts, np.int64)
+    if parts < 2:
+        return df.withColumn("_part", F.lit(0))
+    k = df.select(F.col(key).cast("long").alias("k"))
+    share = SAMPLED_KEYS * parts / max(1, k.count())
+    got = (k if share >= 1 else k.sample(False, share, 17)).toArrow()["k"].combine_chunks()
+    ends = range_ends(np.asarray(got.fill_null(0)).astype(np.int64), np.asarray(got.is_null()), parts)
+    cut = bool((ends[2] < (1 << 63) - 1).any())
 
     @F.pandas_udf("int")
-    def part(k):
+    def part(k, null, h):
         import pandas as pd
 
-        v = k.fillna(np.iinfo(np.int64).min).astype(np.int64) if k.isna().any() else k
-        return pd.Series(np.searchsorted(arr, v.to_numpy(np.int64), side="left").astype(np.int32))
+        return pd.Series(range_of(ends, k.to_numpy(np.int64), null.to_numpy(bool), h.to_numpy(np.int64) if cut else None).astype(np.int32))
 
-    return df.withColumn("_part", part(F.col(key).cast("long")) if cuts else F.lit(0)), cuts
+    place = part(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNull(), tie if cut else F.lit(0).cast("long"))
+    return df.withColumn("_part", place if len(ends[0]) else F.lit(0))

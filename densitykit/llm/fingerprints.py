@@ -19,8 +19,8 @@ of two fingerprints is the Dice coefficient of the name sets estimated from the
 while both are shorter than the sketch).
 
 ``edited_pairs`` brings every document together with the next one (descending id, the last with the
-first): rows are dealt to key ranges once, and the first row of each range is dealt to the
-preceding range as well, so one shuffle of the text is all.
+first): rows are dealt to ranges of (id, text hash) once, and the first row of each range is dealt to the
+preceding range as well, so one shuffle of the text is all, and an id that very many rows share (or lack) is no hot range.
 
 Edge cases: null text counts as empty; an empty text has the empty fingerprint, likeness 1 with
 another empty one and 0 with others; equal ids are ordered by text hash; null ids come last; one
@@ -161,7 +161,7 @@ def edited_pairs(docs: DataFrame, id_col: str, text_col: str, files: int | None
     files = files or partitions(spark)
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"))
-    home, _ = by_key_ranges(rows.withColumn("th", F.xxhash64("t")), "id", files)
+    home = by_key_ranges(rows.withColumn("th", F.xxhash64("t")), "id", files, F.col("th"))
     # first row of each range in the order (id descending, nulls last; text hash): a row for each range
     top = home.groupBy("_part").agg(F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "th")).alias("m")).collect()
     top.sort(key=lambda r: -r["_part"])

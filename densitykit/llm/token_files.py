@@ -19,7 +19,8 @@ Edge cases: null text is the empty document (its end id alone); null keys come f
 their null; equal keys are ordered by text hash; an empty table gives an empty manifest; extra
 columns are ignored; a text of any length spans as many blocks as it needs.
 
-Scale: the text is shuffled once, by key ranges whose ends are quantiles of the key column. A
+Scale: the text is shuffled once, by key ranges whose ends come from a sample of the key column; a key (or the null
+key) with more rows than a file holds goes on over several files, by text hash. A
 task holds one batch of texts, one block of ids and its file's document index. Files are written under names of their own
 for each attempt and listed in a manifest that Spark writes with its own commit, so a lost or
 repeated task never leaves a half file that is read.
@@ -175,7 +176,7 @@ def write_token_files(docs: DataFrame, key: str, text: str, tokenizer: str, end_
     spark = docs.sparkSession
     folder = (folder or scratch_path(spark, "token-files")).rstrip("/")
     files = files or partitions(spark)
-    rows, _ = by_key_ranges(docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")), "_k", files)
+    rows = by_key_ranges(docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")), "_k", files, F.xxhash64("_t"))
     rows = rows.repartitionById(files, "_part").sortWithinPartitions(F.col("_k").asc_nulls_first(), F.xxhash64("_t"))
     schema = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
