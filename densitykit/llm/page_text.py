@@ -6,7 +6,9 @@ page with one ``article`` or ``main`` element labels its own words and tags as i
 
 * A word's weight depends on its context, the innermost block element and its class
   (``p``, ``li``, ``div.ad``): the share of such words inside less the share outside (1 for
-  contexts that were never seen).
+  contexts that were never seen). Where no ``article`` or ``main`` encloses it, the weight is the mean of this and of the weight of its block's
+  form: the number of words (by powers of two), whether links hold most of them, whether a copyright sign begins it. These
+  weights are learned from all blocks, menus and footers included.
 * A tag's weight is ``-(TAG_MIN + TAG_OUT * share outside)``, counted over the tags that stand in no
   boilerplate element; the tags of ``article`` and ``main`` themselves, where content begins or ends, weigh
   ``-TAG_EDGE``.
@@ -15,7 +17,9 @@ Words and tags in elements that are no content by their very name or class (``BO
 comments, ..) score -1, or 0 where an ``article`` or ``main`` element encloses them, and are left out of the region's text; scripts, styles and the head are no words
 at all. A class, id or role marks no ``html`` or ``body``, no ``article`` or ``main`` outside marked elements, and no element
 with most of the text: more than half of the words of the page (unless articles beside it hold a tenth of them)
-or of the ``article`` or ``main`` around it. The weights are fitted on at most ``sample_rows`` pages, those with the smallest hash of their id;
+or of the ``article`` or ``main`` around it. Some marks only raise a question: ``AMBIGUOUS`` words, and listed words inside a phrase
+(``form-of-government``). Such an element is left out unless its own blocks have the form of content, a sum of block weights
+above 0, where blocks under 16 words count -1. ``header`` and its like mark no heading. The weights are fitted on at most ``sample_rows`` pages, those with the smallest hash of their id;
 extraction is one scan of all pages, one page at a time, without a shuffle.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
@@ -42,7 +46,7 @@ from densitykit.llm.common import bounded_sample
 
 TAG_MIN, TAG_OUT, TAG_EDGE = 0.1, 1.0, 10.0
 #: Elements whose content is no text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "textarea", "title", "head")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head")
 #: Elements and class or id words that are no content (fixed values).
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "header", "fieldset"}
 BOILERPLATE_CLASS = {
@@ -50,13 +54,20 @@ BOILERPLATE_CLASS = {
     "consent", "cookie", "cookies", "disqus", "footer", "form", "header", "login", "masthead", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promotion", "related", "replies", "search",
     "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Listed words that are also names of subjects or of parts of the content; words that make a class or id a phrase; marks
+#: that say nothing of a heading; MathML elements (fixed values).
+AMBIGUOUS = {"form", "header", "search"}
+PHRASE = {"a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"}
+HEADING, NO_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"header", "banner", "masthead"}
+MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "mspace", "mfenced"}
 #: Elements that don't break a block.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-          "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", *MATH}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)(?:>|\Z)""", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
+_COPYRIGHT = re.compile(r"\s*(?:©|&copy;|&#169;|&#xa9;|\(c\)|copyright\b)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -66,16 +77,25 @@ class Element(NamedTuple):
     up: int  # the element around it
     scope: int  # the article or main element around it (0: none)
     by_name: bool
-    by_class: bool
+    by_class: int  # 1: a listed word marks it, 2: its text decides
 
 
 @dataclass
 class Weights:
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
+    block: dict[str, float] = field(default_factory=dict)
 
-    def of_word(self, context: str, boiler: int) -> float:
-        return (self.word.get(context, 1.0), -1.0, 0.0)[boiler]
+    def of_block(self, form: str) -> float:
+        """Whether a block of this form speaks for content: its learned weight (1 if never seen) from 16 words on, -1 for
+        fewer words, links and copyright."""
+        return self.block.get(form, 1.0) if form.isdigit() and int(form) >= 5 else -1.0
+
+    def of_word(self, context: str, boiler: int, form: str, scope: int) -> float:
+        if boiler:
+            return (-1.0, 0.0)[boiler - 1]
+        own = self.word.get(context, 1.0)
+        return own if scope or form not in self.block else (own + self.block[form]) / 2
 
     def of_tag(self, name: str, boiler: int) -> float:
         if name in ("article", "main") and not boiler:
@@ -83,12 +103,51 @@ class Weights:
         return (self.tag.get(name, -TAG_MIN), -1.0, 0.0)[boiler]
 
 
-def tokens(page: str):
-    """``(kind, name, text, context, boilerplate)``: kind 't' for a run of text, 'o' and 'c' for tags;
-    boilerplate 0: none, 1: outside, 2: inside an article or main element."""
+class Token(NamedTuple):
+    kind: str  # 't': a run of text, 'o' and 'c': tags
+    name: str
+    text: str
+    context: str
+    boiler: int  # 0: none, 1: outside, 2: inside an article or main element
+    words: int
+    form: str  # of the block around a run of text
+    scope: int
+
+
+def tokens(page: str, weights: Weights | None = None) -> list[Token]:
     toks, elements = parse(page)
-    boiler = marks(toks, elements)
-    return [(kind, name, text, elements[at].context, boiler[at]) for kind, name, text, at in toks]
+    words = [len(t[2].split()) if t[0] == "t" else 0 for t in toks]
+    forms = block_forms(toks, words)
+    boiler = marks(toks, elements, words, forms, weights or Weights())
+    out = []
+    for (kind, name, text, at), n, form in zip(toks, words, forms):
+        e = elements[at]
+        out.append(Token(kind, name, text, e.context, boiler[at], n, form, at if e.name in ("article", "main") else e.scope))
+    return out
+
+
+def block_forms(toks: list[tuple[str, str, str, int]], words: list[int]) -> list[str]:
+    """Form of the block that holds each token: the bit length of its number of words (at most 7), 'a' if links hold more than
+    half of them, 'c' if it begins with a copyright sign."""
+    forms = [""] * len(toks)
+    first = total = links = 0
+    link = lead = False
+    for i in range(len(toks) + 1):
+        kind, name, text, _ = toks[i] if i < len(toks) else ("c", "", "", 0)
+        if kind == "t":
+            if not total and words[i]:
+                lead = bool(_COPYRIGHT.match(text))
+            total += words[i]
+            links += words[i] * link
+        elif name == "a":
+            link = kind == "o"
+        elif name not in INLINE:
+            if total:
+                form = str(min(7, total.bit_length())) + ("a" if 2 * links > total else "") + ("c" if lead else "")
+                forms[first:i] = [form] * (i - first)
+            first, total, links = i + 1, 0, 0
+            link = link and kind == "o" and name != "p"  # a link may hold blocks
+    return forms
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, str, int]], list[Element]]:
@@ -96,7 +155,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, int]], list[Element]]:
     stands for the page."""
     at, n = 0, len(page)
     toks: list[tuple[str, str, str, int]] = []
-    elements = [Element("", "", 0, 0, False, False)]
+    elements = [Element("", "", 0, 0, False, 0)]
     stack: list[int] = []
     now = 0
     while at < n:
@@ -131,10 +190,9 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, int]], list[Element]]:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and elements[stack[-1]].name == name:
                 stack.pop()
             label = " ".join(x for g in _CLASS.findall(attrs) for x in g).lower() if attrs else ""
-            parts = set(_PART.findall(label)) if label else ()
             up = stack[-1] if stack else 0
             scope = up if elements[up].name in ("article", "main") else elements[up].scope
-            by_class = not BOILERPLATE_CLASS.isdisjoint(parts) if parts else False
+            by_class = class_mark(name, label) if label else 0
             by_name = name in BOILERPLATE and not (name == "header" and scope)
             key = f"{name}.{label.split()[0]}" if label.split() else name
             stack.append(len(elements))
@@ -143,16 +201,33 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, int]], list[Element]]:
     return toks, elements
 
 
-def marks(toks: list[tuple[str, str, str, int]], elements: list[Element]) -> list[int]:
-    """Boilerplate (as in ``tokens``) of each element."""
-    words, articles = [0] * len(elements), [0] * len(elements)
-    if any(e.by_class and not e.by_name for e in elements):  # words of each element, and those of them in article and main elements
-        for kind, _, text, at in toks:
-            if kind == "t":
-                words[at] += len(text.split())
+def class_mark(name: str, label: str) -> int:
+    """What class, id and role words say of an element: 0 nothing, 1 boilerplate, 2 its text decides."""
+    mark = 0
+    for token in label.split():
+        parts = set(_PART.findall(token))
+        listed = parts & BOILERPLATE_CLASS
+        if name in HEADING:
+            listed -= NO_HEADING
+        if listed and (listed <= AMBIGUOUS or parts & PHRASE):
+            mark = mark or 2
+        elif listed:
+            return 1
+    return mark
+
+
+def marks(toks: list[tuple[str, str, str, int]], elements: list[Element], n_words: list[int], forms: list[str], weights: Weights) -> list[int]:
+    """Boilerplate (as in ``Token``) of each element."""
+    words, articles, gain = [0] * len(elements), [0] * len(elements), [0.0] * len(elements)
+    if any(e.by_class and not e.by_name for e in elements):  # words of each element, those of them in article and main elements, and block weights
+        for (kind, _, _, at), n, form in zip(toks, n_words, forms):
+            if kind == "t" and n:
+                words[at] += n
+                gain[at] += n * weights.of_block(form)
         for i in range(len(elements) - 1, 0, -1):
             e = elements[i]
             words[e.up] += words[i]
+            gain[e.up] += gain[i]
             articles[e.up] += words[i] if e.name in ("article", "main") else articles[i]
     boiler = [0]
     for i, e in enumerate(elements[1:], 1):
@@ -160,20 +235,23 @@ def marks(toks: list[tuple[str, str, str, int]], elements: list[Element]) -> lis
         bad = e.by_name
         if e.by_class and not bad:
             most = 2 * words[i] > words[e.scope] and (e.scope > 0 or 10 * (articles[0] - articles[i]) < words[0])
-            bad = e.name not in ("html", "body") and (above > 0 if edge else not most)
+            prose = e.by_class == 2 and gain[i] > 0
+            bad = e.name not in ("html", "body") and (above > 0 if edge else not most and not prose)
         boiler.append(0 if edge and not bad else above or (2 if bad and e.scope else int(bad)))
     return boiler
 
 
 def count_labelled(page: str) -> list[tuple[str, int, int]]:
     """``(key, inside, outside)`` counts of a page that labels its own content; [] if it does not.
-    Keys: 'w:' and a word's context, 't:' and a tag's name."""
+    Keys: 'w:' and a word's context, 't:' and a tag's name, 'b:' and the form of a word's block."""
     seen: dict[str, list[int]] = {}
     depth = regions = 0
-    for kind, name, text, context, boiler in tokens(page):
+    for kind, name, _, context, boiler, k, form, _ in tokens(page):
         if kind == "t":
-            if not boiler and (k := len(text.split())):
+            if k and not boiler:
                 seen.setdefault(f"w:{context}", [0, 0])[depth == 0] += k
+            if k and boiler < 2:
+                seen.setdefault(f"b:{form}", [0, 0])[depth == 0] += k
             continue
         if name in ("article", "main"):
             depth = max(0, depth + (1 if kind == "o" else -1))
@@ -186,18 +264,18 @@ def count_labelled(page: str) -> list[tuple[str, int, int]]:
 
 def extract(page: str, weights: Weights) -> str:
     """Text of the region with the greatest sum of weights."""
-    toks = tokens(page)
+    toks = tokens(page, weights)
     best = total = 0.0
     start = lo = hi = 0
-    for i, (kind, name, text, context, boiler) in enumerate(toks):
-        gain = len(text.split()) * weights.of_word(context, boiler) if kind == "t" else weights.of_tag(name, boiler)
+    for i, (kind, name, _, context, boiler, n, form, scope) in enumerate(toks):
+        gain = n * weights.of_word(context, boiler, form, scope) if kind == "t" else weights.of_tag(name, boiler)
         if total <= 0:
             total, start = 0.0, i
         total += gain
         if total > best:
             best, lo, hi = total, start, i + 1
     blocks, now = [], []
-    for kind, name, text, _, boiler in toks[lo:hi]:
+    for kind, name, text, _, boiler, *_ in toks[lo:hi]:
         if kind == "t":
             if not boiler:
                 now.append(text)
@@ -226,6 +304,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     for k, a, o in counts:
         if k[0] == "w":
             w.word[k[2:]] = (a - o + 1) / (a + o + 1)
+        elif k[0] == "b":
+            w.block[k[2:]] = (a - o) / (a + o + 1)
         else:
             w.tag[k[2:]] = -(TAG_MIN + TAG_OUT * o / (a + o + 1))
     return w
