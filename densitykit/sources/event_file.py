@@ -7,8 +7,8 @@ int16[8][2048] signal``, unpadded (32,796 bytes); byte order is an option (defau
 The file name carries ``type, series, run, board`` (``S223r10b1.dat``).
 
 Reading is split by byte range: every file is cut into splits of ``eventsPerSplit`` records
-(default 512), and one task reads one split with a single ranged read, decoded with a numpy
-structured dtype into an Arrow batch. Splits from all matched files form one job. The options
+(default 512), each read with a single ranged read and decoded with a numpy structured dtype into an Arrow
+batch. A task reads one split, or where there are very many, several one after the other (``bundled``). Splits from all matched files form one job. The options
 ``eventFrom``/``eventTo`` (inclusive) read exactly those events of each file. Where the session
 sets ``spark.sql.python.filterPushdown.enabled``, ``read_events`` picks a reader that also prunes
 splits by pushed filters on ``event_pos`` and the file-name fields (Spark still applies them).
@@ -29,6 +29,7 @@ import fnmatch
 import os
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,10 @@ def list_files(paths: str) -> list[tuple[str, int]]:
     return sorted(set(out))
 
 
+#: Splits up to which each has a task of its own, and the bytes that a task of several reads at most.
+MANY_SPLITS, TASK_BYTES = 512, 64 << 20
+
+
 @dataclass
 class EventSplit(InputPartition):
     path: str
@@ -126,6 +131,29 @@ class EventSplit(InputPartition):
     size: int
 
 
+@dataclass
+class EventSplits(InputPartition):
+    """Several splits that one task reads, one after the other."""
+
+    splits: list
+
+
+def bundled(splits: list[EventSplit], whole: bool) -> list:
+    """Many small splits dealt to some ``MANY_SPLITS`` tasks, or more if a task would read over ``TASK_BYTES``; with
+    ``whole`` a split counts as no bytes (only file names and ends are read). The splits stay as they are."""
+    if len(splits) <= MANY_SPLITS:
+        return splits
+    most, out, held = -(-len(splits) // MANY_SPLITS), [], 0
+    for s in splits:
+        size = 0 if whole else s.count * EVENT_SIZE
+        if not out or len(out[-1].splits) >= most or held + size > TASK_BYTES:
+            out.append(EventSplits([]))
+            held = 0
+        out[-1].splits.append(s)
+        held += size
+    return out
+
+
 class _Pruner:
     """Ranges and sets from pushed filters on ``event_pos`` and the file-name fields."""
 
@@ -198,14 +226,12 @@ class EventFileReader(DataSourceReader):
                 cnt = min(self.per_split, hi + 1 - start)
                 parts.append(EventSplit(path, start, cnt, n, size))
                 start += self.per_split
-        return parts or [EventSplit("", 0, 0, 0, 0)]
+        return bundled(parts, self.mode == "files") or [EventSplit("", 0, 0, 0, 0)]
 
-    def read(self, split: EventSplit):
-        if not split.path:
-            return iter(())
-        if self.mode == "files":
-            return iter([self._file_row(split)])
-        return iter([self._events(split)])
+    def read(self, split: EventSplit | EventSplits):
+        splits = split.splits if isinstance(split, EventSplits) else [split]
+        one = self._file_row if self.mode == "files" else self._events
+        return (one(s) for s in splits if s.path)
 
     def _open(self, path):
         f, p, _ = _fs(path)
@@ -381,14 +407,18 @@ def read_event_files(spark, path: str):
     return read_events(spark, path, mode="files")
 
 
-def write_event_files(df, path: str, header: str = "", footer: str = "", partitions: int | None = None) -> None:
+def write_event_files(df, path: str, header: str = "", footer: str = "", partitions: int | None = None,
+                      finish: Callable | None = None) -> None:
     """Write rows as event files, one file per (type, series, run, board), events in
-    ``index`` order. Rows are hash-partitioned by file, so each file is written by one task."""
+    ``index`` order. Rows are hash-partitioned by file, so each file is written by one task.
+    ``finish`` turns the arranged rows into those written, row by row (say, makes ``signal``), so that only what it takes is shuffled."""
     spark = df.sparkSession
     register(spark)
     keys = ["type", "series", "run", "board"]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     arranged = df.repartition(n, *keys).sortWithinPartitions(*keys, "index")
+    if finish is not None:
+        arranged = finish(arranged)
     arranged.write.format("event_file").mode("append").option("header", header).option("footer", footer).save(qualified(spark, path))
 
 
