@@ -19,3 +19,20 @@ def test_many_small_splits_share_tasks(tmp_path):
         assert sorted(series) == list(range(EF.MANY_SPLITS + 8))
     whole = [EF.EventSplit("f", 512 * i, 512, 1 << 20, 0) for i in range(2000)]
     assert all(sum(s.count for s in p.splits) * EF.EVENT_SIZE <= EF.TASK_BYTES for p in EF.bundled(whole, False))
+
+
+def test_nearest_of_a_part_with_ties():
+    import pyarrow as pa
+
+    from densitykit.operators.knn import _nearest
+
+    rng = np.random.default_rng(4)
+    p, c = rng.integers(0, 5, (300, 2)).astype(float), rng.integers(0, 5, (700, 2)).astype(float)
+    keys = rng.permutation(700)
+    places = pa.table({"part": np.zeros(300, np.int32), "place": np.arange(300), "x0": p[:, 0], "x1": p[:, 1]})
+    right = pa.table({"neighbor": keys, "b0": c[:, 0], "b1": c[:, 1], "part": np.zeros(700, np.int32)})
+    for row in _nearest(places, right, 2, 6).to_pylist():
+        d2 = ((c - p[row["place"]]) ** 2).sum(axis=1)
+        want = sorted(zip(d2.tolist(), keys.tolist()))[:6]
+        assert [(n["d2"], n["neighbor"]) for n in row["near"]] == want
+    assert [r["near"] for r in _nearest(places.slice(0, 2), right.slice(0, 0), 2, 6).to_pylist()] == [[], []]
