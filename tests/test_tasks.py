@@ -36,3 +36,30 @@ def test_nearest_of_a_part_with_ties():
         want = sorted(zip(d2.tolist(), keys.tolist()))[:6]
         assert [(n["d2"], n["neighbor"]) for n in row["near"]] == want
     assert [r["near"] for r in _nearest(places.slice(0, 2), right.slice(0, 0), 2, 6).to_pylist()] == [[], []]
+
+
+def test_eps_join_is_never_broadcast_and_is_dealt_by_its_pairs(spark):
+    from densitykit.operators import neighbors as N
+
+    from pyspark.sql import functions as F
+
+    pts = spark.range(3000).select("id", (F.col("id") % 60).cast("double").alias("x0"), (F.col("id") % 7).cast("double").alias("x1"))
+    for strategy in ("grid", "kd"):
+        pairs = N.eps_join(pts, 1.5, strategy=strategy, max_partitions=4)
+        plan = pairs._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert pairs.count() == pairs.distinct().count()
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert N.join_tasks(pts, [F.col("x0")], 5) == few
+    assert N.join_tasks(pts, [F.lit(0)], 100 * few) > few
+
+
+def test_cluster_map_of_every_core_key_without_comparing_every_pair(spark):
+    from densitykit.operators.dbscan import DensityClusterer
+
+    from pyspark.sql import functions as F
+
+    pts = spark.range(400).select("id", (F.col("id") % 4 * 10).cast("double").alias("x0"), F.lit(0.0).alias("x1"))
+    model = DensityClusterer(1.0, 5, contract=False).fit(pts)
+    assert sorted((r.local_id, r.cluster) for r in model.cluster_map.collect()) == [(i, i % 4) for i in range(400)]
+    assert model.compared["cells"] <= 16
