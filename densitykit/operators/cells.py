@@ -90,10 +90,10 @@ class Grid:
     def place(self, side: float) -> list[Column]:
         return [F.floor((F.col(f"x{i}") - F.lit(float(self.origin[i]))) / F.lit(side)).cast("long") for i in range(self.k)]
 
-    def with_cells(self, points: DataFrame, single: bool = False) -> DataFrame:
-        """Adds ``cell``: keys, place and, if every point is to be a cell of its own, the id."""
+    def with_cells(self, points: DataFrame) -> DataFrame:
+        """Adds ``cell``: keys and place."""
         keys = [F.col(c) for c in (*self.keys, *(["part"] if self.kd is not None else []))]
-        return points.withColumn("cell", F.struct(*keys, *[c.alias(f"f{i}") for i, c in enumerate(self.place(self.fine))], *([F.col("id")] if single else [])))
+        return points.withColumn("cell", F.struct(*keys, *[c.alias(f"f{i}") for i, c in enumerate(self.place(self.fine))]))
 
     def cells(self, points: DataFrame) -> DataFrame:
         """``cell, n, lo.., hi.., clique``: clique if all its points are within eps of each other."""

@@ -39,7 +39,8 @@ class DensityClusterer:
     ``points`` is a point table ``id, x0..x{k-1}`` (see ``as_points``). ``by`` names a group
     column: clusters are then found inside each group only (D3), and keys need only be
     unique within a group. A null, NaN or infinite coordinate is an error; ``nulls='drop'`` leaves
-    those points out. Noise has label -1 where keys are integers, and a null label otherwise.
+    those points out. Noise has label -1 where keys are integers, and a null label otherwise. With ``contract=False``
+    the cluster map has every core key, not one key for the core points of a cell; the fit is the same.
     """
 
     def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean",
@@ -80,7 +81,7 @@ class DensityClusterer:
             kd = kd_partition(pts, max_partitions=self.max_partitions, k=k)
             pts = kd.points
         grid = Grid(k, self.eps, self.metric, coarse_side(self.eps, span.width), span.low, keys, kd)
-        pts = grid.with_cells(pts, single=not self.contract).persist(StorageLevel.MEMORY_AND_DISK)
+        pts = grid.with_cells(pts).persist(StorageLevel.MEMORY_AND_DISK)
         # 1: cells and their pairs
         cells = materialize(grid.cells(pts), "dbscan-cells")
         open_ = ~F.col("whole") & ~((F.col("a_n") >= self.min_samples) & (F.col("b_n") >= self.min_samples) & F.col("a_clique") & F.col("b_clique"))
@@ -164,7 +165,8 @@ class DensityModel:
         self.links = links
         self.labels = cc.labels
         self.compared = compared
-        self.cluster_map = cc.labels.select(F.col("node").alias("local_id"), F.col("label").alias("cluster"))
+        local = cc.labels if params.contract else raw.where("kind = 'core'").select(F.col("id").alias("node"), "label")
+        self.cluster_map = local.select(F.col("node").alias("local_id"), F.col("label").alias("cluster"))
         self.result = self._finish(raw)
 
     def _finish(self, raw: DataFrame) -> DataFrame:
