@@ -1,7 +1,9 @@
 """Repeat-safe loads and the power iteration."""
 
 import numpy as np
+import pytest
 
+from densitykit.operators import pairs as PR
 from densitykit.plans import pipelines as PL
 from densitykit.sources import event_file as EF
 from densitykit.sources import ledger as LG
@@ -51,3 +53,49 @@ def test_power_iteration(spark):
     b = {r.id: r.cluster for r in PL.power_clusters(edges.repartition(5), 3).collect()}
     assert a == b and set(a.values()) <= {0, 1, 2} and len(set(a.values())) >= 2
     assert PL.power_iteration(edges.where("false")).count() == 0
+
+
+def _blobs(spark, n, nulls=False):
+    rng = np.random.default_rng(3)
+    rows = [(i, *(float(x) for x in rng.normal(size=3) * 0.4 + 3.0 * (i % 4))) for i in range(n)]
+    return spark.createDataFrame([*rows, *([(None, 0.0, 0.0, 0.0)] if nulls else [])], "id long, a double, b double, c double")
+
+
+def test_sums_of_edges_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(PR, "LEAST_ROWS", 25)
+    monkeypatch.setattr(PR, "TILE", 8)
+    pts = _blobs(spark, 130, nulls=True)
+    blocks = PR.rbf_edges(pts, ["a", "b", "c"], min_weight=0.05, form="blocks")
+    assert blocks.n_blocks == 6
+    rows = PR.rbf_edges(pts, ["a", "b", "c"], min_weight=0.05)
+    w = np.zeros((130, 130))
+    for r in rows.collect():
+        w[r.src, r.dst] = w[r.dst, r.src] = r.weight
+    got = {r.id: r.y for r in blocks.sums().collect()}
+    assert set(got) == {i for i in range(130) if w[i].any()}
+    assert np.allclose([got[i] for i in sorted(got)], w.sum(axis=1)[sorted(got)], rtol=1e-12)
+    x = np.sin(np.arange(130))
+    at = spark.createDataFrame([(i, float(x[i])) for i in range(130)], "id long, x double")
+    got = {r.id: r.y for r in blocks.sums(at).collect()}
+    assert np.allclose([got[i] for i in range(130)], w @ x, rtol=1e-12, atol=1e-13)
+    a, b = ({r.id: r.v for r in PL.power_iteration(e, 4).collect()} for e in (blocks, rows))
+    assert a.keys() == b.keys() and np.allclose([a[i] for i in a], [b[i] for i in a], rtol=1e-12)
+    assert sorted(r.src for r in blocks.rows().collect()) == sorted(r.src for r in rows.collect())
+
+
+def test_models_on_blocks_form_no_edge(spark, monkeypatch):
+    monkeypatch.setattr(PR, "LEAST_ROWS", 25)
+    monkeypatch.setattr(PL, "MOST_PAIRS", 100)
+    monkeypatch.setattr(PR.RbfEdges, "rows", lambda self: pytest.fail("edges formed one by one"))
+    pts = _blobs(spark, 120)
+    edges = PR.rbf_edges(pts, ["a", "b", "c"], min_weight=0.05, form="blocks")
+    with_edge = {r.id for r in edges.sums().collect()}
+    got = {r.id: r.cluster for r in PL.pic_edges(edges, k=4).collect()}
+    assert set(got) == with_edge and 2 <= len(set(got.values())) <= 4
+    assert got == {r.id: r.cluster for r in PL.pic_edges(edges, k=4).collect()}
+    power = {r.id for r in PL.power_clusters(edges, 3, max_iter=1, rounds=1).collect()}
+    assert power == with_edge
+    none = PR.rbf_edges(pts.where("id = 0"), ["a", "b", "c"], min_weight=0.05, form="blocks")
+    assert PL.power_iteration(none).count() == 0
+    labels = PL.gbt_labels(pts, PL.pic_edges(edges, k=4), ["a", "b", "c"], "id", max_iter=1)
+    assert {r.id for r in labels.collect()} == with_edge
