@@ -22,11 +22,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densitykit.operators.neighbors import _offsets, within_diffs
+from densitykit.operators.neighbors import _dealt, _offsets, pair_tasks, within_diffs
 from densitykit.session import materialize
 
 #: Pairs of points that two cells may have to be compared point by point.
 LEAF = 1 << 14
+#: Pairs of points from which two cells are compared for counts as arrays, and the points of an array, about.
+PACK, PIECE = 1 << 9, 1 << 9
 #: Halvings after which what is left is compared in any case (cells of 2^-40 of a cell hold points that are as good as equal).
 LEVELS = 40
 
@@ -224,6 +226,43 @@ class Grid:
         return out
 
     def _compare(self, pairs: DataFrame, a_pts: DataFrame, b_pts: DataFrame, flags: list[str], counts: bool) -> DataFrame:
+        if counts:
+            packed = F.col("a_n") * F.col("b_n") > PACK
+            one = self._compare_one(pairs.where(~packed), a_pts, b_pts, True)
+            return one.unionByName(self._compare_packed(pairs.where(packed), a_pts, b_pts))
+        return self._compare_one(pairs, a_pts, b_pts, False)
+
+    def _compare_packed(self, pairs: DataFrame, a_pts: DataFrame, b_pts: DataFrame) -> DataFrame:
+        """``id, n`` of pairs with many points: the points of a cell as arrays (of about ``PIECE``), compared in numpy; each end of a
+        pair counts for itself, so that a cell's counts are added up where they arise."""
+        axes = [f"x{i}" for i in range(self.k)]
+        ways = None
+        for s, o in (("a", "b"), ("b", "a")):
+            way = pairs.where(f"to_{s}").select(F.col(f"{s}_root").alias("root"), F.col(f"{s}_at").alias("at"), F.col(f"{s}_n").alias("n"), F.col(f"{o}_root").alias("o_root"),
+                                                F.col(f"{o}_at").alias("o_at"), F.col(f"{o}_n").alias("o_n"), F.lit(s).alias("side"))
+            ways = way if ways is None else ways.unionByName(way)
+
+        def arrays(pre: str, side: str, cols: list[str]) -> DataFrame:
+            """The cells that stand in ``ways`` as ``{pre}root, {pre}at``, from the points of that side."""
+            other = {"a": "b", "b": "a"}
+            out = None
+            for src, at in ((a_pts, "a"), (b_pts, "b")):
+                mine = ways.where(F.col("side") == (at if side == "own" else other[at])).select(F.col(f"{pre}root").alias("root"), F.col(f"{pre}at").alias("at"), F.col(f"{pre}n").alias("_n")).distinct()
+                p = src.join(mine, ["root", "at"]).withColumn("_piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / PIECE)))
+                p = p.groupBy("root", "at", "_piece").agg(F.collect_list(F.struct(*cols)).alias("_l"), F.count(F.lit(1)).alias("_c")) \
+                    .select(F.col("root").alias(f"{pre}root"), F.col("at").alias(f"{pre}at"), F.lit(at if side == "own" else other[at]).alias("side"),
+                            *([F.xxhash64("root", "at", "_piece", F.lit(at)).alias("key")] if side == "own" else []), *[F.col("_l")[c].alias(f"{pre}{c}") for c in cols])
+                out = p if out is None else out.unionByName(p)
+            return out
+
+        both = ways.drop("n", "o_n").join(arrays("o_", "other", axes), ["o_root", "o_at", "side"]).drop("o_root", "o_at")
+        tasks = pair_tasks(pairs.sparkSession, 4 * self.compared["points"])
+        both = _dealt(both, arrays("", "own", ["id", *axes]), ["root", "at", "side"], tasks)
+        schema = a_pts.select("id", F.lit(0).cast("long").alias("n")).schema
+        both = both.select("key", "id", *axes, *[f"o_{c}" for c in axes])
+        return both.mapInArrow(_near_counts(self.k, self.eps, self.metric), schema).groupBy("id").agg(F.sum("n").alias("n"))
+
+    def _compare_one(self, pairs: DataFrame, a_pts: DataFrame, b_pts: DataFrame, counts: bool) -> DataFrame:
         a, b = prefixed(a_pts, "a_"), prefixed(b_pts, "b_")
         near = within_diffs([F.col(f"a_x{i}") - F.col(f"b_x{i}") for i in range(self.k)], self.eps, self.metric)
         hits = pairs.drop("a_n", "b_n").join(a, ["a_root", "a_at"]).join(b, ["b_root", "b_at"]).where(near)
@@ -231,3 +270,37 @@ class Grid:
             return hits.select("a_root", "b_root").distinct()
         ends = F.filter(F.array(F.when(F.col("to_a"), F.col("a_id")), F.when(F.col("to_b"), F.col("b_id"))), lambda c: c.isNotNull())
         return hits.select(F.explode(ends).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _near_counts(k: int, eps: float, metric: str):
+    """Batches ``key, id[], x0[].., o_x0[]..`` to ``id, n``: for each id of a row the other points within eps, with the operations
+    of ``within_diffs``, added up over a batch's rows of the same key."""
+    def counts(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def near(own, other):
+            out = None
+            for c in range(k):
+                d = own[c][:, None] - other[c][None, :]
+                d = np.multiply(d, d, out=d) if metric == "euclidean" else np.abs(d, out=d)
+                out = d if out is None else np.maximum(out, d, out=out) if metric == "chebyshev" else np.add(out, d, out=out)
+            return np.count_nonzero(out <= (eps * eps if metric == "euclidean" else eps), axis=1)
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            ends = [batch.column(c).offsets.to_numpy() for c in ("id", "o_x0")]
+            own = [batch.column(f"x{i}").values.to_numpy() for i in range(k)]
+            other = [batch.column(f"o_x{i}").values.to_numpy() for i in range(k)]
+            total, first = {}, {}
+            for r, key in enumerate(keys):
+                a, b = (slice(e[r], e[r + 1]) for e in ends)
+                n = near([c[a] for c in own], [c[b] for c in other])
+                if key in total:
+                    total[key] += n
+                else:
+                    total[key], first[key] = n, r
+            ids = batch.column("id").take(pa.array(list(first.values()), "int64")).flatten()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([*total.values(), np.zeros(0, "int64")]).astype("int64"))], ["id", "n"])
+
+    return counts

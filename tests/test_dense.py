@@ -109,3 +109,14 @@ def test_local_clusters_merge_to_the_whole(spark, parts):
     audit = {x.id: x.clusters.split(";") for x in loc.audit().collect()}
     assert set(audit) == set(want) and sum(map(len, audit.values())) == len(local)
     assert all(f"{homes[i]}:{local[homes[i], i].cluster}" in audit[i] for i, (_, kind) in want.items() if kind == "core")
+
+
+@pytest.mark.parametrize("metric,strategy,k", [("euclidean", "grid", 2), ("manhattan", "grid", 2), ("chebyshev", "kd", 3)])
+def test_counts_in_arrays(spark, monkeypatch, metric, strategy, k):
+    monkeypatch.setattr(cells, "LEAF", 200)  # several levels
+    monkeypatch.setattr(cells, "PACK", 8)
+    monkeypatch.setattr(cells, "PIECE", 5)  # cells of several arrays
+    rows = crowd(300, 4, k)
+    far = {"euclidean": lambda d: sum(x * x for x in d) <= 0.49, "manhattan": lambda d: sum(map(abs, d)) <= 0.7, "chebyshev": lambda d: max(map(abs, d)) <= 0.7}[metric]
+    got = {r.id: r.n for r in neighbour_counts(points_df(spark, rows, k), 0.7, metric, strategy, max_partitions=4).collect()}
+    assert got == {a[0]: sum(far([x - y for x, y in zip(a[1:], b[1:])]) for b in rows) for a in rows}
